@@ -1,11 +1,14 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import pii, secrets, urls
+from . import decontaminate, pii, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_quality_rules": quality.op3_quality_rules,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op10_pii_pseudonyms": pii.op10_pii_pseudonyms,
 }
 
-ORACLE_SQL = {"op1_url_filter": urls.OP1_SQL}
+ORACLE_SQL = {"op1_url_filter": urls.OP1_SQL, "op3_quality_rules": quality.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL}

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontaminate, neardup, pii, quality, secrets, toxicity, urls
+from . import decontaminate, langid, neardup, packing, pii, quality, secrets, toxicity, urls, warc
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -8,6 +8,9 @@ QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_packing": packing.op6_packing,
+    "op7_warc_derivatives": warc.op7_warc_derivatives,
+    "op8_language_id": langid.op8_language_id,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_pii_pseudonyms": pii.op10_pii_pseudonyms,
 }

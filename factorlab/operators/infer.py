@@ -113,10 +113,11 @@ def infer(spark: SparkSession, fit: Fit, y: np.ndarray, a: np.ndarray, *, bootst
 
 def infer_network(spark: SparkSession, fit: Fit, y: np.ndarray, **options) -> DataFrame:
     """Inference for a network's C, with A = X'; only pairs of different bases, the first before the second."""
-    table = infer(spark, fit, (y + y.T) / 2, fit.x.T, **options)
-    order = {f"Basis{q + 1}": q for q in range(fit.rank)}
-    names = dict(zip([str(r) for r in fit.covariates], range(len(fit.covariates)), strict=True))
-    rows = [r for r in table.collect() if names.get(r["covariate"], 0) > order[r["basis"]]]  # Q x Q rows at most
+    from dataclasses import replace
+
+    names = [f"Basis{q + 1}" for q in range(fit.rank)]
+    table = infer(spark, replace(fit, covariates=names), (y + y.T) / 2, fit.x.T, **options)
+    rows = [r for r in table.collect() if names.index(r["basis"]) < names.index(r["covariate"])]  # Q x Q rows at most
     return spark.createDataFrame(rows, table.schema)
 
 

@@ -868,7 +868,7 @@ def _(spark, d):
 def _(spark, d):
     y, a = _dense_revenue(spark, d)
     model = mixed.nmf_mixed(y, a, 2, outer=60, inner=20)
-    return rounded(spark.createDataFrame([(model.sigma2, model.tau2, model.icc, model.df_u(), model.nll)], "sigma2 double, tau2 double, icc double, df_u double, nll double"))
+    return rounded(spark.createDataFrame([tuple(map(float, (model.sigma2, model.tau2, model.icc, model.df_u(), model.nll)))], "sigma2 double, tau2 double, icc double, df_u double, nll double"))
 
 
 @query("mixed_inference")

@@ -16,8 +16,6 @@ length, from a histogram of fixed size (strata x 601 bins), so nothing that grow
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,9 +122,9 @@ def find_secrets(docs: DataFrame, text: str = "text", q: float = 0.01, limits: l
     Null and empty texts have no spans. limits: those of discovery_limits(), else they are found from docs first. The
     battery's spans (kind random) are added where no base span overlaps. Columns of these names are replaced.
     """
-    limits = limits or discovery_limits(docs, text, q)
-    if not math.isfinite(q) or not 0 < q < 1:
+    if not 0 < q < 1:
         raise ValueError("q must lie between 0 and 1")
+    limits = limits or discovery_limits(docs, text, q)
     t = F.coalesce(F.col(text), F.lit(""))
     shaped = lambda found, kind, order: F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
     out = docs

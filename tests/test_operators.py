@@ -81,12 +81,14 @@ def test_smoothness_lowers_roughness():
 
 
 def test_published_latent_var():
-    x = np.array([[0.5, 0.1], [0.2, 0.3], [0.2, 0.2], [0.1, 0.4]])
-    theta = np.array([[0.9, 0.1, 0.3, 0.2], [0.1, 0.5, 0.4, 0.8]])
+    # fixed values: the published factors and what follows from them
+    x = np.array([[0.55, 0.0], [0.40, 0.15], [0.06, 0.41], [0.0, 0.44]])
+    theta = np.array([[1.01, 0.53, 0.0, 0.0], [0.0, 0.0, 0.54, 0.88]])
     found = ts.latent(x, theta, 1)
-    assert np.allclose(found.g[0], theta @ x)
-    full = ts.stationarity(x, theta, 1, "companion")["radius"]
-    assert math.isclose(found.radius, full, rel_tol=1e-10)
+    assert np.allclose(found.g[0], [[0.7675, 0.0795], [0.0324, 0.6086]], atol=1e-9)
+    assert math.isclose(found.radius, 0.7823267336, abs_tol=1e-9) and found.period is None
+    assert np.allclose(found.column_sums, [1.0201, 0.5353, 0.54, 0.88])
+    assert math.isclose(found.radius, ts.stationarity(x, theta, 1, "companion")["radius"], rel_tol=1e-10)
     two = ts.latent(np.array([[0.5], [0.5]]), np.array([[0.2, 0.2, 0.1, 0.1]]), 2)
     assert math.isclose(two.radius, 0.4316625, rel_tol=1e-6) and math.isclose(two.radius_of_sum, 0.3, rel_tol=1e-9)
     assert math.isclose(ts.latent(np.array([[20.0], [20.0]]), np.array([[0.04, 0.04]]), 1).radius, 1.6, rel_tol=1e-9)

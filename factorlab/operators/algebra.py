@@ -55,6 +55,27 @@ def gram_numpy(samples: DataFrame, left: str, right: str) -> np.ndarray:
     return out
 
 
+def statistics(samples: DataFrame, n_rows: int, n_covariates: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """(YA', AA', squared norm of Y, least value) of samples (y, a) in one pass; a task gives one block."""
+    size = n_rows * n_covariates + n_covariates**2 + 1
+
+    def fold(batches):
+        total, low = np.zeros(size), np.inf
+        for batch in batches:
+            if batch.num_rows:
+                y, a = _matrix(batch.column(0)), _matrix(batch.column(1))
+                total += np.concatenate([(y.T @ a).ravel(), (a.T @ a).ravel(), [float((y**2).sum())]])
+                low = min(low, y.min(), a.min())
+        if low < np.inf:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total), pa.array(np.full(size, low))], ["k", "v", "low"])
+
+    rows = samples.select("y", "a").mapInArrow(fold, "k bigint, v double, low double").groupBy("k").agg(F.sum("v").alias("v"), F.min("low").alias("low")).toPandas().sort_values("k")
+    if not len(rows):
+        return np.zeros((n_rows, n_covariates)), np.zeros((n_covariates, n_covariates)), 0.0, 0.0
+    v, cut = rows.v.to_numpy(), n_rows * n_covariates
+    return v[:cut].reshape(n_rows, n_covariates), v[cut:-1].reshape(n_covariates, n_covariates), float(v[-1]), float(rows.low.min())
+
+
 def gram_cells(left: DataFrame, right: DataFrame) -> DataFrame:
     """(row, row2, value): sum over shared columns, for sparse cells."""
     b = right.select(F.col("row").alias("row2"), "col", F.col("value").alias("y"))

@@ -173,7 +173,8 @@ def _(spark, d):
 
 def _samples(spark, d):
     y, a = D.revenue(spark, d), D.regions(spark, d)
-    rows, covariates = C.row_labels(y), C.row_labels(a)
+    rows = [r[0] for r in D.table(spark, d, "customer", "c_mktsegment").distinct().orderBy("c_mktsegment").collect()]
+    covariates = [f"r{r[0]}" for r in D.table(spark, d, "region", "r_regionkey").orderBy("r_regionkey").collect()]
     return C.samples(y, rows, "y").join(C.samples(a, covariates, "a"), "col")
 
 

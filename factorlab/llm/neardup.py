@@ -1,14 +1,21 @@
 """MinHash near-duplicates with odd sketches; links are confirmed on whole shingle sets.
 
 1. Each text becomes its set of distinct 5-word shingles, 128 MinHash samples of it, 32 band keys of 4 samples each, and an
-   odd sketch: the samples folded into a 256-bit parity bitmap. Rows with equal sets (by a 128-bit digest) form a class;
-   from here on classes are compared, so a group of copies of any size is one row.
-2. Classes that share a band key are candidates. Each bucket links its members to its smallest one only, so the number
-   of pairs is linear in the rows. A pair whose size ratio is too small, or whose sketches' XOR population count puts the
-   estimated similarity far below the threshold (more than six standard errors), is dropped; the others are compared on
-   their whole sets. Confirmed links give components.
-3. Buckets whose members then still lie in several components are searched again, across components only: small buckets
-   by pairs, larger ones exactly by prefix filtering (two sets as similar as asked share one of their rarest shingles).
+   odd sketch: the samples folded into a 256-bit parity bitmap. Rows with equal sets (by a 128-bit digest) form a class,
+   named by its smallest id; from here on classes are compared, so a group of copies of any size is one row.
+2. Classes that share a band key are candidates. Each bucket links its members to one leader only, so the number of pairs
+   is linear in the rows. A pair whose size ratio is too small, or whose sketches' XOR population count puts the estimated
+   similarity far below the threshold (more than six standard errors), is dropped; the others are compared on their whole
+   sets. Confirmed links give components. In further rounds the buckets whose members still lie in several components
+   take other leaders, one of each bucket's own, and only members outside the leader's component are compared.
+3. What is split even then is searched exhaustively, across components only, with finer odd sketches (1,024 samples, 2,048
+   bits: a standard error of about 0.02) of the few classes concerned: buckets of up to 4,096 classes by comparing their
+   sketches, larger ones by prefix filtering (two sets as similar as asked share one of their rarest shingles). Sizes and
+   sketches are part of these joins' conditions, and a bucket gives a pair only if it is the first that both share, so
+   only likely pairs come out, and each once.
+
+Whole sets are made again from the texts of the wanted documents alone. Which these are is sent as a bitmap of fixed size;
+rows it lets through by chance are joined away, so no text is ever shuffled.
 
 At similarity 0.75 a pair shares no band with probability (1 - 0.75^4)^32, about 5e-6.
 """
@@ -28,13 +35,19 @@ BANDS, ROWS = 32, 4
 SAMPLES, BITS = BANDS * ROWS, 256
 #: Pairs whose sketches estimate less than this are no candidates: 0.25 below the threshold, over six standard errors.
 LEAST_ESTIMATE = 0.5
-#: Buckets of up to so many classes are searched by pairs, larger ones by prefix filtering.
-SMALL_BUCKET = 64
+#: Of the finer sketches, and how far below the threshold their estimate may lie: over four standard errors.
+FINE_SAMPLES, FINE_BITS, FINE_SLACK = 1024, 2048, 0.08
+#: Further rounds with leaders of each bucket's own.
+ROUNDS = 1
+#: Bits of the bitmap of wanted ids; 8 MB, whatever the corpus.
+FILTER_BITS = 1 << 26
+#: Buckets of up to so many classes are searched by comparing sketches, larger ones by prefix filtering.
+SMALL_BUCKET = 4096
 
 _random = np.random.default_rng(20240229)
-_FACTOR = _random.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFT = _random.integers(0, 2**63, SAMPLES, dtype=np.uint64)
-_ORDER = np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_FACTOR = _random.integers(0, 2**63, FINE_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFT = _random.integers(0, 2**63, FINE_SAMPLES, dtype=np.uint64)
+_ORDER = np.arange(FINE_SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(raw: bytes, hashes: WordHash, width: int = WIDTH) -> np.ndarray:
@@ -42,29 +55,29 @@ def shingle_set(raw: bytes, hashes: WordHash, width: int = WIDTH) -> np.ndarray:
     return np.unique(windows_of(hashes.array(raw.lower().split()), width))
 
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
-    """SAMPLES minima of the non-empty set under as many permutations of 64-bit integers."""
-    least = None
-    for k in range(0, len(shingles), 4096):
-        part = ((shingles[k : k + 4096, None] ^ _SHIFT) * _FACTOR).min(axis=0)
+def minhash(shingles: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    """Minima of the non-empty set under as many permutations of 64-bit integers."""
+    least, shift, factor = None, _SHIFT[:samples], _FACTOR[:samples]
+    for k in range(0, len(shingles), 1024):
+        part = ((shingles[k : k + 1024, None] ^ shift) * factor).min(axis=0)
         least = part if least is None else np.minimum(least, part)
     return least
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
-    mixed_samples = mixed(samples + _ORDER).reshape(BANDS, ROWS)
+    mixed_samples = mixed(samples + _ORDER[:SAMPLES]).reshape(BANDS, ROWS)
     return mixed(np.add.reduce(mixed_samples * np.array([1, 3, 5, 7], np.uint64), axis=1)).view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the samples, as BITS / 64 integers."""
-    bits = (mixed(samples ^ _ORDER) >> np.uint64(56)).astype(np.int64)  # 8 bits: 0 to 255
-    return np.packbits((np.bincount(bits, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+def odd_sketch(samples: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Parity bitmap of the samples, as bits / 64 integers; bits is a power of two."""
+    at = (mixed(samples ^ _ORDER[: len(samples)]) >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def estimate(xor_bits: Column) -> Column:
-    """Similarity from the XOR population count of two odd sketches: 1 + n / (4 k) ln(1 - 2 x / n)."""
-    return 1 + BITS / (4.0 * SAMPLES) * F.log(F.greatest(1 - 2.0 * xor_bits / BITS, F.lit(1e-9)))
+def most_xor_bits(similarity: float, samples: int = SAMPLES, bits: int = BITS) -> int:
+    """The XOR population count at which two odd sketches estimate this similarity: J = 1 + n / (4 k) ln(1 - 2 x / n)."""
+    return int(bits / 2 * (1 - np.exp((similarity - 1) * 4 * samples / bits)))
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -93,49 +106,77 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>")
 
 
+def id_bitmap(ids: DataFrame, id_col: str) -> np.ndarray:
+    """Bitmap of FILTER_BITS bits of the ids' hashes; at most FILTER_BITS / 64 rows come to the driver."""
+    bit = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
+    words = ids.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{id_col}`), 64L) as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    rows = words.toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """(node, items) of the wanted (id, node): the shingle set of each node, from the text of the row that stands for it."""
-    rows = docs.select(id_col, text).join(wanted, id_col).select("node", text)
+    """(node, items, sketch): the shingle set of each wanted id (column node), and its finer sketch."""
+    wanted = wanted.select("node").distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted, "node"))  # FILTER_BITS bits
+    schema = f"node {docs.schema[id_col].dataType.simpleString()}, items array<bigint>, sketch array<bigint>"
+
+    def block(ids, sets):
+        sketches = [odd_sketch(minhash(x, FINE_SAMPLES), FINE_BITS) if len(x) else [] for x in sets]
+        longs = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([ids, pa.array([x.view(np.int64) for x in sets], longs), pa.array(sketches, longs)], ["node", "items", "sketch"])
 
     def run(batches):
-        hashes = WordHash()
+        hashes, bitmap = WordHash(), shared.value.view(np.uint64)
         for batch in batches:
-            nodes, sets, size = [], [], 0
-            for node, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                s = shingle_set(raw, hashes, width)
-                if xxhash.xxh3_128_digest(s.tobytes()) != node:  # another row with this id
-                    continue
-                nodes.append(node)
-                sets.append(s.view(np.int64))
-                size += len(s)
+            h = batch.column(0).to_numpy()
+            hit = np.flatnonzero((bitmap[np.mod(h, FILTER_BITS) >> 6] >> np.mod(h, 64).astype(np.uint64)) & np.uint64(1))
+            part = batch.take(pa.array(hit))
+            kept, sets, size = [], [], 0
+            for k, raw in enumerate(text_bytes(part.column(2))):
+                kept.append(k)
+                sets.append(shingle_set(raw, hashes, width))
+                size += len(sets[-1])
                 if size > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "items"])
-                    nodes, sets, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "items"])
+                    yield block(part.column(1).take(pa.array(kept)), sets)
+                    kept, sets, size = [], [], 0
+            yield block(part.column(1).take(pa.array(kept, pa.int64())), sets)
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(id_col), text)
+    return rows.mapInArrow(run, schema).join(wanted, "node", "left_semi")
+
+
+def _may_link(percent: int, fine: bool = False) -> Column:
+    """Sizes and sketches of sides a and b don't rule the pair out."""
+    samples, bits, slack = (FINE_SAMPLES, FINE_BITS, FINE_SLACK) if fine else (SAMPLES, BITS, 0.75 - LEAST_ESTIMATE)
+    xor = sum((F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(bits // 64)), F.lit(0))
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (xor <= most_xor_bits(percent / 100 - slack, samples, bits))
+
+
+def _side(df: DataFrame, s: str, key: str | None = None) -> DataFrame:
+    return df.select(*([key] if key else []), *[F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in df.columns if c != key])
 
-    return rows.mapInArrow(run, "node binary, items array<bigint>").dropDuplicates(["node"])
+
+def _self_join(rows: DataFrame, key: str, percent: int, once: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of rows (key, node, root, n, sketch, ..) with one key, in different components, that may link."""
+    b = _side(rows, "b", key).withColumnRenamed(key, "key_b")
+    on = (F.col(key) == F.col("key_b")) & (F.col("root_a") < F.col("root_b")) & _may_link(percent, fine=True)
+    return _side(rows, "a", key).join(b, on if once is None else on & once).select("a", "b")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches don't rule out, with the ids rep_a and rep_b that stand for them."""
-    side = lambda s: classes.select(F.col("node").alias(s), F.col("rep").alias(f"rep_{s}"), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    xor = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    slack = 0.75 - LEAST_ESTIMATE
-    return both.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (estimate(xor) >= percent / 100 - slack)).select("a", "b", "rep_a", "rep_b")
+    """The pairs (a, b) that sizes and sketches don't rule out."""
+    known = classes.select("node", "n", "sketch")
+    return pairs.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_may_link(percent)).select("a", "b").distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are as similar as asked."""
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("items").alias(f"items_{s}"))
-    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
-    common = F.size(F.array_intersect("items_a", "items_b"))
-    return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("items_a") + F.size("items_b") - F.col("common"))).select("a", "b")
-
-
-def _nodes(pairs: DataFrame, id_col: str) -> DataFrame:
-    side = lambda s: pairs.select(F.col(f"rep_{s}").alias(id_col), F.col(s).alias("node"))
-    return side("a").union(side("b")).distinct()
+    sets = sets.select("node", "items")
+    both = pairs.join(_side(sets, "b"), "b").join(_side(sets, "a"), "a")
+    found = both.select("a", "b", F.size("items_a").alias("n_a"), F.size("items_b").alias("n_b"), F.size(F.array_intersect("items_a", "items_b")).alias("common"))
+    return found.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -164,66 +205,83 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (node, root) in different components that share one of their rarest shingles.
+    """Likely pairs (a, b) of members (node, root, n, sketch) in different components that share one of their rarest shingles.
 
     Of n shingles, ordered by how many members have them, sets as similar as asked share one of the first n - ceil(p n) + 1.
     """
-    rows = members.join(sets, "node").select("node", "root", F.size("items").alias("n"), F.explode("items").alias("item"))
+    rows = members.select("node").join(sets, "node").select("node", F.size("items").alias("n"), F.explode("items").alias("item"))
     counts = rows.groupBy("item").count().where("count > 1")
-    # only shingles that others have too can be shared, but the rarest of all count for the place
+    # shingles that no other member has can't be shared, but they take the first places
     known = rows.join(counts, "item", "left").withColumn("count", F.coalesce("count", F.lit(1)))
-    ordered = known.groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("count", "item"))).alias("all"))  # one document's set
+    ordered = known.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("count", "item"))).alias("all"))  # one document's set
     first = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    posted = ordered.select("node", "root", "n", F.explode(F.slice("all", F.lit(1), first)).alias("x")).where("x.count > 1").select("node", "root", "n", F.col("x.item").alias("item"))
-    side = lambda s: posted.select("item", F.col("node").alias(s), F.col("root").alias(f"root_{s}"), F.col("n").alias(f"n_{s}"))
-    return side("a").join(side("b"), "item").where((F.col("root_a") < F.col("root_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select("a", "b").distinct()
+    posted = ordered.select("node", F.explode(F.slice("all", F.lit(1), first)).alias("x")).where("x.count > 1").select("node", F.col("x.item").alias("item")).join(members, "node")
+    return _self_join(posted, "item", percent).distinct()
+
+
+def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The members (with root) of the buckets that lie in several components, written down."""
+    placed = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    return stored(placed.join(split, "bucket").select("bucket", "node", "size", "root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links, itself included), kept.
 
     Null and empty texts have no shingles and are linked with nothing; a null id is never linked or dropped. Rows that
-    repeat an id are judged by their own text. Only id and text are read. percent: the least similarity, 75 or more.
+    repeat an id are one document, to which the links of each of its texts count. Only id and text are read. percent: the
+    least similarity, 75 or more.
     """
     if percent < PERCENT:
         raise ValueError("bands are laid out for similarities of 0.75 and more")
     marks = stored(signatures(docs, id_col, text, width))
     known = marks.where(F.col("digest").isNotNull() & F.col(id_col).isNotNull())
-    classes = stored(known.groupBy(F.col("digest").alias("node")).agg(F.min(id_col).alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-
+    classes = stored(known.groupBy("digest").agg(F.min(id_col).alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     places = classes.select("node", F.explode("bands").alias("bucket"))
     crowded = places.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
     members = stored(places.join(crowded, "bucket").select("bucket", "node", "first", "size"))
-    stars = members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    pairs = stored(likely(stars, classes, percent))
-    links = stored(similar(pairs, sets_of(docs, _nodes(pairs, id_col), id_col, text, width), percent))
-    roots = stored(components(links))
 
-    placed = members.select("bucket", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    rest = stored(placed.join(split, "bucket"))
-    side = lambda s: rest.where(F.col("size") <= SMALL_BUCKET).select("bucket", F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
-    more = side("a").join(side("b"), "bucket").where("root_a < root_b").select("a", "b").distinct()
+    roots, rest = None, members
+    for turn in range(ROUNDS + 1):
+        if turn == 0:  # the smallest of each bucket: the same one in most buckets of a group, so few pairs
+            pairs = members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+        else:
+            rest = _rooted(members, roots)
+            own = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("root").alias("root_b"))).alias("leader")
+            pairs = rest.join(rest.groupBy("bucket").agg(own), "bucket").where("root <> leader.root_b").select(F.col("node").alias("a"), F.col("leader.b").alias("b")).distinct()
+        pairs = stored(likely(pairs, classes, percent))
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+        roots = _joined(roots, pairs, stored(sets_of(docs, ends, id_col, text, width)), percent)
+
+    rest = _rooted(members, roots)
+    sets = stored(sets_of(docs, rest, id_col, text, width))
+    known = classes.select("node", "n", "bands").join(sets.select("node", "sketch"), "node")
+    small = rest.where(F.col("size") <= SMALL_BUCKET).drop("size").join(known, "node")
+    first = F.col("bucket") == F.element_at(F.array_intersect("bands_a", "bands_b"), 1)
+    pairs = _self_join(small, "bucket", percent, first)
     large = rest.where(F.col("size") > SMALL_BUCKET).select("node", "root").distinct()
     if large.limit(1).count():
-        large = stored(large)
-        sets = stored(sets_of(docs, large.join(classes.select("node", F.col("rep").alias(id_col)), "node").select(id_col, "node"), id_col, text, width))
-        more = more.union(_prefix_pairs(large, sets, percent)).distinct()
-    pairs = stored(likely(more, classes, percent))
-    if pairs.limit(1).count():
-        links = links.union(similar(pairs, sets_of(docs, _nodes(pairs, id_col), id_col, text, width), percent))
-        roots = stored(components(links))
-
-    joined = roots.join(classes.select("node", "rep"), "node")
-    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = joined.join(least, "root").select("node", "component_id")
-    copied = classes.where("copies > 1").select("node", F.col("rep").alias("component_id")).join(linked.select("node"), "node", "left_anti")
-    special = linked.union(copied.select("node", "component_id"))
-    out = marks.select(id_col, "n_shingles", F.col("digest").alias("node")).join(special, "node", "left")
+        pairs = pairs.union(_prefix_pairs(large.join(known.drop("bands"), "node"), sets, percent))
+    roots = _joined(roots, pairs.distinct(), sets, percent)
+
+    least = classes.where("copies > 1").select("node", F.col("node").alias("component_id"))
+    named = roots.join(roots.groupBy("root").agg(F.min("node").alias("component_id")), "root").select("node", "component_id")
+    least = named.union(least.join(named, "node", "left_anti"))
+    special = classes.select("digest", "node").join(least, "node").select("digest", "component_id")
+    out = marks.select(id_col, "n_shingles", "digest").join(special, "digest", "left")
     component = F.when(F.col(id_col).isNotNull(), F.coalesce("component_id", id_col))
     return out.select(id_col, "n_shingles", component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(True)).alias("kept"))
 
 
+def _joined(roots: DataFrame | None, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """roots with the components that the pairs' confirmed links join."""
+    links = similar(pairs, sets, percent)
+    if roots is not None:
+        links = links.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return components(links)
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, without those that have a near-duplicate of smaller id in their component."""
     gone = near_duplicates(docs, id_col, text, width, percent).where(~F.col("kept")).select(id_col).distinct()

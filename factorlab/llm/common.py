@@ -52,6 +52,15 @@ def stored(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- Arrow and words
 
+#: Most bytes of a batch that goes to a Python worker; what a worker holds is a small multiple of it.
+BATCH_BYTES = "8m"
+
+
+def to_python(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches bounded by BATCH_BYTES from here on (a single longer text is a batch)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
 
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each row; null gives b''."""
@@ -62,7 +71,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 class WordHash(dict):
     """word -> 64-bit hash, remembered; emptied when it gets large, so memory stays bounded."""
 
-    limit = 400_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import text_bytes, to_python
 
 WINDOW = 10
 SHARD_WORDS = 2_000_000
@@ -208,7 +208,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
                 kinds = pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *(pa.array(v, t) for v, t in zip((n, spans, items), kinds, strict=True))], batch.schema.names)
 
-        out = out.mapInArrow(run, out.schema)
+        out = to_python(out).mapInArrow(run, out.schema)
     return out
 
 
@@ -254,7 +254,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", mos
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    out = found.mapInArrow(run, found.schema)
+    out = to_python(found).mapInArrow(run, found.schema)
     if n_chars:
         out = out.withColumn(n_chars, F.when(F.size("hit_spans") > 0, F.length(text)).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
     return out.select(docs.columns)

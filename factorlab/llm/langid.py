@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import to_python
+
 #: Most documents and characters of a language that are learned from; what the driver holds is bounded by them.
 SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 150, 24_000, 200
-SYMBOLS, RUN, TOGETHER = 64, 256, 6_000_000
+SYMBOLS, RUN, TOGETHER = 64, 256, 1_500_000
 RESTART = np.int32(1 << 30)
 
 
@@ -105,7 +107,7 @@ class Model:
         self.bits = [float(np.log2(len(v) + 1)) for v in texts.values()]
 
     def codes(self) -> np.ndarray:
-        out = np.full(0x110000, SYMBOLS - 1, np.int64)
+        out = np.full(0x110000, SYMBOLS - 1, np.uint8)
         out[self.symbols] = np.arange(1, len(self.symbols) + 1)
         return out
 
@@ -127,17 +129,17 @@ class Model:
             rows = [normalised(code_points(t), lower) if t else np.zeros(0, np.uint32) for t in texts_now]
             rows = [r if (r != 32).any() else r[:0] for r in rows]  # no letter
             parts = np.array([-(-len(r) // RUN) for r in rows])
-            flat = np.zeros(int(parts.sum()) * RUN, np.int64)
+            flat = np.zeros(int(parts.sum()) * RUN, np.uint8)
             start = 0
             for r, n in zip(rows, parts, strict=True):
                 flat[start : start + len(r)] = code[r]
                 start += int(n) * RUN
             owner = np.repeat(np.arange(len(rows)), parts)
             counts = np.zeros((len(self.tables), len(rows)))
-            for k in range(0, len(owner), 16384):
-                found = self.phrases(np.ascontiguousarray(flat.reshape(-1, RUN)[k : k + 16384].T))
+            for k in range(0, len(owner), 8192):
+                found = self.phrases(np.ascontiguousarray(flat.reshape(-1, RUN)[k : k + 8192].T))
                 for j, n in enumerate(found):
-                    counts[j] += np.bincount(owner[k : k + 16384], n, len(rows))
+                    counts[j] += np.bincount(owner[k : k + 8192], n, len(rows))
             cost = counts * np.array(self.bits)[:, None] / np.maximum(1, np.array([len(r) for r in rows]))
             best = cost.argmin(axis=0) if len(cost) else np.zeros(len(rows), int)
             # share of the best under weights 2^-(bits), of at most 40 characters, so that long texts keep a scale
@@ -210,7 +212,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = list(m.judge(batch.column(at).to_pylist(), lower, code))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return to_python(out).mapInArrow(run, T.StructType([*out.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

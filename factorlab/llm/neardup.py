@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, mixed, stored, text_bytes, windows_of
+from .common import WordHash, mixed, stored, text_bytes, to_python, windows_of
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)], [id_col, "n_shingles", "digest", "bands", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>")
+    return to_python(docs.select(id_col, text)).mapInArrow(run, f"`{id_col}` {kind}, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>")
 
 
 def id_bitmap(ids: DataFrame, id_col: str) -> np.ndarray:
@@ -144,7 +144,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: i
             yield block(part.column(1).take(pa.array(kept, pa.int64())), sets)
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(id_col), text)
-    return rows.mapInArrow(run, schema).join(wanted, "node", "left_semi")
+    return to_python(rows).mapInArrow(run, schema).join(wanted, "node", "left_semi")
 
 
 def _may_link(percent: int, fine: bool = False) -> Column:

@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import to_python
+
 CAPACITY, END_ID, GROUP_WINDOWS = 2048, 1, 64
 VOCABULARY = "byte_bpe_50k"
 _ODD_SPACE = re.compile(r"(?:^|\s) | (?:\s|$)")
@@ -42,7 +44,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder(dict):
     """chunk -> ids as little-endian unsigned 32-bit; the ids are those of the tokenizers file of the same vocabulary."""
 
-    limit = 400_000
+    limit = 250_000
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
@@ -216,7 +218,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity:
             k = 0
             while k < len(texts):
                 first, size = k, 0
-                while k < len(texts) and size < 4_000_000:
+                while k < len(texts) and size < 2_000_000:
                     size += len(texts[k])
                     k += 1
                 for doc, encoded in zip(ids[first:k], encoder.encode(texts[first:k]), strict=True):
@@ -229,7 +231,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity:
                 put(sequence)
             yield flushed()
 
-    return docs.select(id_col, text).mapInArrow(run, T.StructType(fields))
+    return to_python(docs.select(id_col, text)).mapInArrow(run, T.StructType(fields))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

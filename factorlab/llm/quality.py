@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, text_bytes, windows_of
+from .common import WordHash, text_bytes, to_python, windows_of
 
 SPACE = bytes([0x20, *range(9, 14)])
 CONTINUED = bytes(range(0x80, 0xC0))
@@ -146,7 +146,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", r
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(rows.values(), types, strict=True))], [id_col, *rows])
 
     schema = f"`{id_col}` {kind}, " + ", ".join(f"{c} bigint" for c in counts) + ", base_failed boolean, kept boolean, rejected_by string"
-    return docs.select(id_col, text).mapInArrow(run, schema)
+    return to_python(docs.select(id_col, text)).mapInArrow(run, schema)
 
 
 def filter_quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
@@ -159,7 +159,7 @@ def filter_quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFram
             keep = [not any(rules[k].rejects(d) for k in order) for d in map(Doc, text_bytes(batch.column(at)))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return to_python(docs).mapInArrow(run, docs.schema)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes
+from .common import text_bytes, to_python
 
 DATE = "2024-01-01T00:00:00Z"
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg)\b[^>]*>.*?</\1\s*>|<(?:script|style)\b[^>]*>.*\Z", re.S | re.I)
@@ -159,7 +159,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         records = []
                 yield pa.RecordBatch.from_arrays(_columns(records), NAMES)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return to_python(spark.read.format("binaryFile").load(path).select("content")).mapInArrow(run, RECORD)
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def derive(records: DataFrame) -> DataFrame:
                 out += derivatives({"headers": dict(headers or []), "block": block or b""})
             yield pa.RecordBatch.from_arrays(_columns(out), NAMES)
 
-    return records.select("headers", "block").mapInArrow(run, RECORD)
+    return to_python(records.select("headers", "block")).mapInArrow(run, RECORD)
 
 
 def derive_pages(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -194,7 +194,7 @@ def derive_pages(pages: DataFrame, id_col: str = "page_id", url: str = "url", pa
                     owners += [k] * len(made)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(owners, pa.int64())), *_columns(out)], [id_col, *NAMES])
 
-    return pages.select(id_col, url, page).mapInArrow(run, T.StructType([kind, *T.StructType.fromDDL(RECORD).fields]))
+    return to_python(pages.select(id_col, url, page)).mapInArrow(run, T.StructType([kind, *T.StructType.fromDDL(RECORD).fields]))
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,13 @@
 """PII pseudonyms: validated numbers, dates and addresses are permuted within their format by a keyed Feistel network.
 
-Native DataFrame code only. One pattern finds the candidates; each is validated (Luhn, mod 97, calendar, octets, number
+Native DataFrame code only. Patterns find the candidates; each is validated (Luhn, mod 97, calendar, octets, number
 ranges) and, if valid, replaced by another value of its format. The permutation depends on key and kind alone, so equal
-values get equal pseudonyms in every document and different ones stay different.
+values get equal pseudonyms in every document and different ones stay different. Cards, IBANs and phones are permuted
+without their separators, so a value's pseudonym doesn't depend on how it is written.
+
+A text is searched in layers: IBANs, cards in their usual groups, other cards, all other kinds. Only valid values are cut
+out; what is between them is searched whole by the next layer. Runs of groups of digits (or of IBAN characters) may hold
+several numbers: from each group on the longest valid sub-run that ends with a group is taken, and the search goes on after it.
 
 The network works on a list of digits with a radix each (10 for digits, 26 for letters, 256 for octets, 1 for what stays).
 In each round one half is shifted, digit by digit and modulo its radix, by SHA-256 of key, round and the other half; that
@@ -18,13 +23,21 @@ from .common import let
 
 ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+IBAN_RUN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?:[ -][A-Z0-9]++(?![a-z]))*+"
+IBAN = r"^[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:([ -])[A-Z0-9]{4}(?:\1[A-Z0-9]{4}){1,6})(?:\1[A-Z0-9]{1,4})?)$"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-PATTERN = "|".join((EMAIL, IBAN, DATE, SSN, IP, PHONE, CARD))
+#: Numbers that end a run of digits. FEW: not before a phone that more digits follow than it can have.
+OTHER = "|".join((DATE, SSN, IP))
+FEW = r"(?!\+(?:[ .-]?[0-9]){16}|(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)(?:[ .-]?[0-9]){13})"
+CARD_RUN = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{OTHER})[0-9]++)*+"
+USUAL_CARD = r"^(?:[0-9]+|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
+#: What is cut out, or kept whole, in the layers of IBANs, of cards and of all other kinds.
+IBANS = f"{EMAIL}|{IBAN_RUN}"
+CARDS = f"{EMAIL}|{OTHER}|{FEW}(?:{PHONE})|{CARD_RUN}"
+OTHERS = f"{EMAIL}|{OTHER}|{PHONE}"
 KINDS = ("email", "iban", "date", "ssn", "ip", "phone", "card")
 FIRST_DAY, DAYS, A, B = "1900-01-01", 73049, 270, 271  # 270 * 271 = 73,170 >= 73,049 days
 
@@ -65,6 +78,16 @@ def _in_place(m: Column, fixed, key: str, kind: str) -> Column:
     return let(F.split(m, ""), permuted)
 
 
+def _bare(m: Column) -> Column:
+    """m without its separators."""
+    return F.regexp_replace(m, "[^0-9A-Za-z]", "")
+
+
+def _laid_out(m: Column, new: Column) -> Column:
+    """The characters of new in m's layout."""
+    return F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(new, F.length(_bare(F.substring(m, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
+
+
 def luhn_sum(digits: Column) -> Column:
     """Weighted digit sum of a string of digits, the last one counting once."""
     doubled = lambda d: F.when(d > 4, 2 * d - 9).otherwise(2 * d)
@@ -77,15 +100,24 @@ def _mod97(text: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
-    new = _in_place(m, lambda i: i == F.length(m) - 1, key, "card")  # all but the check digit, which is the last character
-    checked = let(F.substring(new, F.lit(1), F.length(new) - 1), lambda body: F.concat(body, ((10 - luhn_sum(F.concat(digits(body), F.lit("0"))) % 10) % 10).cast("string")))
-    return F.when(luhn_sum(digits(m)) % 10 == 0, checked)
+    def made(digits: Column) -> Column:
+        body = let(F.length(digits), lambda n: _in_place(digits, lambda i: i == n - 1, key, "card").substr(F.lit(1), n - 1))  # all but the check digit
+        return let(body, lambda x: F.concat(x, ((10 - luhn_sum(F.concat(x, F.lit("0"))) % 10) % 10).cast("string")))
+
+    return let(made(_bare(m)), lambda new: _laid_out(m, new))
+
+
+def _is_card(m: Column) -> Column:
+    return let(_bare(m), lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0))
 
 
 def _iban(m: Column, key: str) -> Column:
-    new = let(_in_place(m, lambda i: i < 4, key, "iban"), lambda x: F.concat(F.substring(x, 1, 2), F.lpad((98 - _mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 2), F.lit("00")))).cast("string"), 2, "0"), F.substring(x, F.lit(5), F.length(x))))
-    return F.when(_mod97(F.concat(F.substring(m, F.lit(5), F.length(m)), F.substring(m, 1, 4))) == 1, new)
+    made = lambda b: let(_in_place(b, lambda i: i < 4, key, "iban"), lambda x: F.concat(F.substring(x, 1, 2), F.lpad((98 - _mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 2), F.lit("00")))).cast("string"), 2, "0"), F.substring(x, F.lit(5), F.length(x))))
+    return let(let(_bare(m), made), lambda new: _laid_out(m, new))
+
+
+def _is_iban(m: Column) -> Column:
+    return m.rlike(IBAN) & let(_bare(m), lambda b: F.length(b).between(15, 34) & (_mod97(F.concat(F.substring(b, F.lit(5), F.length(b)), F.substring(b, 1, 4))) == 1))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -125,9 +157,13 @@ def _date(m: Column, key: str) -> Column:
     return F.when((index >= 0) & (index < DAYS), new)
 
 
+#: Country codes of one and of two digits; all others have three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
 def _phone(m: Column, key: str) -> Column:
-    code = F.length(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0))
-    return F.when(F.length(F.regexp_replace(m, "[^0-9]", "")).between(7, 15), _in_place(m, lambda i: i < code, key, "phone"))
+    made = lambda d: let(F.when(m.startswith("+"), F.length(F.regexp_extract(F.concat(F.lit("+"), d), COUNTRY, 0)) - 1).otherwise(0), lambda code: _in_place(d, lambda i: i < code, key, "phone"))
+    return F.when(F.length(_bare(m)).between(7, 15), let(let(_bare(m), made), lambda new: _laid_out(m, new)))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -135,23 +171,108 @@ def _email(m: Column, key: str) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """The kind of a match of PATTERN, by its shape."""
+    """The kind of a match of OTHERS, by its shape."""
     return (
-        F.when(m.contains("@"), "email").when(m.rlike("^[A-Z]"), "iban").when(m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|/"), "date")
-        .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), "ip").when(m.rlike(r"^[+(]"), "phone").otherwise("card")
+        F.when(m.contains("@"), "email").when(m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|/"), "date")
+        .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), "ip").otherwise("phone")
     )
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of a match, or null if it isn't valid."""
-    make = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}
+    """The pseudonym of a match of OTHERS, or null if it isn't valid."""
+    make = {"email": _email, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone}
     kind = kind_of(m)
     out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for k in KINDS:
+    for k in make:
         out = out.when(kind == k, make[k](m, key))
     return out
 
 
+PART = "struct<kind:string,m:string,new:string>"
+
+
+def _part(m: Column, kind: Column | None = None, new: Column | None = None) -> Column:
+    """A piece of text; new is null in what isn't replaced."""
+    null = F.lit(None).cast("string")
+    return F.struct((null if kind is None else kind).alias("kind"), m.alias("m"), (null if new is None else new).alias("new"))
+
+
+def _one(m: Column, key: str) -> Column:
+    return F.array(_part(m, kind_of(m), pseudonym(m, key)))
+
+
+def _groups(m: Column, kind: str, lengths, valid, make, key: str) -> Column:
+    """Parts of a run of groups: its valid sub-runs of so many groups, from the left, the longest first, and the rest."""
+    bare_end = lambda x: F.regexp_replace(x, "[ -]$", "")
+    end = lambda x: F.get(x, F.lit(0)) + F.get(x, F.lit(1))
+
+    def cut(groups: Column) -> Column:
+        joined = lambda start, n: F.array_join(F.slice(groups, start + 1, n), "")
+
+        def longest(i: Column) -> Column:
+            out = F.lit(0)
+            for n in sorted(lengths):
+                out = F.when((i + n <= F.size(groups)) & let(bare_end(joined(i, F.lit(n))), valid), F.lit(n)).otherwise(out)
+            return out
+
+        nothing = F.expr("array()").cast("array<array<int>>")
+        taken = F.aggregate(
+            F.sequence(F.lit(0), F.size(groups) - 1), F.struct(F.lit(0).alias("next"), nothing.alias("all")),
+            lambda a, i: F.when(i < a["next"], a).otherwise(let(longest(i), lambda n: F.when(n > 0, F.struct((i + n).alias("next"), F.concat(a["all"], F.array(F.array(i, n))).alias("all"))).otherwise(a))),
+            lambda a: a["all"],
+        )
+
+        def parts(all_taken: Column) -> Column:
+            before = lambda k: F.when(k == 0, F.lit(0)).otherwise(end(F.get(all_taken, k - 1)))
+
+            def both(x: Column, k: Column) -> Column:
+                found = joined(F.get(x, F.lit(0)), F.get(x, F.lit(1)))
+                made = let(found, lambda f: let(bare_end(f), lambda b: F.array(_part(b, F.lit(kind), make(b, key)), _part(F.substring(f, F.length(b) + 1, F.lit(1))))))
+                return F.concat(F.array(_part(joined(before(k), F.get(x, F.lit(0)) - before(k)))), made)
+
+            rest = let(end(F.element_at(all_taken, -1)), lambda e: joined(e, F.size(groups) - e))
+            return F.when(F.size(all_taken) > 0, F.concat(F.flatten(F.transform(all_taken, both)), F.array(_part(rest)))).otherwise(F.array(_part(m)))
+
+        return let(taken, parts)
+
+    return let(F.regexp_extract_all(m, F.lit("[A-Z0-9]+[ -]?"), F.lit(0)), cut)
+
+
+def _ibans(m: Column, key: str) -> Column:
+    # at most 4 + 30 characters: 9 groups
+    return F.when(m.contains("@"), F.array(_part(m))).otherwise(_groups(m, "iban", range(1, 10), _is_iban, _iban, key))
+
+
+def _cards(usual: bool):
+    lengths, valid = ((1, 3, 4, 5), lambda m: m.rlike(USUAL_CARD) & _is_card(m)) if usual else (range(2, 20), _is_card)
+
+    def judge(m: Column, key: str) -> Column:
+        return F.when(m.rlike("^[0-9 -]{13,}$") & ~m.rlike(f"^(?:{OTHER})$"), _groups(m, "card", lengths, valid, _card, key)).otherwise(F.array(_part(m)))
+
+    return judge
+
+
+def _layer(parts: Column, pattern: str, judge, key: str) -> Column:
+    """parts with the valid matches in those that aren't replaced yet cut out; the text between them stays whole."""
+
+    def cut(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: judge(m, key))
+        none = F.expr("array()").cast(f"array<{PART}>")
+        pieces = F.flatten(F.zip_with(F.split(t, pattern, -1), found, lambda p, x: F.concat(F.array(_part(p)), F.coalesce(x, none))))
+        return let(pieces, lambda all_: let(F.filter(F.transform(all_, lambda x, i: F.when(x["new"].isNotNull(), i)), lambda i: i.isNotNull()), lambda ok: merged(t, all_, ok)))
+
+    def merged(t: Column, pieces: Column, ok: Column) -> Column:
+        start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(ok, k - 1) + 1)
+        plain = lambda a, b: F.array(_part(F.array_join(F.transform(F.slice(pieces, a + 1, b - a), lambda x: x["m"]), "")))
+        upto = F.flatten(F.transform(ok, lambda e, k: F.concat(plain(start(k), e), F.array(F.get(pieces, e)))))
+        return F.when(F.size(ok) == 0, F.array(_part(t))).otherwise(F.concat(upto, plain(start(F.size(ok)), F.size(pieces))))
+
+    return F.flatten(F.transform(parts, lambda s: F.when(s["new"].isNull() & s["m"].rlike(pattern), cut(s["m"])).otherwise(F.array(s))))
+
+
+LAYERS = ((IBANS, _ibans), (CARDS, _cards(True)), (CARDS, _cards(False)), (OTHERS, _one))
+
+
 def pseudonymize(docs: DataFrame, text: str = "text", key: str = "factorlab", counts: bool = True) -> DataFrame:
     """docs with every valid value in text replaced by its pseudonym, and n_pii and n_<kind> of them (long).
 
@@ -159,14 +280,14 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = "factorlab", co
     Columns with the names of the counts are replaced. key: the secret that the pseudonyms depend on.
     """
     t = F.col(text)
-    found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.expr("array()").cast("array<string>"))
-    out = docs.withColumn("_found", F.coalesce(F.transform(found, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("m"), pseudonym(m, key).alias("new"))), F.expr("array()").cast("array<struct<kind:string,m:string,new:string>>")))
+    out = docs.withColumn("_found", F.when(t.rlike("[0-9@]"), F.array(_part(t))).otherwise(F.expr("array()").cast(f"array<{PART}>")))
+    for pattern, judge in LAYERS:
+        out = out.withColumn("_found", _layer(F.col("_found"), pattern, judge, key))
     valid = F.filter("_found", lambda x: x["new"].isNotNull())
     count = lambda k: F.size(F.filter(valid, lambda x: x["kind"] == k)).cast("bigint")
     if counts:
         out = out.withColumns({f"n_{k}": count(k) for k in KINDS} | {"n_pii": F.size(valid).cast("bigint")})
-    pieces = F.split(t, PATTERN, -1)
-    renewed = F.array_join(F.zip_with(pieces, F.col("_found"), lambda p, x: F.concat(p, F.coalesce(x["new"], x["m"], F.lit("")))), "")
+    renewed = F.array_join(F.transform("_found", lambda x: F.coalesce(x["new"], x["m"])), "")
     return out.withColumn(text, F.when(F.size(valid) > 0, renewed).otherwise(t)).drop("_found")
 
 

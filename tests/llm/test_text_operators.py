@@ -446,6 +446,23 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert other != got[1]["text"]
 
 
+def test_pseudonyms_of_numbers_beside_others(spark):
+    card, iban = "4111111111111111", "DE89370400440532013000"
+    grouped = " ".join(card[k : k + 4] for k in range(0, 16, 4))
+    texts = [
+        card, grouped, grouped.replace(" ", "-"), f"{grouped} 123", f"{grouped} 12/27", f"order 7 {grouped}", f"+1 555 123 4567 {grouped}", f"+1 {grouped}", f"ID{card}", f"12 34 {grouped} {grouped} 1",
+        f"{grouped} 05/03/2024", iban, "DE89 3704 0044 0532 0130 00", "AB12 DE89 3704 0044 0532 0130 00 EUR 5", "+1 (555) 123-4567", "+15551234567",
+    ]
+    rows = pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    digits = [re.sub("[ ()-]", "", r["text"]) for r in rows]
+    new = digits[0]
+    assert new != card and luhn(new) and all(new in d for d in digits[:11]) and not any("1111" in d.replace(new, "") for d in digits)
+    assert [r["n_card"] for r in rows] == [1] * 9 + [2, 1] + [0] * 5 and rows[3]["text"].endswith(" 123") and rows[4]["text"].endswith(" 12/27")
+    assert [r["n_date"] for r in rows] == [0] * 10 + [1] + [0] * 5 and "05/03/2024" not in rows[10]["text"] and rows[6]["n_phone"] == 1
+    assert digits[11] == digits[12] != iban and digits[13] == f"AB12{digits[11]}EUR5" and rows[12]["text"].count(" ") == 5 and [r["n_iban"] for r in rows[11:]] == [1, 1, 1, 0, 0]
+    assert digits[14] == digits[15] != "+15551234567"
+
+
 def test_pseudonyms_are_a_permutation(spark):
     days = [f"{y}-{m:02d}-{d:02d}" for y in (1900, 1987, 2024, 2099) for m in range(1, 13) for d in range(1, 29)]
     numbers = [f"{a:03d}-{b:02d}-0001" for a in range(1, 60) for b in range(1, 20)]

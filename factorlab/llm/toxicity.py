@@ -4,12 +4,15 @@ A linear numpy classifier is trained from confirmed toxic examples (P) and unlab
 the logistic loss l, the risk is  pi * E_P[l(z)] + max(0, E_U[l(-z)] - pi * E_P[l(-z)]):  the second term estimates the
 risk on the clean part of U, which can't be negative; where its estimate falls below zero the step goes against it, which
 keeps the classifier from memorising P. Features are hashed words, their beginnings and byte n-grams, as rates per word, so a
-document's score doesn't depend on its length and a word's whole weight can be remembered. Two numbers (slope and
+document's score doesn't depend on its length and a word's whole weight can be remembered. Words end at ASCII that is no
+letter or digit and at Unicode's spaces; longer ones, as in unspaced scripts, are read in pieces that share no n-gram and
+leave none out, each counting as a word, so every byte of a text reaches its score. Two numbers (slope and
 offset) are then fitted on labelled rows that were not in P or U, so that a score reads as a probability.
 """
 
 from __future__ import annotations
 
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +33,38 @@ TOXIC_AT = 0.7
 #: A-Z to a-z; other ASCII that is no letter or digit to a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
+#: Spaces and line ends beyond ASCII: U+0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000.
+_SPACES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Bytes of a word, or of a piece of a longer one.
+PIECE = 64
+
 
 def features(word: bytes) -> list[int]:
-    """Hashed features of a word: itself, its beginnings and its byte n-grams, with its ends marked."""
-    marked = b"<" + word[:64] + b">"
-    grams = {marked[:n] for n in PREFIXES} | {marked[i : i + GRAM] for i in range(1, len(marked) - GRAM + 1)}
-    return [xxhash.xxh32_intdigest(g) & (DIMENSIONS - 1) for g in {marked, *grams}]
+    """Hashed features of a word: itself, its beginnings and its byte n-grams, with its ends marked.
+
+    A piece of a longer word has a space where the word goes on: it has the n-grams, and the beginnings if it is the first.
+    """
+    first, last = word[:1] != b" ", word[-1:] != b" "
+    marked = b"<" * first + word.strip(b" ") + b">" * last
+    grams = {marked[i : i + GRAM] for i in range(int(first), len(marked) - GRAM + 1)}
+    if first:
+        grams |= {marked[:n] for n in PREFIXES}
+    if first and last:
+        grams.add(marked)
+    return [xxhash.xxh32_intdigest(g) & (DIMENSIONS - 1) for g in grams]
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """A word, or pieces of PIECE bytes of a longer one, each n-gram lying in one of them."""
+    if len(word) <= PIECE:
+        return [word]
+    starts = range(0, len(word) - GRAM + 1, PIECE - GRAM + 1)
+    return [b" " * (s > 0) + word[s : s + PIECE] + b" " * (s + PIECE < len(word)) for s in starts]
 
 
 def words_of(raw: bytes) -> list[bytes]:
-    return raw.translate(_TABLE).split()
+    words = (raw if raw.isascii() else _SPACES.sub(b" ", raw)).translate(_TABLE).split()
+    return [p for w in words for p in pieces(w)] if max(map(len, words), default=0) > PIECE else words
 
 
 class _Remembered(dict):

@@ -172,6 +172,29 @@ def test_toxicity_without_labels_or_text(odd, none):
     assert toxicity.score_toxicity(none, weights, offset).count() == 0
 
 
+def test_toxicity_reads_every_byte_of_long_words(spark):
+    for n in (1, 64, 65, 66, 124, 125, 5000):
+        word = bytes(128 + (k * k * 7 + k // 128) % 128 for k in range(n))
+        marked = b"<" + word + b">"
+        grams = [p.strip(b" ") for p in toxicity.words_of(word)]
+        grams = [(b"<" * (k == 0) + p + b">" * (k == len(grams) - 1)) for k, p in enumerate(grams)]
+        assert [g[i : i + 5] for g in grams for i in range(len(g) - 4)] == [marked[i : i + 5] for i in range(len(marked) - 4)]
+    assert toxicity.words_of("a\u00a0b\u3000c\u2003d é".encode()) == [b"a", b"b", b"c", b"d", "é".encode()]
+    rng = random.Random(7)
+    for blank in ("", "\u3000"):
+        docs, labels = [], []
+        for i in range(1500):
+            text = ["".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(3)) for _ in range(80)]
+            for _ in range(6 if i % 5 == 0 else 0):
+                text[rng.randrange(30, 80)] = "\u6076\u6bd2\u8bdd"
+            docs.append((i, blank.join(text)))
+            labels.append((i, int(i % 5 == 0)))
+        df, lab = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(labels, "doc_id int, toxic int")
+        got = toxicity.score_toxicity(df, *toxicity.train_toxicity(df, lab)).collect()
+        held = [r["predicted"] == labels[r["doc_id"]][1] for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+        assert sum(held) / len(held) > 0.95, blank
+
+
 # ---------------------------------------------------------------- op 5
 
 

@@ -4,13 +4,17 @@ For each language a suffix automaton of normalised sample text is built. A text
 match found in a language's sample; few phrases mean that the text looks like the sample. The number of phrases times the
 bits that one costs (log2 of the sample's length), per character, estimates the cross-entropy; the least one wins.
 
+Every symbol of a language's sample has a code of its own there; a symbol that the sample lacks is a phrase by itself.
 Parsing starts again at the root after each phrase, so the automaton is used as a table of moves in which a failing move
-already holds its restart. Texts are cut into runs of RUN characters, which all step through the tables side by side in
+already holds its restart; samples of more than SYMBOLS symbols have a sparse table. Texts are cut into runs of RUN characters, which all step through the tables side by side in
 numpy; each run ends with one open phrase for every language alike.
 """
 
 from __future__ import annotations
 
+import functools
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +25,9 @@ from .common import to_python
 
 #: Most documents and characters of a language that are learned from; what the driver holds is bounded by them.
 SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 150, 24_000, 200
-SYMBOLS, RUN, TOGETHER = 64, 256, 1_500_000
+RUN, TOGETHER = 256, 1_500_000
+#: Most codes of a dense table of moves.
+SYMBOLS = 64
 RESTART = np.int32(1 << 30)
 
 
@@ -29,10 +35,11 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
 
+@functools.cache
 def letters() -> np.ndarray:
     """Lower-case form of each code point that is a letter, 0 of others; forms of several characters keep the first."""
     out = np.zeros(0x110000, np.uint32)
-    for i in range(0x30000):
+    for i in range(sys.maxunicode + 1):
         c = chr(i)
         if c.isalpha():
             out[i] = ord(c.lower()[0])
@@ -47,77 +54,119 @@ def normalised(points: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return out[~(space & np.concatenate([[False], space[:-1]]))]
 
 
-def suffix_automaton(codes: np.ndarray) -> np.ndarray:
-    """Moves of the suffix automaton of codes (below SYMBOLS): states x SYMBOLS, -1 where there is none."""
-    n = len(codes)
-    moves = np.full((2 * n + 2, SYMBOLS), -1, np.int32)
-    link, length = [-1] * (2 * n + 2), [0] * (2 * n + 2)
-    size, last = 1, 0
+def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """Moves of each state of the suffix automaton of codes; the root comes first."""
+    moves, link, length, last = [{}], [-1], [0], 0
     for c in codes.tolist():
-        new, p = size, last
-        size += 1
-        length[new] = length[last] + 1
-        while p >= 0 and moves[p, c] < 0:
-            moves[p, c] = new
+        new, p = len(moves), last
+        moves.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        while p >= 0 and c not in moves[p]:
+            moves[p][c] = new
             p = link[p]
-        if p < 0:
-            link[new] = 0
-        else:
-            q = int(moves[p, c])
+        if p >= 0:
+            q = moves[p][c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                copy = size
-                size += 1
-                length[copy] = length[p] + 1
-                moves[copy] = moves[q]
-                link[copy] = link[q]
-                while p >= 0 and moves[p, c] == q:
-                    moves[p, c] = copy
+                copy = len(moves)
+                moves.append(dict(moves[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and moves[p].get(c) == q:
+                    moves[p][c] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return moves[:size]
+    return moves
 
 
-def table(codes: np.ndarray) -> np.ndarray:
+class Dense:
     """The automaton's moves with restarts: a missing move goes where the root goes, marked as a new phrase.
 
-    Codes are 1 to SYMBOLS - 2 for known symbols, SYMBOLS - 1 for all others; 0 is padding and stays in its state.
+    Codes are 1 to width - 2 for the sample's symbols, width - 1 for all others; 0 is padding and stays in its state.
     """
-    moves = suffix_automaton(codes)
-    root = np.where(moves[0] < 0, 0, moves[0])
-    out = np.where(moves < 0, root | RESTART, moves).astype(np.int32)
-    out[:, 0] = np.arange(len(out))
-    return out.ravel()
+
+    def __init__(self, moves: list[dict[int, int]], width: int):
+        self.width = width
+        root = np.zeros(width, np.int32)
+        root[list(moves[0])] = list(moves[0].values())
+        out = np.tile(root | RESTART, (len(moves), 1))
+        for state, to in enumerate(moves):
+            out[state, list(to)] = list(to.values())
+        out[:, 0] = np.arange(len(out))
+        self.moves = out.ravel()
+
+    def step(self, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return self.moves[at * self.width + row]
+
+
+class Sparse:
+    """The same for many symbols: each state's first move by itself, the further ones by search."""
+
+    def __init__(self, moves: list[dict[int, int]], width: int):
+        self.width = width
+        root = np.zeros(width, np.int32)
+        root[list(moves[0])] = list(moves[0].values())
+        self.missing = root | RESTART
+        self.root = np.where(root > 0, root, RESTART)
+        self.code, self.target, self.many = np.full(len(moves), -1, np.int32), np.zeros(len(moves), np.int32), np.zeros(len(moves), bool)
+        keys, values = [-1], [0]
+        for state, to in enumerate(moves):
+            if state and to:
+                self.code[state], self.target[state] = next(iter(to.items()))
+                self.many[state] = len(to) > 1
+                for c in sorted(to) if len(to) > 1 else ():
+                    keys.append(state * width + c)
+                    values.append(to[c])
+        self.keys, self.values = np.array(keys, np.int64), np.array(values, np.int32)
+
+    def step(self, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        first = self.code[at] == row
+        to = np.where(at == 0, self.root[row], np.where(first, self.target[at], self.missing[row]))
+        more = np.flatnonzero(self.many[at] & ~first)
+        if len(more):
+            wanted = at[more] * self.width + row[more]
+            found = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            hit = self.keys[found] == wanted
+            to[more[hit]] = self.values[found[hit]]
+        return np.where(row == 0, at, to)
 
 
 class Model:
-    """Languages, their tables, and the symbols that get a code of their own."""
+    """Languages, their tables, and the symbols of all samples together."""
 
     def __init__(self, samples: dict[str, list[str]]):
         lower = letters()
         texts = {k: normalised(code_points("\n".join(samples[k])), lower)[:SAMPLE_CHARS] for k in sorted(samples)}
         texts = {k: v for k, v in texts.items() if len(v)}
-        seen, counts = np.unique(np.concatenate([*texts.values(), np.array([32], np.uint32)]), return_counts=True)
-        self.symbols = seen[np.argsort(-counts, kind="stable")][: SYMBOLS - 2]
+        self.symbols = np.unique(np.concatenate([*texts.values(), np.array([32], np.uint32)]))
         self.languages = list(texts)
         code = self.codes()
-        self.tables = [table(code[v]) for v in texts.values()]
+        self.own, self.tables = [], []
+        for v in texts.values():
+            known = np.unique(code[v])
+            own = np.full(len(self.symbols) + 2, len(known) + 1, np.int64)  # a symbol's code in this language
+            own[known], own[0] = np.arange(1, len(known) + 1), 0
+            self.own.append(own)
+            self.tables.append((Dense if len(known) + 2 <= SYMBOLS else Sparse)(suffix_automaton(own[code[v]]), len(known) + 2))
         self.bits = [float(np.log2(len(v) + 1)) for v in texts.values()]
 
     def codes(self) -> np.ndarray:
-        out = np.full(0x110000, SYMBOLS - 1, np.uint8)
-        out[self.symbols] = np.arange(1, len(self.symbols) + 1)
+        """Code of each code point: 1 on for the symbols of any sample, the one after them for all others."""
+        other = len(self.symbols) + 1
+        out = np.full(0x110000, other, np.min_scalar_type(other))
+        out[self.symbols] = np.arange(1, other)
         return out
 
     def phrases(self, runs: np.ndarray) -> np.ndarray:
         """Phrases that each run (a column of codes) needs, by language."""
         out = np.zeros((len(self.tables), runs.shape[1]), np.int32)
-        for k, moves in enumerate(self.tables):
+        for k, (own, moves) in enumerate(zip(self.own, self.tables, strict=True)):
             at, n = np.zeros(runs.shape[1], np.int64), out[k]
             for row in runs:
-                to = moves[at * SYMBOLS + row]
+                to = moves.step(at, own[row])
                 restart = to >= RESTART
                 n += restart
                 at = (to & (RESTART - 1)).astype(np.int64)
@@ -129,7 +178,7 @@ class Model:
             rows = [normalised(code_points(t), lower) if t else np.zeros(0, np.uint32) for t in texts_now]
             rows = [r if (r != 32).any() else r[:0] for r in rows]  # no letter
             parts = np.array([-(-len(r) // RUN) for r in rows])
-            flat = np.zeros(int(parts.sum()) * RUN, np.uint8)
+            flat = np.zeros(int(parts.sum()) * RUN, code.dtype)
             start = 0
             for r, n in zip(rows, parts, strict=True):
                 flat[start : start + len(r)] = code[r]
@@ -170,7 +219,8 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """The model of a bounded sample: per language up to sample_docs documents, those of smallest hash.
 
     Only rows with text, id and lang, and whose crc32(id as text) mod 3 is not 1, are learned from. Without any, all texts
-    are und. Counts per language choose a hash limit first, so no language's rows have to be sorted.
+    are und. Of a document at most the first 4,800 characters are read, and of a language the first SAMPLE_CHARS normalised
+    ones of its documents in hash order: the sample_docs short documents, or as few as five long ones. Counts per language choose a hash limit first, so no language's rows have to be sorted.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col))
     counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()

@@ -339,6 +339,31 @@ def test_phrases_against_brute_force():
             assert model.phrases(runs)[k, 0] == count + 1
 
 
+def test_languages_of_many_symbols_are_told_apart():
+    rng = random.Random(10)
+    alphabets = {"el": range(0x3B1, 0x3CA), "en": range(97, 123), "g": range(0x30000, 0x30400), "ja": range(0x4E00, 0x5600), "ru": range(0x430, 0x450), "zh": range(0x5200, 0x5A00)}
+    words = {k: ["".join(chr(rng.choice(a)) for _ in range(rng.randint(2, 5))) for _ in range(400)] for k, a in alphabets.items()}
+    written = lambda k, n: (" " if k in ("el", "en", "ru") else "").join(rng.choice(words[k]) for _ in range(n))
+    samples = {k: [written(k, 1500)] for k in words}
+    model, lower = langid.Model(samples), langid.letters()
+    code, told = model.codes(), [k for k in words for _ in range(20)]
+    assert [f[0] for f in model.judge([written(k, 15) for k in told], lower, code)] == told
+    assert {type(t) for t in model.tables} == {langid.Dense, langid.Sparse}
+    for _ in range(20):
+        text = "".join(written(k, 6) for k in rng.sample(sorted(words), 3))
+        norm = langid.normalised(langid.code_points(text), lower)
+        runs = np.zeros((langid.RUN, 1), np.int64)
+        runs[: len(norm), 0] = code[norm]
+        for k, name in enumerate(model.languages):
+            learned, now, count = "".join(map(chr, langid.normalised(langid.code_points(samples[name][0]), lower))), "", 0
+            for c in map(chr, norm):
+                if now + c in learned:
+                    now += c
+                else:
+                    count, now = count + 1, c if c in learned else ""
+            assert model.phrases(runs)[k, 0] == count + 1
+
+
 def test_languages_are_told_apart(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     got = langid.identify(docs, langid.learn_languages(docs)).toPandas()

@@ -14,9 +14,10 @@ from factorlab.llm.common import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; those without a letter go."""
-    found = langid.identify(docs, langid.learn_languages(docs))
-    return found.where(F.col("lang_pred") != "und").select(docs.columns)
+    """Documents with a letter, in whatever language and also where none can be learned; null texts and others go."""
+    columns = docs.columns
+    found = langid.identify(docs, langid.learn_languages(docs), letter="_letter")
+    return found.where("_letter").select(columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

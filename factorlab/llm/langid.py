@@ -173,7 +173,7 @@ class Model:
         return out + 1
 
     def judge(self, texts: list[str | None], lower: np.ndarray, code: np.ndarray):
-        """(language or und, score) of each text; memory follows TOGETHER, not the number of texts."""
+        """(language or und, score, whether it has a letter) of each text; memory follows TOGETHER, not the number of texts."""
         for texts_now in _grouped(texts):
             rows = [normalised(code_points(t), lower) if t else np.zeros(0, np.uint32) for t in texts_now]
             rows = [r if (r != 32).any() else r[:0] for r in rows]  # no letter
@@ -195,7 +195,7 @@ class Model:
             weigh = np.exp2(-(cost - cost.min(axis=0, initial=np.inf)) * np.minimum(40, [max(1, len(r)) for r in rows]))
             share = 1 / np.maximum(1.0, weigh.sum(axis=0))
             for r, b, s in zip(rows, best, share, strict=True):
-                yield (self.languages[b], float(s)) if len(r) and self.languages else ("und", 0.0)
+                yield (self.languages[b], float(s), True) if len(r) and self.languages else ("und", 0.0, len(r) > 0)
 
 
 def _grouped(texts: list[str | None]):
@@ -246,13 +246,15 @@ def _by(lang: str):
     return Window.partitionBy(lang).orderBy("key", "text")
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred (und: null text or no letter) and score (0 to 1); columns of these names are replaced.
+def identify(docs: DataFrame, model: Model, text: str = "text", letter: str | None = None) -> DataFrame:
+    """docs with lang_pred (und: null text, no letter, or a model without languages) and score (0 to 1); columns of these
+    names are replaced. letter: name of a further column that tells whether the text has a letter, whatever the model.
 
     Each whole text is parsed; ties go to the language first in order.
     """
-    out = docs.drop("lang_pred", "score")
+    out = docs.drop("lang_pred", "score", *([letter] if letter else []))
     at = out.columns.index(text)
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField(letter, T.BooleanType())] if letter else [])]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LANGUAGES * SAMPLE_CHARS
 
     def run(batches):
@@ -260,9 +262,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         lower, code = letters(), m.codes()
         for batch in batches:
             found = list(m.judge(batch.column(at).to_pylist(), lower, code))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            told = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told[: len(new)]], [*batch.schema.names, *(f.name for f in new)])
 
-    return to_python(out).mapInArrow(run, T.StructType([*out.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return to_python(out).mapInArrow(run, T.StructType([*out.schema.fields, *new]))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -554,5 +554,16 @@ def test_pipeline_stage_by_stage(spark):
     assert {r["doc_id"] for r in after} == set(before)
 
 
+def test_pipeline_keeps_documents_without_labels(spark):
+    import corpus_pipeline
+
+    rows = [(1, "some text", None), (2, "123", None), (3, None, None), (4, "\u4e2d\u6587", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    alone = spark.createDataFrame([(k, t, "en" if zlib.crc32(str(k).encode()) % 3 == 1 else None) for k, t, _ in rows], docs.schema)
+    for df in (docs, alone):
+        out = corpus_pipeline.language_id(spark, df, SF)
+        assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == {1, 4}
+
+
 def test_items_digest():
     assert decontaminate.items_digest([]) == hashlib.sha256(b"").hexdigest()

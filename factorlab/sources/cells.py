@@ -99,6 +99,13 @@ def row_labels(cells: DataFrame) -> list:
     return [r[0] for r in cells.select("row").distinct().orderBy("row").collect()]
 
 
+def rows_and_gaps(cells: DataFrame) -> tuple[list, bool]:
+    """row_labels(), and whether any value is missing (NULL or NaN), in one pass."""
+    missing = F.col("value").isNull() | F.isnan(F.col("value").cast("double"))
+    found = cells.groupBy("row").agg(F.max(missing).alias("missing")).orderBy("row").collect()
+    return [r["row"] for r in found], any(r["missing"] for r in found)
+
+
 def samples(cells: DataFrame, rows: list | None = None, name: str = "y") -> DataFrame:
     """One row per sample: (col, name ARRAY<DOUBLE>) in the order of rows; absent cells are 0."""
     rows = row_labels(cells) if rows is None else rows

@@ -50,6 +50,29 @@ def test_statistics_and_dense_forms_agree(spark):
     assert np.allclose(one.x, two.x) and np.allclose(one.c, two.c) and math.isclose(one.objective, two.objective, rel_tol=1e-8)
 
 
+
+def test_missing_cells_with_covariates_are_masked(spark):
+    rng = np.random.default_rng(5)
+    x0, c0, a = np.abs(rng.normal(size=(5, 2))), np.abs(rng.normal(size=(2, 3))), np.abs(rng.normal(size=(3, 40)))
+    y = x0 @ c0 @ a
+    gaps = y.copy()
+    gaps[1, 3], gaps[4, 7] = np.nan, np.nan
+    rows, covs, cols = [f"r{i}" for i in range(5)], [f"a{i}" for i in range(3)], list(range(40))
+    cells, covariates, start = C.to_cells(spark, gaps, rows, cols), C.to_cells(spark, a, covs, cols), np.abs(rng.normal(size=(5, 2)))
+    nulls = cells.selectExpr("row", "col", "nanvl(value, NULL) AS value").union(spark.sql("SELECT 'r0', 99L, CAST(NULL AS DOUBLE)"))  # sample 99 has no covariates
+    want = nmf(gaps, a, 2, init=start, fixed_iterations=30)
+    for y_cells in (cells, nulls):
+        got = nmf(y_cells, covariates, 2, init=start, fixed_iterations=30)
+        assert np.allclose(got.x, want.x) and np.allclose(got.c, want.c) and np.isclose(got.objective, want.objective)
+        assert got.rows == rows and got.covariates == covs and got.cols == cols
+    wide = spark.createDataFrame([(j, *(None if np.isnan(v) else float(v) for v in gaps[:, j])) for j in cols], "id bigint, r0 double, r1 double, r2 double, r3 double, r4 double")
+    assert np.allclose(nmf(C.from_wide(wide, "id"), covariates, 2, init=start, fixed_iterations=30).x, want.x)
+    holes = covariates.selectExpr("row", "col", "IF(row = 'a1' AND col = 4, NULL, value) AS value")
+    for bad in (holes, C.to_cells(spark, np.where(a == a[1, 4], np.nan, a), covs, cols)):
+        with pytest.raises(ValueError):
+            nmf(C.to_cells(spark, y, rows, cols), bad, 2, init=start, fixed_iterations=3)
+
+
 def test_blocks_follow_the_dense_fit(spark):
     y = planted(5, 60, 2)
     start = initial_basis(y, 2, "deterministic")

@@ -1,9 +1,11 @@
 """WARC derivatives: response records become linked metadata and plain-text conversion records.
 
 Each response yields a `metadata` record (JSON: the source's headers, title, links, counts) and a `conversion` record
-(text/plain), both with WARC-Refers-To naming the response's record id, WARC-Target-URI, WARC-Date and the response's
-digests kept as source headers. Record ids are UUIDs made from the content, so a task that runs again gives the same
-records. Records can be read from WARC files (plain or gzip, member by member) and serialised to WARC/1.1 bytes.
+(text/plain), made from the payload without its transfer and content codings (chunked, gzip, deflate; others are named in
+the metadata). Headers are ordered pairs; in JSON the values of a repeated one are a list. Both records have
+WARC-Refers-To naming the response's record id, WARC-Target-URI, WARC-Date and the response's digests kept as source
+headers. Record ids are UUIDs made from the content, so a task that runs again gives the same records. Records can be
+read from WARC files (plain or gzip, member by member) and serialised to WARC/1.1 bytes.
 """
 
 from __future__ import annotations
@@ -63,49 +65,158 @@ def response(uri: str, payload: bytes, date: str = DATE, content_type: str = "te
     return {"headers": headers, "block": block}
 
 
-def split_http(block: bytes) -> tuple[str, dict, bytes]:
-    """(status line, headers, payload) of an HTTP response; without a head the whole block is payload."""
-    head, found, payload = block.partition(b"\r\n\r\n")
-    if not found or not head.startswith(b"HTTP/"):
-        return "", {}, block
-    status, *lines = head.decode("latin-1").split("\r\n")
-    return status, {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k.strip()}, payload
+def header_pairs(lines: list[str]) -> list[tuple[str, str]]:
+    """(name, value) of header lines in order; a folded line belongs to the value before it."""
+    out = []
+    for line in lines:
+        if line[:1] in (" ", "\t"):
+            if out and line.strip():
+                out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+            continue
+        name, _, value = line.partition(":")
+        if name.strip():
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def pairs(headers) -> list[tuple[str, str]]:
+    """Headers, given as pairs or as a dict, as pairs."""
+    return list(headers.items() if isinstance(headers, dict) else headers)
+
+
+def first(headers: list[tuple[str, str]], name: str, default: str = "") -> str:
+    """The first value of a header, whose name may be in any case."""
+    return next((v for k, v in headers if k.lower() == name.lower()), default)
+
+
+def listed(headers: list[tuple[str, str]]) -> dict:
+    """Headers by name in the order of their first fields; the values of a repeated one are a list."""
+    out = {}
+    for k, v in headers:
+        out.setdefault(k, []).append(v)
+    return {k: v[0] if len(v) == 1 else v for k, v in out.items()}
+
+
+def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """(status line, header pairs, payload) of an HTTP response; without a head the whole block is payload."""
+    head = re.match(rb"HTTP/.*?\r?\n\r?\n", block, re.S)
+    if not head:
+        return "", [], block
+    status, *lines = head[0].decode("latin-1").rstrip("\r\n").replace("\r\n", "\n").split("\n")
+    return status, header_pairs(lines), block[head.end() :]
+
+
+_CHUNK = re.compile(rb"[ \t]*([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\n]*)?\r\n")
+
+
+def unchunked(data: bytes) -> bytes:
+    """The data of chunks, of a cut capture as far as it goes; what isn't in chunks (any more) stays as it is."""
+    out, at = [], 0
+    while at < len(data):
+        size = _CHUNK.match(data, at)
+        if not size:
+            return data
+        at, n = size.end(), int(size[1], 16)
+        if not n:
+            break
+        out.append(data[at : at + n])
+        at += n
+        if data[at : at + 2] not in (b"\r\n", b"\r", b""):
+            return data
+        at += 2
+    return b"".join(out)
+
+
+def inflated(data: bytes, formats: tuple[int, ...]) -> bytes:
+    """data inflated in the first of the formats (zlib's wbits) that fits, of cut or damaged data as far as it goes; what
+    isn't compressed (any more) stays as it is."""
+    best = b""
+    for bits in formats:
+        out, rest, fits = [], data, True
+        while rest and (bits == 31 or not out):
+            member = zlib.decompressobj(bits)
+            try:
+                out.append(member.decompress(rest) + member.flush())
+                rest = member.unused_data
+            except zlib.error:
+                fits, rest = bool(out), _before_damage(rest, bits)
+                out.append(rest)
+                break
+        if fits and out:
+            return b"".join(out)
+        best = max(best, b"".join(out), key=len)
+    return best or data
+
+
+def _before_damage(data: bytes, bits: int) -> bytes:
+    member, out = zlib.decompressobj(bits), []
+    for k in range(len(data)):
+        try:
+            out.append(member.decompress(data[k : k + 1]))
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
+def decoded(payload: bytes, http: list[tuple[str, str]]) -> tuple[bytes, list[str]]:
+    """(payload without its transfer and content codings, the codings that aren't known and stay)."""
+    codings = lambda name: [c.strip().lower() for k, v in http if k.lower() == name for c in v.split(",") if c.strip()]
+    steps = [*codings("content-encoding"), *codings("transfer-encoding")]  # in the order in which they were applied
+    while steps:
+        coding = steps[-1]
+        if coding == "chunked":
+            payload = unchunked(payload)
+        elif coding in ("gzip", "x-gzip"):
+            payload = inflated(payload, (31,))
+        elif coding == "deflate":
+            payload = inflated(payload, (15, -15))
+        elif coding != "identity":
+            break
+        steps.pop()
+    return payload, steps
 
 
 def derivatives(record: dict) -> list[dict]:
     """The metadata and the conversion record of a response; other records have none."""
-    source = record["headers"]
-    if source.get("WARC-Type") != "response":
+    source = pairs(record["headers"])
+    if first(source, "WARC-Type") != "response":
         return []
     status, http, payload = split_http(record["block"])
-    charset = re.search(r"charset=[\"']?([\w-]+)", http.get("Content-Type", ""), re.I)
+    body, unknown = decoded(payload, http)
+    charset = re.search(r"charset=[\"']?([\w-]+)", first(http, "Content-Type"), re.I)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = body.decode(charset[1] if charset else "utf-8", "strict" if unknown else "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode("utf-8", "replace")
+    except UnicodeDecodeError:  # still in a coding that can't be undone here, which the metadata names
+        page = ""
     text = plain_text(page)
-    refers, uri, date = source.get("WARC-Record-ID", ""), source.get("WARC-Target-URI", ""), source.get("WARC-Date", "")
+    refers, uri, date = first(source, "WARC-Record-ID"), first(source, "WARC-Target-URI"), first(source, "WARC-Date")
     title = _TITLE.search(page)
     links = links_of(page)
     envelope = {
-        "Source-Headers": source, "HTTP-Status": status, "HTTP-Headers": http, "Title": html.unescape(title[1]).strip() if title else "",
+        "Source-Headers": listed(source), "HTTP-Status": status, "HTTP-Headers": listed(http), "Title": html.unescape(title[1]).strip() if title else "",
         "Links": links, "Link-Count": len(links), "Payload-Length": len(payload), "Payload-Digest": digest(payload), "Text-Length": len(text), "Actual-Block-Digest": digest(record["block"]),
     }
+    if body is not payload:
+        envelope["Decoded-Length"] = len(body)
+    if unknown:
+        envelope["Unknown-Codings"] = unknown
     out = []
     for kind, content_type, block in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")), ("conversion", "text/plain", text.encode("utf-8", "replace"))):
         headers = {
             "WARC-Type": kind, "WARC-Record-ID": record_id(kind, refers, digest(block)), "WARC-Date": date, "WARC-Target-URI": uri, "WARC-Refers-To": refers,
             "Content-Type": content_type, "WARC-Block-Digest": digest(block), "Content-Length": str(len(block)),
         }
-        if "WARC-Payload-Digest" in source:
-            headers["WARC-Source-Payload-Digest"] = source["WARC-Payload-Digest"]
+        if known := first(source, "WARC-Payload-Digest"):
+            headers["WARC-Source-Payload-Digest"] = known
         out.append({"headers": headers, "block": block})
     return out
 
 
 def serialised(record: dict, compress: bool = False) -> bytes:
     """A record as WARC/1.1 bytes; compress: as one gzip member."""
-    data = b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in record["headers"].items()) + b"\r\n" + record["block"] + b"\r\n\r\n"
+    data = b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in pairs(record["headers"])) + b"\r\n" + record["block"] + b"\r\n\r\n"
     return gzip.compress(data, mtime=0) if compress else data
 
 
@@ -122,22 +233,23 @@ def parsed(data: bytes):
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
-        headers = {}
-        while (line := stream.readline().strip()):
-            key, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[key.strip()] = value.strip()
-        size = headers.get("Content-Length", "0")
+        lines = []
+        while (line := stream.readline().rstrip(b"\r\n")):
+            lines.append(line.decode("utf-8", "replace"))
+        headers = header_pairs(lines)
+        size = first(headers, "Content-Length", "0")
         yield {"headers": headers, "block": stream.read(int(size) if size.isdigit() else 0)}
 
 
-RECORD = "record_type string, record_id string, refers_to string, target_uri string, headers map<string,string>, block_digest string, content_length bigint, block binary"
+HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+RECORD = "record_type string, record_id string, refers_to string, target_uri string, headers array<struct<name:string,value:string>>, block_digest string, content_length bigint, block binary"
 
 
 def _columns(records: list[dict]) -> list[pa.Array]:
-    h = [r["headers"] for r in records]
-    get = lambda k: pa.array([x.get(k) for x in h], pa.string())
+    h = [pairs(r["headers"]) for r in records]
+    get = lambda k: pa.array([first(x, k, None) for x in h], pa.string())
     return [
-        get("WARC-Type"), get("WARC-Record-ID"), get("WARC-Refers-To"), get("WARC-Target-URI"), pa.array([list(x.items()) for x in h], pa.map_(pa.string(), pa.string())),
+        get("WARC-Type"), get("WARC-Record-ID"), get("WARC-Refers-To"), get("WARC-Target-URI"), pa.array([[{"name": k, "value": v} for k, v in x] for x in h], HEADERS),
         get("WARC-Block-Digest"), pa.array([len(r["block"]) for r in records], pa.int64()), pa.array([r["block"] for r in records], pa.binary()),
     ]
 
@@ -163,13 +275,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """The metadata and conversion records of a table of records (columns headers, block); null blocks count as empty."""
+    """The metadata and conversion records of a table of records (columns headers, block); null blocks count as empty.
+
+    Headers are pairs, in an array of structs or in a map.
+    """
 
     def run(batches):
         for batch in batches:
             out = []
             for headers, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out += derivatives({"headers": dict(headers or []), "block": block or b""})
+                out += derivatives({"headers": [tuple(h.values()) if isinstance(h, dict) else h for h in headers or []], "block": block or b""})
             yield pa.RecordBatch.from_arrays(_columns(out), NAMES)
 
     return to_python(records.select("headers", "block")).mapInArrow(run, RECORD)
@@ -199,4 +314,4 @@ def derive_pages(pages: DataFrame, id_col: str = "page_id", url: str = "url", pa
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = derive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
-    return made.withColumn("headers", F.to_json("headers")).withColumn("text", F.decode("block", "utf-8")).drop("block")
+    return made.withColumn("headers", F.to_json(F.map_from_entries("headers"))).withColumn("text", F.decode("block", "utf-8")).drop("block")

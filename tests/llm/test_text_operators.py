@@ -1,5 +1,6 @@
 """Each text operator against a brute-force version, an exact round trip or held-out cases, and on odd input."""
 
+import gzip
 import hashlib
 import json
 import random
@@ -308,6 +309,36 @@ def test_warc_round_trip(spark, tmp_path):
     assert [a["block"] for a in again] == [bytes(r["block"]) for r in derived]
 
 
+def test_warc_of_raw_captures(spark, tmp_path):
+    page = "<title>T \u00e9</title><p>Text</p><a href='/x'>l</a>".encode() * 20
+    chunks = lambda d: b"".join(b"%x;a=b\r\n%s\r\n" % (len(d[k : k + 50]), d[k : k + 50]) for k in range(0, len(d), 50)) + b"0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    coded = [
+        ("Transfer-Encoding: chunked", chunks(page)), ("Content-Encoding: gzip", gzip.compress(page)), ("content-encoding: x-gzip\r\ntransfer-encoding: Chunked", chunks(gzip.compress(page[:300]) + gzip.compress(page[300:]))),
+        ("Content-Encoding: deflate", zlib.compress(page)), ("Content-Encoding: deflate", raw.compress(page) + raw.flush()), ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked", page), ("Content-Encoding: br", page),
+    ]
+    records = []
+    for k, (lines, payload) in enumerate(coded):
+        block = f"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nset-cookie: c=3\r\nSet-Cookie: b=2\r\nX-Long: one\r\n  two: three\r\n{lines}\r\n\r\n".encode() + payload
+        headers = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{k}>"), ("WARC-Concurrent-To", "<urn:a>"), ("WARC-Concurrent-To", "<urn:b>"), ("WARC-Target-URI", "http://a/"), ("Content-Length", str(len(block)))]
+        records.append({"headers": headers, "block": block})
+    (tmp_path / "a.warc").write_bytes(b"".join(map(warc.serialised, records)))
+    derived = warc.derive(warc.read_warc(spark, str(tmp_path))).collect()
+    assert len(derived) == 2 * len(coded)
+    for r in derived:
+        if r["record_type"] == "conversion":
+            assert r["block"].decode() == warc.plain_text(page.decode())
+        else:
+            meta = json.loads(r["block"])
+            assert meta["Title"] == "T \u00e9" and meta["Link-Count"] == 20 and meta["Source-Headers"]["WARC-Concurrent-To"] == ["<urn:a>", "<urn:b>"]
+            assert meta["HTTP-Headers"]["Set-Cookie"] == ["a=1", "b=2"] and meta["HTTP-Headers"]["set-cookie"] == "c=3" and meta["HTTP-Headers"]["X-Long"] == "one two: three"
+    binary = b"HTTP/1.1 200 OK\r\nContent-Encoding: br\r\n\r\n\xff\xfe\x00"
+    meta, text = warc.derivatives({"headers": {"WARC-Type": "response"}, "block": binary})
+    assert text["block"] == b"" and json.loads(meta["block"])["Unknown-Codings"] == ["br"]
+    cut = gzip.compress(page)[:-20]
+    assert page.startswith(warc.inflated(cut, (31,))) and warc.unchunked(chunks(page)[:130]) == page[: len(warc.unchunked(chunks(page)[:130]))]
+
+
 def test_warc_of_odd_pages(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (2, "http://a/", "", "x"), (2, "http://a/", "", "x"), (3, "u", "<script>never ends", "x"), (4, "u", "<" * 5000, "x")], "page_id int, url string, html string, headers string")
     got = warc.derive_pages(df).collect()

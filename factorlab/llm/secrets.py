@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under false-discovery control.
 
 Native DataFrame code only. Three base kinds (assign, access, hex) are found by pattern. Beside them every run of 20 or
-more key characters is a candidate: its encoding is inferred from the characters it uses, and three tests judge it.
+more key characters, or what base spans leave of it, is a candidate: its encoding is inferred from the characters it uses,
+and three tests judge it.
 
 * Chi-squared uniformity over the inferred alphabet of k symbols. The null hypothesis is *ordinary text*, whose letters
   are concentrated: the statistic is then noncentral with about n * (kappa - 1) more than k - 1, kappa being the
@@ -30,6 +31,7 @@ BINS_A_DECADE, MOST_BINS = 20, 600
 WORDS_COINCIDE, LEAST_KAPPA = 0.065, 1.7
 CONSISTENT = 2.807  # two-sided 0.5 %: beyond it runs or serial correlation contradict randomness
 EMPTY = "array<struct<start:bigint,order:int,end:bigint,kind:string>>"
+FOUND = "array<struct<start:bigint,end:bigint,found:string>>"
 
 
 def _lower_tail(z: Column) -> Column:
@@ -100,9 +102,53 @@ def _stratum(length: Column) -> Column:
     return out
 
 
+def _shaped(found: Column, kind: str, order: int) -> Column:
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+
+def _with_base_spans(docs: DataFrame, text: Column) -> DataFrame:
+    out = docs
+    for order, (kind, pattern) in enumerate(BASE.items()):
+        found = spans(text, pattern)
+        if kind == "assign":
+            found = F.filter(found, lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 8)
+        out = out.withColumn(f"_{kind}", _shaped(found, kind, order))
+    return out.withColumn("base_spans", F.array_sort(F.concat("_assign", "_access", "_hex"))).drop("_assign", "_access", "_hex")
+
+
+def _candidates(text: Column, base: Column) -> Column:
+    """array<struct<start,end,found>> of the runs of key characters without the base spans (sorted by start) in them.
+
+    Of what is left beside a base span one joining character (/ + _ = -) next to it isn't part.
+    """
+
+    def left(s: Column) -> Column:
+        return let(F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), lambda within: F.when(F.size(within) == 0, F.array(s)).otherwise(cut(s, within)))
+
+    def cut(s: Column, within: Column) -> Column:
+        ends = running(F.transform(within, lambda b: b["end"]), s["start"], lambda a, x: F.greatest(a, x))
+        return let(F.struct(within.alias("within"), ends.alias("ends")), lambda x: between(s, x))
+
+    def between(s: Column, x: Column) -> Column:
+        n = F.size(x["within"])
+        part = lambda a, b: F.substring(s["found"], (a - s["start"] + 1).cast("int"), (b - a).cast("int"))
+        joins = lambda at, yes: F.when(yes & part(at, at + 1).rlike("^[/+_=-]$"), F.lit(1)).otherwise(0)
+
+        def piece(k: Column) -> Column:
+            a = F.when(k == 0, s["start"]).otherwise(F.get(x["ends"], k - 1))
+            b = F.when(k == n, s["end"]).otherwise(F.get(x["within"], k)["start"])
+            return let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.struct((p["a"] + joins(p["a"], k > 0)).alias("start"), (p["b"] - joins(p["b"] - 1, k < n)).alias("end")))
+
+        long = F.filter(F.transform(F.sequence(F.lit(0), n), piece), lambda p: p["end"] - p["start"] >= STRATA[0])
+        return F.transform(long, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), part(p["start"], p["end"]).alias("found"))).cast(FOUND)
+
+    return F.flatten(F.transform(spans(text, CANDIDATE), left))
+
+
 def discovery_limits(docs: DataFrame, text: str = "text", q: float = 0.01) -> list[int]:
     """For each stratum of length the least evidence that Benjamini-Hochberg at rate q accepts (one over the most: none)."""
-    found = docs.select(F.explode(F.transform(spans(F.col(text), CANDIDATE), lambda s: F.struct(_stratum(s["end"] - s["start"]).alias("stratum"), evidence(s["found"]).alias("bin")))).alias("c"))
+    based = _with_base_spans(docs.select(text), F.coalesce(F.col(text), F.lit("")))
+    found = based.select(F.explode(F.transform(_candidates(F.col(text), F.col("base_spans")), lambda s: F.struct(_stratum(s["end"] - s["start"]).alias("stratum"), evidence(s["found"]).alias("bin")))).alias("c"))
     counts = found.groupBy("c.stratum", "c.bin").count().collect()  # at most 6 x 601 rows, whatever the corpus
     limits = []
     for k in range(len(STRATA)):
@@ -120,26 +166,16 @@ def find_secrets(docs: DataFrame, text: str = "text", q: float = 0.01, limits: l
     """docs with base_spans and spans: array<struct<start,order,end,kind>> by start, then kind; code points, end exclusive.
 
     Null and empty texts have no spans. limits: those of discovery_limits(), else they are found from docs first. The
-    battery's spans (kind random) are added where no base span overlaps. Columns of these names are replaced.
+    battery's spans (kind random) are added beside base spans and don't overlap them. Columns of these names are replaced.
     """
     if not 0 < q < 1:
         raise ValueError("q must lie between 0 and 1")
     limits = limits or discovery_limits(docs, text, q)
     t = F.coalesce(F.col(text), F.lit(""))
-    shaped = lambda found, kind, order: F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-    out = docs
-    for order, (kind, pattern) in enumerate(BASE.items()):
-        found = spans(t, pattern)
-        if kind == "assign":
-            found = F.filter(found, lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 8)
-        out = out.withColumn(f"_{kind}", shaped(found, kind, order))
-    out = out.withColumn("base_spans", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    out = out.withColumn("_candidates", spans(t, CANDIDATE))
+    out = _with_base_spans(docs, t).withColumn("_candidates", _candidates(t, F.col("base_spans")))
     least = lambda s: F.get(F.array(*[F.lit(x) for x in limits]), _stratum(s["end"] - s["start"]))
-    free = F.filter("_candidates", lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    random = F.filter(free, lambda s: evidence(s["found"]) >= least(s))
-    out = out.withColumn("spans", F.array_sort(F.concat("base_spans", shaped(random, "random", 3))))
-    return out.drop("_assign", "_access", "_hex", "_candidates")
+    random = F.filter("_candidates", lambda s: evidence(s["found"]) >= least(s))
+    return out.withColumn("spans", F.array_sort(F.concat("base_spans", _shaped(random, "random", 3)))).drop("_candidates")
 
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:

@@ -73,6 +73,22 @@ def test_missing_cells_with_covariates_are_masked(spark):
             nmf(C.to_cells(spark, y, rows, cols), bad, 2, init=start, fixed_iterations=3)
 
 
+def test_weighted_signed_fit_keeps_the_bases_apart():
+    rng = np.random.default_rng(8)
+    y, a = planted(8, 30) * rng.choice([-1, 1], (1, 30)), rng.normal(size=(4, 30))
+    y[2, 5] = np.nan
+
+    def overlap(l2):
+        fit = nmf_signed(y, a, 3, l2_ortho=l2, init=np.abs(rng2.normal(size=(8, 3))), fixed_iterations=200)
+        g = fit.x.T @ fit.x
+        return (g**2).sum() - (np.diag(g) ** 2).sum()
+
+    rng2 = np.random.default_rng(9)
+    without = overlap(0.0)
+    rng2 = np.random.default_rng(9)
+    assert overlap(200.0) < 0.9 * without
+
+
 def test_blocks_follow_the_dense_fit(spark):
     y = planted(5, 60, 2)
     start = initial_basis(y, 2, "deterministic")

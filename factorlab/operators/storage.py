@@ -9,26 +9,52 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes the shuffle files of an execution when it has ended, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; one of our own where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder below spark.checkpoint.dir; in local mode one of our own where that is unset.
+
+    Elsewhere the setting is needed: a machine's own folder would be a different one on each executor.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='factorlab-')}")
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/cells-{uuid.uuid4().hex}"
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='factorlab-')}")
+        base = context.getCheckpointDir()
+    return f"{base.rstrip('/')}/factorlab-{uuid.uuid4().hex}"
 
 
-def _forget(spark: SparkSession, folder: str) -> None:
+def _remove(spark: SparkSession, folder: str) -> None:
     with contextlib.suppress(Exception):
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, which goes when the driver's Python ends."""
-    spark, folder = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    atexit.register(_forget, spark, folder)
-    return spark.read.parquet(folder)
+    """df written as Parquet to the shared folder and read again: lineage ends there, lost executors cost nothing.
+
+    The shuffle files of the write go when it ends; the table goes with freed(), or when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    folder, before = shared_folder(spark), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.parquet(folder)
+    out.folder_of_ours = folder
+    atexit.register(_remove, spark, folder)
+    return out
+
+
+def freed(*tables: DataFrame | None) -> None:
+    """Removes tables that stored() gave; nothing may read them any more. Others are left alone."""
+    for table in tables:
+        folder = table.__dict__.get("folder_of_ours") if table is not None else None
+        if folder:
+            _remove(table.sparkSession, folder)

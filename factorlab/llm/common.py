@@ -1,55 +1,19 @@
-"""Helpers that the text operators share: Arrow access, word hashing, shared storage, native span maths."""
+"""Helpers that the text operators share: Arrow access, word hashing, native span maths; storage is the library's."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.storage import freed, stored  # noqa: F401 - the text operators take them from here
+
 #: Words of a tokenless text split: bytes.split() cuts at exactly \x20 and \x09-\x0D.
 BLOCK = 256
 
 
-# ---------------------------------------------------------------- storage shared by driver and executors
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a folder of our own."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='factorlab-')}")
-        base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/factorlab-{uuid.uuid4().hex}"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends there, lost executors cost nothing.
-
-    The files are removed when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
-
-
 # ---------------------------------------------------------------- Arrow and words
 
 #: Most bytes of a batch that goes to a Python worker; what a worker holds is a small multiple of it.
@@ -88,7 +52,7 @@ _FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF for
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective finalizer of 64-bit integers (xor-shift and multiply)."""
+    """The 64-bit finalizer of MurmurHash3 (its published constants), a bijection of 64-bit integers."""
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xFF51AFD7ED558CCD)
     x = x ^ (x >> np.uint64(33))

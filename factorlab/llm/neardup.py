@@ -5,17 +5,17 @@
    named by its smallest id; from here on classes are compared, so a group of copies of any size is one row.
 2. Classes that share a band key are candidates. Each bucket links its members to one leader only, so the number of pairs
    is linear in the rows. A pair whose size ratio is too small, or whose sketches' XOR population count puts the estimated
-   similarity far below the threshold (more than six standard errors), is dropped; the others are compared on their whole
-   sets. Confirmed links give components. In further rounds the buckets whose members still lie in several components
-   take other leaders, one of each bucket's own, and only members outside the leader's component are compared.
-3. What is split even then is searched exhaustively, across components only, with finer odd sketches (1,024 samples, 2,048
-   bits: a standard error of about 0.02) of the few classes concerned: buckets of up to 4,096 classes by comparing their
-   sketches, larger ones by prefix filtering (two sets as similar as asked share one of their rarest shingles). Sizes and
-   sketches are part of these joins' conditions, and a bucket gives a pair only if it is the first that both share, so
-   only likely pairs come out, and each once.
+   similarity 0.25 or more below the threshold (about five standard errors of 0.048), is dropped; the others are compared on
+   their whole sets. Confirmed links give components. In further rounds the buckets whose members still lie in several
+   components take other leaders, one of each bucket's own, and only members outside the leader's component are compared.
+3. What is split even then is searched exhaustively, across components only: of each pair one is outside the bucket's most
+   common component. Finer odd sketches (1,024 samples, 2,048 bits) of the few classes concerned rule pairs out whose
+   estimate lies 0.08 or more below the threshold (over four standard errors of 0.017). Where a bucket would need more than
+   SMALL_BUCKET ** 2 comparisons, prefix filtering replaces it (two sets as similar as asked share one of their rarest
+   shingles). Comparisons are dealt out in cells of at most TILE by TILE classes, so no bucket is one task's.
 
 Whole sets are made again from the texts of the wanted documents alone. Which these are is sent as a bitmap of fixed size;
-rows it lets through by chance are joined away, so no text is ever shuffled.
+rows it lets through by chance are joined away, so no text is ever shuffled. Each step's tables go when the next is written.
 
 At similarity 0.75 a pair shares no band with probability (1 - 0.75^4)^32, about 5e-6.
 """
@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, mixed, stored, text_bytes, to_python, windows_of
+from .common import WordHash, freed, mixed, stored, text_bytes, to_python, windows_of
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 SAMPLES, BITS = BANDS * ROWS, 256
-#: Pairs whose sketches estimate less than this are no candidates: 0.25 below the threshold, over six standard errors.
+#: Pairs whose sketches estimate less than this are no candidates: 0.25 below the threshold, about five standard errors.
 LEAST_ESTIMATE = 0.5
 #: Of the finer sketches, and how far below the threshold their estimate may lie: over four standard errors.
 FINE_SAMPLES, FINE_BITS, FINE_SLACK = 1024, 2048, 0.08
@@ -41,8 +41,10 @@ FINE_SAMPLES, FINE_BITS, FINE_SLACK = 1024, 2048, 0.08
 ROUNDS = 1
 #: Bits of the bitmap of wanted ids; 8 MB, whatever the corpus.
 FILTER_BITS = 1 << 26
-#: Buckets of up to so many classes are searched by comparing sketches, larger ones by prefix filtering.
+#: Buckets of up to this number squared of comparisons are searched by comparing sketches, others by prefix filtering.
 SMALL_BUCKET = 4096
+#: Classes on each side of the cells into which a bucket's comparisons are dealt.
+TILE = 256
 
 _random = np.random.default_rng(20240229)
 _FACTOR = _random.integers(0, 2**63, FINE_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,14 +118,14 @@ def id_bitmap(ids: DataFrame, id_col: str) -> np.ndarray:
     return out
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """(node, items, sketch): the shingle set of each wanted id (column node), and its finer sketch."""
+def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int, fine: bool = False) -> DataFrame:
+    """(node, items, sketch): the shingle set of each wanted id (column node); fine: with its finer sketch, else null."""
     wanted = wanted.select("node").distinct()
     shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted, "node"))  # FILTER_BITS bits
     schema = f"node {docs.schema[id_col].dataType.simpleString()}, items array<bigint>, sketch array<bigint>"
 
     def block(ids, sets):
-        sketches = [odd_sketch(minhash(x, FINE_SAMPLES), FINE_BITS) if len(x) else [] for x in sets]
+        sketches = [odd_sketch(minhash(x, FINE_SAMPLES), FINE_BITS) if len(x) else [] for x in sets] if fine else [None] * len(sets)
         longs = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays([ids, pa.array([x.view(np.int64) for x in sets], longs), pa.array(sketches, longs)], ["node", "items", "sketch"])
 
@@ -154,15 +156,30 @@ def _may_link(percent: int, fine: bool = False) -> Column:
     return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (xor <= most_xor_bits(percent / 100 - slack, samples, bits))
 
 
-def _side(df: DataFrame, s: str, key: str | None = None) -> DataFrame:
-    return df.select(*([key] if key else []), *[F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in df.columns if c != key])
+def _side(df: DataFrame, s: str, *keys: str) -> DataFrame:
+    return df.select(*keys, *[F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in df.columns if c not in keys])
 
 
-def _self_join(rows: DataFrame, key: str, percent: int, once: Column | None = None) -> DataFrame:
-    """Pairs (a, b) of rows (key, node, root, n, sketch, ..) with one key, in different components, that may link."""
-    b = _side(rows, "b", key).withColumnRenamed(key, "key_b")
-    on = (F.col(key) == F.col("key_b")) & (F.col("root_a") < F.col("root_b")) & _may_link(percent, fine=True)
-    return _side(rows, "a", key).join(b, on if once is None else on & once).select("a", "b")
+def _split(rows: DataFrame, key: str) -> DataFrame:
+    """The rows (key, root, ..) of keys that lie in several components, with the key's rows, its most common component
+    (major) and how many rows are outside that (minor). Counts are aggregated by (key, root) first."""
+    counts = rows.groupBy(key, "root").agg(F.count("*").alias("n_of"))
+    largest = F.max(F.struct("n_of", "root"))
+    several = counts.groupBy(key).agg(F.count("*").alias("roots"), F.sum("n_of").alias("size"), largest.alias("x")).where("roots > 1")
+    return rows.join(several.select(key, "size", F.col("x.root").alias("major"), (F.col("size") - F.col("x.n_of")).alias("minor")), key)
+
+
+def _across(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of split rows (key, node, root, n, sketch, size, major, minor) with one key, in different components,
+    that may link. Side a lies outside the key's most common component; each key's comparisons are dealt out in cells."""
+    tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node", key), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    kept = [key, "node", "root", "n", "sketch"]
+    a = _side(rows.where("root <> major").select(*kept, own(tiles("minor")).alias("i"), every(tiles("size")).alias("j")), "a", key, "i", "j")
+    b = _side(rows.select(*kept, "major", own(tiles("size")).alias("j"), every(tiles("minor")).alias("i")), "b", key, "i", "j")
+    once = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("major_b")) | (F.col("a") < F.col("b")))
+    return a.join(b, [key, "i", "j"]).where(once & _may_link(percent, fine=True)).select("a", "b").distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -182,7 +199,8 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the component's smallest node.
 
-    Large-star and small-star steps alternate until nothing changes; each round is written to the shared folder. Hubs are
+    Large-star and small-star steps alternate until nothing changes; each round is written to the shared folder, where it
+    replaces the one before. Hubs are
     reduced by partial aggregation and joined under adaptive skew handling; nothing is collected but a count and a hash.
     """
     oriented = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -196,12 +214,15 @@ def components(edges: DataFrame) -> DataFrame:
         large = oriented(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = stored(oriented(small))
+        last, now = now, stored(oriented(small))
+        freed(last)
         after = state(now)
         if after == before:
             break
         before = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = stored(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    freed(now)
+    return out
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -216,14 +237,16 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     ordered = known.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("count", "item"))).alias("all"))  # one document's set
     first = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     posted = ordered.select("node", F.explode(F.slice("all", F.lit(1), first)).alias("x")).where("x.count > 1").select("node", F.col("x.item").alias("item")).join(members, "node")
-    return _self_join(posted, "item", percent).distinct()
+    shared = stored(_split(posted, "item"))
+    pairs = stored(_across(shared, "item", percent))
+    freed(shared)
+    return pairs
 
 
 def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The members (with root) of the buckets that lie in several components, written down."""
+    """The members, with root, of the buckets that lie in several components, written down."""
     placed = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    return stored(placed.join(split, "bucket").select("bucket", "node", "size", "root"))
+    return stored(_split(placed.select("bucket", "node", "root"), "bucket"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -238,11 +261,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     marks = stored(signatures(docs, id_col, text, width))
     known = marks.where(F.col("digest").isNotNull() & F.col(id_col).isNotNull())
     classes = stored(known.groupBy("digest").agg(F.min(id_col).alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    rows = stored(marks.select(id_col, "n_shingles", "digest"))
+    freed(marks)
     places = classes.select("node", F.explode("bands").alias("bucket"))
     crowded = places.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
-    members = stored(places.join(crowded, "bucket").select("bucket", "node", "first", "size"))
-
-    roots, rest = None, members
+    members = stored(places.join(crowded, "bucket").select("bucket", "node", "first"))
+    thin = stored(classes.drop("bands"))
+    freed(classes)
+    classes = thin
+
+    # ids of several texts are links between the classes of these
+    repeated = rows.where(F.col("digest").isNotNull()).groupBy(id_col).agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where(F.col(id_col).isNotNull() & (F.col("low") != F.col("high"))).select(id_col)
+    same = rows.join(repeated, id_col).join(classes.select("digest", "node"), "digest").select(F.col(id_col).alias("a"), F.col("node").alias("b"))
+    roots = rest = None
     for turn in range(ROUNDS + 1):
         if turn == 0:  # the smallest of each bucket: the same one in most buckets of a group, so few pairs
             pairs = members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
@@ -251,35 +282,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             own = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("root").alias("root_b"))).alias("leader")
             pairs = rest.join(rest.groupBy("bucket").agg(own), "bucket").where("root <> leader.root_b").select(F.col("node").alias("a"), F.col("leader.b").alias("b")).distinct()
         pairs = stored(likely(pairs, classes, percent))
+        freed(rest)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-        roots = _joined(roots, pairs, stored(sets_of(docs, ends, id_col, text, width)), percent)
+        sets = stored(sets_of(docs, ends, id_col, text, width))
+        roots = _joined(roots, pairs, sets, percent, None if turn else same)
+        freed(pairs, sets)
 
     rest = _rooted(members, roots)
-    sets = stored(sets_of(docs, rest, id_col, text, width))
-    known = classes.select("node", "n", "bands").join(sets.select("node", "sketch"), "node")
-    small = rest.where(F.col("size") <= SMALL_BUCKET).drop("size").join(known, "node")
-    first = F.col("bucket") == F.element_at(F.array_intersect("bands_a", "bands_b"), 1)
-    pairs = _self_join(small, "bucket", percent, first)
-    large = rest.where(F.col("size") > SMALL_BUCKET).select("node", "root").distinct()
+    freed(members)
+    sets = stored(sets_of(docs, rest, id_col, text, width, fine=True))
+    known = classes.select("node", "n").join(sets.select("node", "sketch"), "node")
+    compared = F.col("minor") * F.col("size") <= SMALL_BUCKET**2
+    pairs = _across(rest.where(compared).join(known, "node"), "bucket", percent)
+    large = rest.where(~compared).select("node", "root").distinct()
     if large.limit(1).count():
-        pairs = pairs.union(_prefix_pairs(large.join(known.drop("bands"), "node"), sets, percent))
-    roots = _joined(roots, pairs.distinct(), sets, percent)
+        pairs = pairs.union(_prefix_pairs(large.join(known, "node"), sets, percent))
+    pairs = stored(pairs.distinct())
+    roots = _joined(roots, pairs, sets, percent)
+    freed(rest, pairs, sets)
 
     least = classes.where("copies > 1").select("node", F.col("node").alias("component_id"))
-    named = roots.join(roots.groupBy("root").agg(F.min("node").alias("component_id")), "root").select("node", "component_id")
+    named = roots.select("node", F.col("root").alias("component_id"))
     least = named.union(least.join(named, "node", "left_anti"))
-    special = classes.select("digest", "node").join(least, "node").select("digest", "component_id")
-    out = marks.select(id_col, "n_shingles", "digest").join(special, "digest", "left")
+    special = stored(classes.select("digest", "node").join(least, "node").select("digest", "component_id"))
+    freed(classes, roots)
+    out = rows.join(special, "digest", "left")
     component = F.when(F.col(id_col).isNotNull(), F.coalesce("component_id", id_col))
     return out.select(id_col, "n_shingles", component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(True)).alias("kept"))
 
 
-def _joined(roots: DataFrame | None, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """roots with the components that the pairs' confirmed links join."""
+def _joined(roots: DataFrame | None, pairs: DataFrame, sets: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """roots with the components that known links and the pairs' confirmed ones join, written down; roots goes."""
     links = similar(pairs, sets, percent)
+    links = links if known is None else links.union(known)
     if roots is not None:
         links = links.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return components(links)
+    out = components(links)
+    freed(roots)
+    return out
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -473,19 +473,27 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     texts += [(5000, None), (5001, ""), (5002, "  "), (5003, "few words"), (5004, "Few\twords"), (5005, "few  words more")]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
     expected = components_of(texts)
-    for small in (4096, 2):  # also the exact way for larger buckets
+    for small, tile in ((4096, 256), (4096, 2), (2, 3)):  # also many cells, and the exact way for larger buckets
         monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
-        monkeypatch.setattr(neardup, "ROUNDS", 0 if small == 2 else 1)
+        monkeypatch.setattr(neardup, "TILE", tile)
+        monkeypatch.setattr(neardup, "ROUNDS", 1 if tile == 256 else 0)
         got = {r["doc_id"]: (r["component_id"], r["n_shingles"], r["kept"]) for r in neardup.near_duplicates(df).collect()}
         assert got == {i: (c, n, c == i) for i, (c, n) in expected.items()}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    one, two = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(5, one), (3, one), (5, two), (7, two), (9, "something else that nobody has written"), (9, "something else that nobody has written")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True), (9, 9, True)]
+
+
 def test_prefix_filter_is_complete(spark):
     from pyspark.sql import functions as F
 
     texts = near_copies(random.Random(11), 5, 6)
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    sets = neardup.sets_of(df, df.select(F.col("doc_id").alias("node")), "doc_id", "text", 5)
+    sets = neardup.sets_of(df, df.select(F.col("doc_id").alias("node")), "doc_id", "text", 5, fine=True)
     members = sets.select("node", F.col("node").alias("root"), F.size("items").cast("bigint").alias("n"), "sketch")
     pairs = {(r["a"], r["b"]) for r in neardup._prefix_pairs(members, sets, 75).collect()}
     s = {r["node"]: set(r["items"]) for r in sets.collect()}

@@ -86,24 +86,61 @@ def running(values: Column, zero: Column, step) -> Column:
             lambda acc: acc["all"],
         )
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: within(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))))
-    ends = within(F.transform(blocks, lambda b: F.element_at(b, -1)))
-    return F.when(F.size(values) == 0, F.expr("array()").cast("array<bigint>")).otherwise(
-        F.flatten(F.transform(blocks, lambda b, k: F.when(k == 0, b).otherwise(F.transform(b, lambda x: step(F.get(ends, k - 1), x)))))
-    )
+    def joined(blocks: Column) -> Column:
+        ends = within(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        later = lambda e, b, k: let(F.get(e, k - 1), lambda before: F.transform(b, lambda x: step(before, x)))
+        return let(ends, lambda e: F.flatten(F.transform(blocks, lambda b, k: F.when(k == 0, b).otherwise(later(e, b, k)))))
 
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: within(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
+    return let(values, lambda v: F.when(F.size(v) == 0, F.expr("array()").cast("array<bigint>")).otherwise(let(cut(v), joined)))
 
-def spans(text: Column, pattern: str) -> Column:
+
+def spans(text: Column, pattern: str, may: Column | None = None) -> Column:
     """array<struct<start,end,found>> of the leftmost non-overlapping matches; code points, end exclusive.
 
-    The pieces between the matches and the matches tell by their lengths where each match lies.
+    The pieces between the matches and the matches tell by their lengths where each match lies. may: a cheaper condition
+    without which there is no match.
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.transform(found, lambda x: F.length(x).cast("bigint"))
-    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), lengths, lambda p, n: F.length(p) + n)
-    ends = running(steps, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    made = F.zip_with(ends, found, lambda e, x: F.struct((e - F.length(x)).alias("start"), e.alias("end"), x.alias("found")))
-    return F.when(text.rlike(pattern), made).otherwise(F.expr("array()").cast("array<struct<start:bigint,end:bigint,found:string>>"))
+
+    def placed(found: Column) -> Column:
+        lengths = F.transform(found, lambda x: F.length(x).cast("bigint"))
+        steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), lengths, lambda p, n: F.length(p) + n)
+        return let(steps, lambda x: F.zip_with(running(x, F.lit(0).cast("bigint"), lambda a, y: a + y), found, lambda e, x: F.struct((e - F.length(x)).alias("start"), e.alias("end"), x.alias("found"))))
+
+    any_ = text.rlike(pattern) if may is None else may & text.rlike(pattern)
+    return F.when(any_, let(found, placed)).otherwise(F.expr("array()").cast("array<struct<start:bigint,end:bigint,found:string>>"))
+
+
+#: Characters of the chunks in which a text's parts are looked up, so that n parts of a text don't cost n walks through it.
+CHUNK = 32_768
+
+
+def replaced(text: Column, found: Column, put) -> Column:
+    """text with the union of the found spans (sorted by start) replaced by put(its characters that are new there)."""
+
+    def rebuilt(x: Column) -> Column:
+        def part(a: Column, b: Column) -> Column:
+            inside = lambda c: F.substring(F.get(x["chunks"], c), (F.greatest(a - c * CHUNK, F.lit(0)) + 1).cast("int"), (F.least(b, (c + 1) * CHUNK) - F.greatest(a, c * CHUNK)).cast("int"))
+            first, last = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
+            return F.when(a < b, F.array_join(F.transform(F.sequence(first, last), inside), "")).otherwise("")
+
+        before = lambda k: F.when(k == 0, F.lit(0).cast("bigint")).otherwise(F.get(x["ends"], k - 1))
+        one = lambda s, k: let(before(k), lambda at: F.concat(part(at, s["start"]), F.when(s["end"] > at, put(s["end"] - F.greatest(s["start"], at))).otherwise("")))
+        return F.concat(F.array_join(F.transform(x["found"], one), ""), part(F.element_at(x["ends"], -1), x["size"]))
+
+    def with_ends(f: Column) -> Column:
+        ends = running(F.transform(f, lambda s: s["end"]), F.lit(0).cast("bigint"), lambda a, x: F.greatest(a, x))
+        chunks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / CHUNK).cast("int")), lambda c: F.substring(text, c * CHUNK + 1, F.lit(CHUNK)))
+        return let(F.struct(f.alias("found"), ends.alias("ends"), chunks.alias("chunks"), F.length(text).cast("bigint").alias("size")), rebuilt)
+
+    return F.when(F.size(found) > 0, let(found, with_ends)).otherwise(text)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, so that a step's own columns can't clash with the caller's."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (f"_{name}{'_' * k}" for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
 
 
 def let(value: Column, then) -> Column:

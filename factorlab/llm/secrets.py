@@ -20,11 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, running, spans, written
+from .common import let, replaced, spans, unused, written
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-BASE = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: A run is tried at its first character only, as a later one can't give a longer match.
+BASE = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{12,}", "hex": r"(?<![0-9a-f])[0-9a-f]{32,}"}
+KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Stands for each character of a base span when candidates are sought beside it.
+COVERED = "\x01"
+BESIDE = rf"{COVERED}?(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{20,}}+{COVERED}?"
 #: Lower ends of the strata of length.
 STRATA = (20, 24, 32, 48, 96, 256)
 BINS_A_DECADE, MOST_BINS = 20, 600
@@ -57,7 +62,7 @@ def evidence(token: Column) -> Column:
         return let(F.struct(_alphabet(core).cast("double").alias("k"), F.transform(F.split(core, ""), lambda c: F.ascii(c).cast("double")).alias("v")), of_values)
 
     def of_values(x: Column) -> Column:
-        return let(F.struct(x["k"].alias("k"), x["v"].alias("v"), F.array_sort(x["v"]).alias("s"), (F.aggregate(x["v"], F.lit(0.0), lambda a, y: a + y) / F.size(x["v"])).alias("m")), of_sorted)
+        return let(F.struct(x["k"].alias("k"), x["v"].alias("v"), F.sort_array(x["v"]).alias("s"), (F.aggregate(x["v"], F.lit(0.0), lambda a, y: a + y) / F.size(x["v"])).alias("m")), of_sorted)
 
     def of_sorted(x: Column) -> Column:
         n = F.size(x["v"]).cast("double")
@@ -106,49 +111,46 @@ def _shaped(found: Column, kind: str, order: int) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def _with_base_spans(docs: DataFrame, text: Column) -> DataFrame:
-    out = docs
+def _with_base_spans(docs: DataFrame, text: Column, base: str, runs: str) -> DataFrame:
+    """docs with the base spans (column base) and whether there is a long run of key characters (column runs).
+
+    Plain searches spare most texts the patterns.
+    """
+    out = docs.withColumn(runs, text.rlike(CANDIDATE))  # a run of hex digits lies in one of key characters
+    keyword = let(F.lower(text), lambda t: F.exists(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(t, k)))
+    may = {"assign": keyword, "access": F.contains(text, F.lit("AKIA")), "hex": F.col(runs)}
+    parts = []
     for order, (kind, pattern) in enumerate(BASE.items()):
-        found = spans(text, pattern)
+        found = spans(text, pattern, may[kind])
         if kind == "assign":
             found = F.filter(found, lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 8)
-        out = out.withColumn(f"_{kind}", _shaped(found, kind, order))
-    return out.withColumn("base_spans", F.array_sort(F.concat("_assign", "_access", "_hex"))).drop("_assign", "_access", "_hex")
+        parts.append(_shaped(found, kind, order))
+    return out.withColumn(base, F.sort_array(F.concat(*parts)))
 
 
-def _candidates(text: Column, base: Column) -> Column:
+def _candidates(text: Column, base: Column, runs: Column) -> Column:
     """array<struct<start,end,found>> of the runs of key characters without the base spans (sorted by start) in them.
 
     Of what is left beside a base span one joining character (/ + _ = -) next to it isn't part.
     """
 
-    def left(s: Column) -> Column:
-        return let(F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), lambda within: F.when(F.size(within) == 0, F.array(s)).otherwise(cut(s, within)))
-
-    def cut(s: Column, within: Column) -> Column:
-        ends = running(F.transform(within, lambda b: b["end"]), s["start"], lambda a, x: F.greatest(a, x))
-        return let(F.struct(within.alias("within"), ends.alias("ends")), lambda x: between(s, x))
-
-    def between(s: Column, x: Column) -> Column:
-        n = F.size(x["within"])
-        part = lambda a, b: F.substring(s["found"], (a - s["start"] + 1).cast("int"), (b - a).cast("int"))
-        joins = lambda at, yes: F.when(yes & part(at, at + 1).rlike("^[/+_=-]$"), F.lit(1)).otherwise(0)
+    def trimmed(s: Column) -> Column:
+        inner = F.regexp_replace(s["found"], f"^{COVERED}[/+_=-]?", "")
+        cut = let(inner, lambda x: F.struct(x.alias("x"), F.regexp_replace(x, f"[/+_=-]?{COVERED}$", "").alias("found")))
+        return let(cut, lambda c: let(s["start"] + F.length(s["found"]) - F.length(c["x"]), lambda at: F.struct(at.alias("start"), (at + F.length(c["found"])).alias("end"), c["found"].alias("found"))))
 
-        def piece(k: Column) -> Column:
-            a = F.when(k == 0, s["start"]).otherwise(F.get(x["ends"], k - 1))
-            b = F.when(k == n, s["end"]).otherwise(F.get(x["within"], k)["start"])
-            return let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.struct((p["a"] + joins(p["a"], k > 0)).alias("start"), (p["b"] - joins(p["b"] - 1, k < n)).alias("end")))
+    def beside(t: Column) -> Column:
+        return F.filter(F.transform(spans(t, BESIDE), trimmed), lambda s: s["end"] - s["start"] >= STRATA[0])
 
-        long = F.filter(F.transform(F.sequence(F.lit(0), n), piece), lambda p: p["end"] - p["start"] >= STRATA[0])
-        return F.transform(long, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), part(p["start"], p["end"]).alias("found"))).cast(FOUND)
-
-    return F.flatten(F.transform(spans(text, CANDIDATE), left))
+    plain = F.translate(text, COVERED, " ")
+    covered = let(plain, lambda t: replaced(t, base, lambda n: F.repeat(F.lit(COVERED), n.cast("int"))))
+    return F.when(~runs, F.expr("array()").cast(FOUND)).when(F.size(base) == 0, spans(text, CANDIDATE)).otherwise(let(covered, beside))
 
 
 def discovery_limits(docs: DataFrame, text: str = "text", q: float = 0.01) -> list[int]:
     """For each stratum of length the least evidence that Benjamini-Hochberg at rate q accepts (one over the most: none)."""
-    based = _with_base_spans(docs.select(text), F.coalesce(F.col(text), F.lit("")))
-    found = based.select(F.explode(F.transform(_candidates(F.col(text), F.col("base_spans")), lambda s: F.struct(_stratum(s["end"] - s["start"]).alias("stratum"), evidence(s["found"]).alias("bin")))).alias("c"))
+    based = _with_base_spans(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")), F.col("text"), "base", "runs")
+    found = based.select(F.explode(F.transform(_candidates(F.col("text"), F.col("base"), F.col("runs")), lambda s: F.struct(_stratum(s["end"] - s["start"]).alias("stratum"), evidence(s["found"]).alias("bin")))).alias("c"))
     counts = found.groupBy("c.stratum", "c.bin").count().collect()  # at most 6 x 601 rows, whatever the corpus
     limits = []
     for k in range(len(STRATA)):
@@ -162,38 +164,35 @@ def discovery_limits(docs: DataFrame, text: str = "text", q: float = 0.01) -> li
     return limits
 
 
-def find_secrets(docs: DataFrame, text: str = "text", q: float = 0.01, limits: list[int] | None = None) -> DataFrame:
-    """docs with base_spans and spans: array<struct<start,order,end,kind>> by start, then kind; code points, end exclusive.
+def find_secrets(docs: DataFrame, text: str = "text", q: float = 0.01, limits: list[int] | None = None, names: tuple[str, str] | None = None) -> DataFrame:
+    """docs with base_spans and spans (or names): array<struct<start,order,end,kind>> by start, then kind; code points, end exclusive.
 
     Null and empty texts have no spans. limits: those of discovery_limits(), else they are found from docs first. The
-    battery's spans (kind random) are added beside base spans and don't overlap them. Columns of these names are replaced.
+    battery's spans (kind random) are added beside base spans and don't overlap them. The caller's columns base_spans and spans are
+    replaced, and no others; names: other names for them.
     """
     if not 0 < q < 1:
         raise ValueError("q must lie between 0 and 1")
     limits = limits or discovery_limits(docs, text, q)
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = _with_base_spans(docs, t).withColumn("_candidates", _candidates(t, F.col("base_spans")))
+    names = names or ("base_spans", "spans")
+    t, out = F.coalesce(F.col(text), F.lit("")), docs.drop(*(n for n in names if n != text))
+    base, random, runs = unused(out, "base", "random", "runs")
+    out = _with_base_spans(out, t, base, runs)
     least = lambda s: F.get(F.array(*[F.lit(x) for x in limits]), _stratum(s["end"] - s["start"]))
-    random = F.filter("_candidates", lambda s: evidence(s["found"]) >= least(s))
-    return out.withColumn("spans", F.array_sort(F.concat("base_spans", _shaped(random, "random", 3)))).drop("_candidates")
+    out = out.withColumn(random, F.filter(_candidates(t, F.col(base), F.col(runs)), lambda s: evidence(s["found"]) >= least(s)))
+    return out.withColumn(names[1], F.sort_array(F.concat(base, _shaped(F.col(random), "random", 3)))).withColumn(names[0], F.col(base)).drop(base, random, runs)
 
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     """text with the union of the found spans (sorted by start) replaced by mark."""
-    ends = running(F.transform(found, lambda s: s["end"]), F.lit(0).cast("bigint"), lambda a, x: F.greatest(a, x))
-
-    def rebuilt(x: Column) -> Column:
-        before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(x["ends"], k - 1))
-        parts = F.transform(x["found"], lambda s, k: F.when(s["start"] >= before(k), F.concat(F.substring(text, (before(k) + 1).cast("int"), (s["start"] - before(k)).cast("int")), F.lit(mark))).otherwise(""))
-        return F.concat(F.array_join(parts, ""), F.substring(text, (F.element_at(x["ends"], -1) + 1).cast("int"), F.length(text)))
-
-    return F.when(F.size(found) > 0, let(F.struct(found.alias("found"), ends.alias("ends")), rebuilt)).otherwise(text)
+    return replaced(text, found, lambda n: F.lit(mark))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", q: float = 0.01) -> DataFrame:
-    """docs with every secret span in text replaced by [SECRET]; nulls stay null; no row is dropped."""
-    found = find_secrets(docs, text, q)
-    return found.withColumn(text, redacted(F.col(text), F.col("spans"))).drop("spans", "base_spans")
+    """docs with every secret span in text replaced by [SECRET]; nulls stay null; no row is dropped, no column changed."""
+    limits, names = discovery_limits(docs, text, q), unused(docs, "base_spans", "spans")
+    found = find_secrets(docs, text, q, limits, names)
+    return found.withColumn(text, redacted(F.col(text), F.col(names[1]))).select(docs.columns)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

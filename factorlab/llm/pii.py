@@ -19,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, unused
 
 ROUNDS = 8
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: The lengths are those that the mail standards allow; without bounds a long domain would exhaust the matcher's stack.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}"
 IBAN_RUN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?:[ -][A-Z0-9]++(?![a-z]))*+"
 IBAN = r"^[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:([ -])[A-Z0-9]{4}(?:\1[A-Z0-9]{4}){1,6})(?:\1[A-Z0-9]{1,4})?)$"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
@@ -167,7 +168,8 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    return _in_place(m, lambda i: i >= F.locate("@", m) - 1, key, "email")
+    at = F.locate("@", m)
+    return F.concat(let(F.substring(m, F.lit(1), at - 1), lambda x: _in_place(x, lambda i: F.lit(False), key, "email")), F.substring(m, at, F.length(m)))
 
 
 def kind_of(m: Column) -> Column:
@@ -273,24 +275,28 @@ def _layer(parts: Column, pattern: str, judge, key: str) -> Column:
 LAYERS = ((IBANS, _ibans), (CARDS, _cards(True)), (CARDS, _cards(False)), (OTHERS, _one))
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: str = "factorlab", counts: bool = True) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text: str = "text", counts: bool = True) -> DataFrame:
     """docs with every valid value in text replaced by its pseudonym, and n_pii and n_<kind> of them (long).
 
     Null texts stay null and count 0; invalid look-alikes (a card that fails its checksum, 30 February) stay as they are.
-    Columns with the names of the counts are replaced. key: the secret that the pseudonyms depend on.
+    Columns with the names of the counts are replaced, no others. key: the secret that the pseudonyms depend on; whoever
+    knows it can undo them, so it has no default.
     """
-    t = F.col(text)
-    out = docs.withColumn("_found", F.when(t.rlike("[0-9@]"), F.array(_part(t))).otherwise(F.expr("array()").cast(f"array<{PART}>")))
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
+    t, (name,) = F.col(text), unused(docs, "found")
+    out = docs.withColumn(name, F.when(t.rlike("[0-9@]"), F.array(_part(t))).otherwise(F.expr("array()").cast(f"array<{PART}>")))
     for pattern, judge in LAYERS:
-        out = out.withColumn("_found", _layer(F.col("_found"), pattern, judge, key))
-    valid = F.filter("_found", lambda x: x["new"].isNotNull())
+        out = out.withColumn(name, _layer(F.col(name), pattern, judge, key))
+    valid = F.filter(name, lambda x: x["new"].isNotNull())
     count = lambda k: F.size(F.filter(valid, lambda x: x["kind"] == k)).cast("bigint")
     if counts:
         out = out.withColumns({f"n_{k}": count(k) for k in KINDS} | {"n_pii": F.size(valid).cast("bigint")})
-    renewed = F.array_join(F.transform("_found", lambda x: F.coalesce(x["new"], x["m"])), "")
-    return out.withColumn(text, F.when(F.size(valid) > 0, renewed).otherwise(t)).drop("_found")
+    renewed = F.array_join(F.transform(name, lambda x: F.coalesce(x["new"], x["m"])), "")
+    return out.withColumn(text, F.when(F.size(valid) > 0, renewed).otherwise(t)).drop(name)
 
 
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is the session's spark.factorlab.pseudonymKey; where that is unset, a public one, for demonstration only."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymize(docs)
+    return pseudonymize(docs, spark.conf.get("spark.factorlab.pseudonymKey", "demonstration"))

@@ -3,14 +3,15 @@
 Each response yields a `metadata` record (JSON: the source's headers, title, links, counts) and a `conversion` record
 (text/plain), made from the payload without its transfer and content codings (chunked, gzip, deflate; others are named in
 the metadata). Headers are ordered pairs; in JSON the values of a repeated one are a list. Both records have
-WARC-Refers-To naming the response's record id, WARC-Target-URI, WARC-Date and the response's digests kept as source
-headers. Record ids are UUIDs made from the content, so a task that runs again gives the same records. Records can be
+WARC-Refers-To naming the response's record id, WARC-Target-URI and WARC-Date, and keep every other header of the response,
+digests among them, as WARC-Source-<name>. Pages are read by one forward scanner, in time linear in their length. Record ids are UUIDs made from the content, so a task that runs again gives the same records. Records can be
 read from WARC files (plain or gzip, member by member) and serialised to WARC/1.1 bytes.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
 import hashlib
 import html
@@ -18,7 +19,7 @@ import json
 import re
 import uuid
 import zlib
-from io import BytesIO
+from io import BufferedReader, BytesIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +29,13 @@ from pyspark.sql import types as T
 from .common import text_bytes, to_python
 
 DATE = "2024-01-01T00:00:00Z"
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg)\b[^>]*>.*?</\1\s*>|<(?:script|style)\b[^>]*>.*\Z", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
+HIDDEN, TO_THE_END = ("script", "style", "noscript", "template", "svg"), ("script", "style")
+BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split())
+LINKS = {"a": "href", "link": "href", "img": "src"}
+_NAME = re.compile(r"[a-z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"""\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _BLANK, _LINES = re.compile(r"[^\S\n]+"), re.compile(r"\s*\n\s*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"""<(a|link|img)\b[^>]*?\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HEAD = re.compile(rb"<head\b.*?</head\s*>", re.S | re.I)
+_LOWER = {k: k + 32 for k in range(65, 91)}
 
 
 def digest(data: bytes) -> str:
@@ -45,14 +46,78 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(chr(0).join(parts).encode('utf-8', 'replace')).digest()[:16], version=5)}>"
 
 
+class _Page:
+    """A page and, for each needle asked for, its next place; places only move forward, so all searches cost one walk each."""
+
+    def __init__(self, page: str):
+        self.page, self.lower, self.at, self.ends = page, page.translate(_LOWER), {}, {}
+
+    def find(self, needle: str, start: int) -> int:
+        """The needle's first place from start on, -1 if there is none; starts must not fall."""
+        known = self.at.get(needle, 0)
+        if known >= 0 and known <= start:
+            known = self.at[needle] = self.lower.find(needle, start)
+        return known
+
+    def closed(self, name: str, start: int) -> tuple[int, int] | None:
+        """(first place, end) of the element's first closing tag from start on."""
+        found = self.ends.setdefault(name, [re.compile(rf"</{name}\s*>").finditer(self.lower), (0, 0)])
+        while found[1] and found[1][0] < start or found[1] == (0, 0):
+            found[1] = next(((m.start(), m.end()) for m in found[0]), None)
+        return found[1]
+
+
+def scanned(page: str) -> tuple[str, str, list[dict]]:
+    """(visible text, title, links) of a page, in one walk.
+
+    Comments and what script, style, noscript, template and svg hold are hidden, to the page's end where a script or style
+    isn't closed; a tag goes from < and a letter, /, ! or ? to the next >; tags of block elements end lines; other < are
+    text. Links are the href or src of visible a, link and img tags.
+    """
+    p, at, out, title, links = _Page(page), 0, [], None, []
+    while (tag := p.lower.find("<", at)) >= 0:
+        out.append(page[at:tag])
+        if p.lower.startswith("<!--", tag) and (end := p.find("-->", tag + 4)) >= 0:
+            out.append(" ")
+            at = end + 3
+            continue
+        end = p.find(">", tag) if p.lower[tag + 1 : tag + 2] in _STARTS else -1
+        if end < 0:
+            out.append("<")
+            at = tag + 1
+            continue
+        closing = p.lower[tag + 1] == "/"
+        name = _NAME.match(p.lower, tag + 1 + closing, end)
+        name, at = name[0] if name else "", end + 1
+        if name in HIDDEN and not closing:
+            close = p.closed(name, at)
+            if close or name in TO_THE_END:
+                out.append(" ")
+                at = close[1] if close else len(page)
+                continue
+        if name in BLOCKS:
+            out.append("\n")
+        if closing:
+            continue
+        if name in LINKS and (found := _ATTRIBUTE.search(page, tag, end + 1)):
+            links.append({"path": f"{name.upper()}@/{LINKS[name]}", "url": html.unescape(found[1] or found[2] or found[3] or "")})
+        if name == "title" and title is None and (end := p.find("</title", at)) >= 0:
+            title = page[at:end]
+    out.append(page[at:])
+    text = _LINES.sub("\n", _BLANK.sub(" ", html.unescape("".join(out)))).strip()
+    return text, html.unescape(title or "").strip(), links
+
+
+#: What may follow the < of a tag.
+_STARTS = frozenset("abcdefghijklmnopqrstuvwxyz/!?")
+
+
 def plain_text(page: str) -> str:
-    """Visible text: scripts, styles and comments go, block elements end lines, entities are resolved."""
-    body = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub(" ", page)))
-    return _LINES.sub("\n", _BLANK.sub(" ", html.unescape(body))).strip()
+    return scanned(page)[0]
 
 
 def links_of(page: str) -> list[dict]:
-    return [{"path": f"{m[1].upper()}@/{'href' if m[1].lower() != 'img' else 'src'}", "url": html.unescape(m[2] or m[3] or m[4] or "")} for m in _LINK.finditer(page)]
+    return scanned(page)[2]
 
 
 def response(uri: str, payload: bytes, date: str = DATE, content_type: str = "text/html; charset=utf-8") -> dict:
@@ -190,57 +255,55 @@ def derivatives(record: dict) -> list[dict]:
         page = body.decode("utf-8", "replace")
     except UnicodeDecodeError:  # still in a coding that can't be undone here, which the metadata names
         page = ""
-    text = plain_text(page)
+    text, title, links = scanned(page)
     refers, uri, date = first(source, "WARC-Record-ID"), first(source, "WARC-Target-URI"), first(source, "WARC-Date")
-    title = _TITLE.search(page)
-    links = links_of(page)
     envelope = {
-        "Source-Headers": listed(source), "HTTP-Status": status, "HTTP-Headers": listed(http), "Title": html.unescape(title[1]).strip() if title else "",
+        "Source-Headers": listed(source), "HTTP-Status": status, "HTTP-Headers": listed(http), "Title": title,
         "Links": links, "Link-Count": len(links), "Payload-Length": len(payload), "Payload-Digest": digest(payload), "Text-Length": len(text), "Actual-Block-Digest": digest(record["block"]),
     }
     if body is not payload:
         envelope["Decoded-Length"] = len(body)
     if unknown:
         envelope["Unknown-Codings"] = unknown
+    same = ("warc-record-id", "warc-target-uri", "warc-date")  # both records have these values
+    kept = [(f"WARC-Source-{re.sub('^WARC-', '', k, flags=re.I)}", v) for k, v in source if k.lower() not in same]
     out = []
     for kind, content_type, block in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")), ("conversion", "text/plain", text.encode("utf-8", "replace"))):
-        headers = {
-            "WARC-Type": kind, "WARC-Record-ID": record_id(kind, refers, digest(block)), "WARC-Date": date, "WARC-Target-URI": uri, "WARC-Refers-To": refers,
-            "Content-Type": content_type, "WARC-Block-Digest": digest(block), "Content-Length": str(len(block)),
-        }
-        if known := first(source, "WARC-Payload-Digest"):
-            headers["WARC-Source-Payload-Digest"] = known
+        headers = [
+            ("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, refers, digest(block))), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", refers),
+            ("Content-Type", content_type), ("WARC-Block-Digest", digest(block)), ("Content-Length", str(len(block))), *kept,
+        ]
         out.append({"headers": headers, "block": block})
     return out
 
 
 def serialised(record: dict, compress: bool = False) -> bytes:
-    """A record as WARC/1.1 bytes; compress: as one gzip member."""
-    data = b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in pairs(record["headers"])) + b"\r\n" + record["block"] + b"\r\n\r\n"
+    """A record as WARC/1.1 bytes; compress: as one gzip member. Line breaks in header values are percent-encoded."""
+    line = lambda v: str(v).replace("\r", "%0D").replace("\n", "%0A")
+    data = b"WARC/1.1\r\n" + b"".join(f"{k}: {line(v)}\r\n".encode("utf-8", "replace") for k, v in pairs(record["headers"])) + b"\r\n" + record["block"] + b"\r\n\r\n"
     return gzip.compress(data, mtime=0) if compress else data
 
 
 def parsed(data: bytes):
-    """The records of WARC bytes, plain or in gzip members; bytes that aren't a record are skipped up to the next one."""
-    while data[:2] == b"\x1f\x8b":
-        parts = []
-        while data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(data) + member.flush())
-            data = member.unused_data
-        data = b"".join(parts)
+    """The records of WARC bytes, plain or in gzip members, which are inflated as they are read; bytes that aren't a record
+    are skipped up to the next one, and damaged gzip data end the file."""
     stream = BytesIO(data)
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            continue
-        lines = []
-        while (line := stream.readline().rstrip(b"\r\n")):
-            lines.append(line.decode("utf-8", "replace"))
-        headers = header_pairs(lines)
-        size = first(headers, "Content-Length", "0")
-        yield {"headers": headers, "block": stream.read(int(size) if size.isdigit() else 0)}
-
-
+    if data[:2] == b"\x1f\x8b":
+        stream = BufferedReader(gzip.GzipFile(fileobj=stream))
+    with contextlib.suppress(EOFError, zlib.error, gzip.BadGzipFile):
+        while line := stream.readline(LINE):
+            if not line.startswith(b"WARC/"):
+                continue
+            lines = []
+            while (line := stream.readline(LINE).rstrip(b"\r\n")):
+                lines.append(line.decode("utf-8", "replace"))
+            headers = header_pairs(lines)
+            size = first(headers, "Content-Length", "0")
+            yield {"headers": headers, "block": stream.read(int(size) if size.isdigit() else 0)}
+
+
+#: Bytes after which a line without end is taken as one.
+LINE = 1 << 20
 HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 RECORD = "record_type string, record_id string, refers_to string, target_uri string, headers array<struct<name:string,value:string>>, block_digest string, content_length bigint, block binary"
 
@@ -258,7 +321,10 @@ NAMES = [c.split()[0] for c in RECORD.split(", ")]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files, one row each; a file is read by one task, as the format can't be split."""
+    """The records of WARC files, one row each; a file is read by one task, as the format can't be split.
+
+    The task holds the file's bytes (2 GB at most) and one record at a time of what they inflate to.
+    """
 
     def run(batches):
         for batch in batches:

@@ -1,22 +1,25 @@
 """Sequence packing by Karmarkar-Karp multiway differencing.
 
 A document becomes token ids and an end id. Full windows are cut off as sequences of their own; the rests are collected
-into groups worth GROUP_WINDOWS windows and partitioned: every rest starts as a partial partition with one non-zero
-window, and the two partial partitions of largest spread are merged again and again, the fullest window of one with the
-emptiest of the other, until one is left with near-equal windows. Where a window exceeds the capacity, the partition is
-made anew with one window more. Since documents may be cut freely, the near-equal windows are then levelled: the fullest
-are filled up to the capacity from the emptiest, and what is left goes on to the next group; at the end of a task the last
-rest is cut at powers of two, which need no padding.
+into groups worth GROUP_WINDOWS windows less MARGIN tokens each, and partitioned: every rest starts as a partial partition
+with one non-zero window, and the two partial partitions of largest spread are merged again and again, the fullest window
+of one with the emptiest of the other, until one is left with near-equal windows. Where a window exceeds the capacity, the
+partition is made anew with one window more. The windows are the sequences. With about three whole rests a window their sums
+would differ by a tenth; as documents may be cut freely, every CUT_EVERY-th rest is cut into pieces of PIECE tokens and
+halves of that, with which differencing evens the windows out, so that most stay within the margin and padding is about
+one percent. What is left at the end of a task is cut at powers of two, which need no padding.
 
 Ids come from a memory of encoded chunks. A space between two characters that aren't white space always begins a new
 pre-token, so chunks cut there are encoded by themselves; new chunks of a batch are encoded together and told apart by
-their tokens' bytes. Texts with other white space around a space are encoded whole.
+their tokens' bytes. Texts with other white space around a space, or with an added token of the vocabulary, are encoded whole.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import json
+import os
 import re
 import zlib
 from array import array
@@ -31,6 +34,8 @@ from pyspark.sql import types as T
 from .common import to_python
 
 CAPACITY, END_ID, GROUP_WINDOWS = 2048, 1, 64
+#: Tokens by which a group's windows are planned below the capacity, and the rests that are cut, and into what.
+MARGIN, CUT_EVERY, PIECE = 16, 20, 64
 VOCABULARY = "byte_bpe_50k"
 _ODD_SPACE = re.compile(r"(?:^|\s) | (?:\s|$)")
 
@@ -41,6 +46,15 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(f"{name}.tiktoken")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that a tokenizers file finds in texts as they are, whatever is around them; {} without such a file."""
+    file = path.removesuffix(".tiktoken") + ".json"
+    if not os.path.exists(file):
+        return {}
+    with open(file, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
 class Encoder(dict):
     """chunk -> ids as little-endian unsigned 32-bit; the ids are those of the tokenizers file of the same vocabulary."""
 
@@ -51,12 +65,15 @@ class Encoder(dict):
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        added = added_tokens(path)
+        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         self.lengths[list(ranks.values())] = list(map(len, ranks))
 
     def whole(self, text: str) -> bytes:
-        return array("I", self.encoding.encode_ordinary(text)).tobytes()
+        special = self.added and self.added.search(text)
+        return array("I", self.encoding.encode(text, allowed_special="all") if special else self.encoding.encode_ordinary(text)).tobytes()
 
     def learn(self, chunks: list[str]) -> None:
         """Encodes chunks, each with a space before it, in one call."""
@@ -73,7 +90,7 @@ class Encoder(dict):
         """Ids of each text, without the end id."""
         if len(self) > self.limit:
             self.clear()
-        parts = [t.split(" ") if t and not _ODD_SPACE.search(t) else None for t in texts]
+        parts = [t.split(" ") if t and not _ODD_SPACE.search(t) and not (self.added and self.added.search(t)) else None for t in texts]
         new = dict.fromkeys(c for p in parts if p for c in p[1:] if c not in self)
         if new:
             self.learn(list(new))
@@ -113,26 +130,14 @@ def windows_for(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         k += 1
 
 
-def levelled(windows: list[list[tuple]], capacity: int = CAPACITY) -> tuple[list[list[tuple]], list[tuple]]:
-    """Full windows, and the pieces left. windows: lists of pieces (owner, start, length); the fullest are topped up."""
-    windows = sorted((list(w) for w in windows), key=lambda w: -sum(p[2] for p in w))
-    full, spare = [], []
-    while windows:
-        window = windows.pop(0)
-        room = capacity - sum(p[2] for p in window)
-        while room and (spare or windows):
-            if not spare:
-                spare = sorted(windows.pop(), key=lambda p: p[2])
-            owner, start, length = spare.pop()
-            take = min(room, length)
-            window.append((owner, start, take))
-            if take < length:
-                spare.append((owner, start + take, length - take))
-            room -= take
-        if room:
-            return full, window
-        full.append(window)
-    return full, spare
+def halved(length: int, largest: int = PIECE, least: int = 4) -> list[int]:
+    """Lengths of pieces: largest, its half and so on down to least, again and again."""
+    out, size = [], largest
+    while length:
+        out.append(min(size, length))
+        length -= out[-1]
+        size = size // 2 if size // 2 >= least else largest
+    return out
 
 
 def at_powers_of_two(pieces: list[tuple]) -> list[list[tuple]]:
@@ -156,28 +161,50 @@ class Packer:
     """Collects a task's documents and yields sequences of pieces (owner, start, length)."""
 
     def __init__(self, capacity: int = CAPACITY, group: int = GROUP_WINDOWS):
-        self.capacity, self.group, self.rests, self.size = capacity, group * capacity, [], 0
+        self.capacity, self.planned, self.group = capacity, capacity - min(MARGIN, capacity // 8), group
+        self.rests, self.size, self.windows = [], 0, 0
 
     def add(self, owner, length: int):
         start = 0
         while length - start >= self.capacity:
             yield [(owner, start, self.capacity)]
             start += self.capacity
-        if length > start:
-            self.rests.append((owner, start, length - start))
-            self.size += length - start
-        if self.size >= self.group:
-            yield from self._group()
-
-    def _group(self):
-        windows = [[self.rests[i] for i in w] for w in windows_for([r[2] for r in self.rests], self.capacity)]
-        full, self.rests = levelled(windows, self.capacity)
-        self.size = sum(r[2] for r in self.rests)
-        yield from full
+        while length > start:
+            take = min(length - start, self.group * self.planned - self.size)
+            self.rests.append((owner, start, take))
+            self.size += take
+            start += take
+            if self.size == self.group * self.planned:
+                yield from self._differenced(self.rests)
+                self.rests, self.size = [], 0
+
+    def _differenced(self, rests: list[tuple]):
+        pieces = []
+        for k, (owner, start, length) in enumerate(rests):
+            for n in halved(length) if k % CUT_EVERY == 0 else (length,):
+                pieces.append((owner, start, n))
+                start += n
+        for window in windows_for([p[2] for p in pieces], self.capacity):
+            sequence = []
+            for owner, start, length in (pieces[i] for i in sorted(window)):
+                if sequence and sequence[-1][0] is owner and sequence[-1][1] + sequence[-1][2] == start:
+                    sequence[-1] = (owner, sequence[-1][1], sequence[-1][2] + length)
+                else:
+                    sequence.append((owner, start, length))
+            yield sequence
 
     def end(self):
-        yield from self._group() if self.rests else ()
-        yield from at_powers_of_two(self.rests)
+        whole, room = [], self.size // self.planned * self.planned
+        rest = list(reversed(self.rests))
+        while room:
+            owner, start, length = rest.pop()
+            take = min(room, length)
+            whole.append((owner, start, take))
+            if take < length:
+                rest.append((owner, start + take, length - take))
+            room -= take
+        yield from self._differenced(whole) if whole else ()
+        yield from at_powers_of_two(list(reversed(rest)))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:

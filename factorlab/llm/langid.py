@@ -6,8 +6,9 @@ bits that one costs (log2 of the sample's length), per character, estimates the
 
 Every symbol of a language's sample has a code of its own there; a symbol that the sample lacks is a phrase by itself.
 Parsing starts again at the root after each phrase, so the automaton is used as a table of moves in which a failing move
-already holds its restart; samples of more than SYMBOLS symbols have a sparse table. Texts are cut into runs of RUN characters, which all step through the tables side by side in
-numpy; each run ends with one open phrase for every language alike.
+already holds its restart; samples of more than SYMBOLS symbols have a sparse table. A whole text is one parse. For speed it
+is cut into runs of RUN characters that step through the tables side by side in numpy: first all from the root, then
+again, each from the state in which the run before it ended, until no end changes; a state soon forgets where it began.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import types as T
 
 from .common import to_python
 
-#: Most documents and characters of a language that are learned from; what the driver holds is bounded by them.
-SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 150, 24_000, 200
+#: Documents of a language that are learned from, characters of the piece that is taken of each, and the number of
+#: languages beyond which learning is refused; they bound what the driver holds and what is broadcast.
+SAMPLE_DOCS, PIECE_CHARS, MOST_LANGUAGES = 150, 160, 2000
 RUN, TOGETHER = 256, 1_500_000
 #: Most codes of a dense table of moves.
 SYMBOLS = 64
@@ -139,7 +141,7 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]]):
         lower = letters()
-        texts = {k: normalised(code_points("\n".join(samples[k])), lower)[:SAMPLE_CHARS] for k in sorted(samples)}
+        texts = {k: normalised(code_points("\n".join(samples[k])), lower) for k in sorted(samples)}
         texts = {k: v for k, v in texts.items() if len(v)}
         self.symbols = np.unique(np.concatenate([*texts.values(), np.array([32], np.uint32)]))
         self.languages = list(texts)
@@ -160,35 +162,44 @@ class Model:
         out[self.symbols] = np.arange(1, other)
         return out
 
-    def phrases(self, runs: np.ndarray) -> np.ndarray:
-        """Phrases that each run (a column of codes) needs, by language."""
-        out = np.zeros((len(self.tables), runs.shape[1]), np.int32)
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases that each text (codes) needs, by language; an empty one needs none."""
+        parts = np.array([-(-len(t) // RUN) for t in texts], np.int64)
+        flat, first = np.zeros(int(parts.sum()) * RUN, np.int64), np.cumsum(parts) - parts
+        for t, k in zip(texts, first.tolist(), strict=True):
+            flat[k * RUN : k * RUN + len(t)] = t
+        runs, owner = flat.reshape(-1, RUN), np.repeat(np.arange(len(texts)), parts)
+        inner = np.ones(len(owner) + 1, bool)  # runs that another one of their text precedes
+        inner[first[parts > 0]] = inner[-1] = False
+        out = np.zeros((len(self.tables), len(texts)), np.int64)
         for k, (own, moves) in enumerate(zip(self.own, self.tables, strict=True)):
-            at, n = np.zeros(runs.shape[1], np.int64), out[k]
-            for row in runs:
-                to = moves.step(at, own[row])
-                restart = to >= RESTART
-                n += restart
-                at = (to & (RESTART - 1)).astype(np.int64)
-        return out + 1
+            counts, begin, end = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+            todo = np.arange(len(owner))
+            while len(todo):
+                for some in np.array_split(todo, -(-len(todo) // 8192)):
+                    counts[some], end[some] = self._parsed(moves, own, runs[some].T, begin[some])
+                after = todo[inner[todo + 1]] + 1
+                todo = after[begin[after] != end[after - 1]]
+                begin[todo] = end[todo - 1]
+            out[k] = np.bincount(owner, counts, len(texts))
+        return out + (parts > 0)  # the phrase that is open at the end
+
+    @staticmethod
+    def _parsed(moves, own: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(restarts, last state) of runs (columns of codes) that begin in the states at."""
+        n = np.zeros(rows.shape[1], np.int64)
+        for row in np.ascontiguousarray(own[rows]):
+            to = moves.step(at, row)
+            n += to >= RESTART
+            at = (to & (RESTART - 1)).astype(np.int64)
+        return n, at
 
     def judge(self, texts: list[str | None], lower: np.ndarray, code: np.ndarray):
         """(language or und, score, whether it has a letter) of each text; memory follows TOGETHER, not the number of texts."""
         for texts_now in _grouped(texts):
             rows = [normalised(code_points(t), lower) if t else np.zeros(0, np.uint32) for t in texts_now]
             rows = [r if (r != 32).any() else r[:0] for r in rows]  # no letter
-            parts = np.array([-(-len(r) // RUN) for r in rows])
-            flat = np.zeros(int(parts.sum()) * RUN, code.dtype)
-            start = 0
-            for r, n in zip(rows, parts, strict=True):
-                flat[start : start + len(r)] = code[r]
-                start += int(n) * RUN
-            owner = np.repeat(np.arange(len(rows)), parts)
-            counts = np.zeros((len(self.tables), len(rows)))
-            for k in range(0, len(owner), 8192):
-                found = self.phrases(np.ascontiguousarray(flat.reshape(-1, RUN)[k : k + 8192].T))
-                for j, n in enumerate(found):
-                    counts[j] += np.bincount(owner[k : k + 8192], n, len(rows))
+            counts = self.phrases([code[r] for r in rows])
             cost = counts * np.array(self.bits)[:, None] / np.maximum(1, np.array([len(r) for r in rows]))
             best = cost.argmin(axis=0) if len(cost) else np.zeros(len(rows), int)
             # share of the best under weights 2^-(bits), of at most 40 characters, so that long texts keep a scale
@@ -216,27 +227,28 @@ def held_out(id_col: str) -> Column:
 
 
 def learn_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """The model of a bounded sample: per language up to sample_docs documents, those of smallest hash.
+    """The model of a bounded sample: per language up to sample_docs documents, those of smallest hash, and of each a piece
+    of PIECE_CHARS characters at a place that its hash chooses (a shorter text is taken whole).
 
     Only rows with text, id and lang, and whose crc32(id as text) mod 3 is not 1, are learned from. Without any, all texts
-    are und. Of a document at most the first 4,800 characters are read, and of a language the first SAMPLE_CHARS normalised
-    ones of its documents in hash order: the sample_docs short documents, or as few as five long ones. Counts per language choose a hash limit first, so no language's rows have to be sorted.
+    are und. All languages are learned; more than MOST_LANGUAGES of them are an error. Counts per language choose a hash
+    limit first, so no language's rows have to be sorted.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col))
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()
-    if not counts:
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    counts = rows.groupBy("lang").count()
+    n = counts.count()
+    if n > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages; MOST_LANGUAGES bounds the model")
+    if not n:
         return Model({})
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(lang) == r[lang], F.lit(min(1.0, 3.0 * sample_docs / r["count"]))).otherwise(share)
-    key = F.xxhash64(F.col(id_col), F.lit("language sample"))
-    near = rows.where(F.pmod(key, F.lit(1_000_000)) < share * 1_000_000).select(lang, F.substring(text, 1, SAMPLE_CHARS).alias("text"), key.alias("key"))
-    order = F.row_number().over(_by(lang))
-    sample = near.withColumn("k", order).where(F.col("k") <= sample_docs).orderBy(lang, "k").collect()  # at most MOST_LANGUAGES * sample_docs rows
+    hashed = F.xxhash64("id", F.lit("language sample"))
+    near = rows.join(F.broadcast(counts), "lang").where(F.pmod(hashed, F.lit(1_000_000)) * F.col("count") < 3_000_000 * sample_docs)  # counts: MOST_LANGUAGES rows
+    start = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.length("text") - PIECE_CHARS + 1, F.lit(1))).cast("int") + 1
+    pieces = near.select("lang", F.substring(F.col("text"), start, F.lit(PIECE_CHARS)).alias("text"), hashed.alias("key"))
+    sample = pieces.withColumn("k", F.row_number().over(_by("lang"))).where(F.col("k") <= sample_docs).orderBy("lang", "k").collect()  # n * sample_docs pieces
     chosen: dict[str, list[str]] = {}
     for r in sample:
-        if sum(map(len, chosen.setdefault(r[lang], []))) < 2 * SAMPLE_CHARS:
-            chosen[r[lang]].append(r["text"][: max(200, 2 * SAMPLE_CHARS // 10)])
+        chosen.setdefault(r["lang"], []).append(r["text"])
     return Model(chosen)
 
 
@@ -246,16 +258,17 @@ def _by(lang: str):
     return Window.partitionBy(lang).orderBy("key", "text")
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", letter: str | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", letter: str | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with lang_pred (und: null text, no letter, or a model without languages) and score (0 to 1); columns of these
-    names are replaced. letter: name of a further column that tells whether the text has a letter, whatever the model.
+    names (names: other ones) are replaced. letter: name of a further column that tells whether the text has a letter,
+    whatever the model.
 
     Each whole text is parsed; ties go to the language first in order.
     """
-    out = docs.drop("lang_pred", "score", *([letter] if letter else []))
+    out = docs.drop(*names, *([letter] if letter else []))
     at = out.columns.index(text)
-    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField(letter, T.BooleanType())] if letter else [])]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LANGUAGES * SAMPLE_CHARS
+    new = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), *([T.StructField(letter, T.BooleanType())] if letter else [])]
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LANGUAGES * SAMPLE_DOCS * PIECE_CHARS
 
     def run(batches):
         m = shared.value

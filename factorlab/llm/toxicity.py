@@ -7,7 +7,11 @@ keeps the classifier from memorising P. Features are hashed words, their beginni
 document's score doesn't depend on its length and a word's whole weight can be remembered. Words end at ASCII that is no
 letter or digit and at Unicode's spaces; longer ones, as in unspaced scripts, are read in pieces that share no n-gram and
 leave none out, each counting as a word, so every byte of a text reaches its score. Two numbers (slope and
-offset) are then fitted on labelled rows that were not in P or U, so that a score reads as a probability.
+offset) are then fitted on labelled rows that were not in P or U, clean ones too: this supervised calibration is outside
+the positive-unlabelled risk, and only lets a score read as a probability.
+
+The sample is written to the shared folder, one text an id. A first pass sums each feature's moments on the executors, a
+second brings the SELECTED features alone, so the driver holds at most rows * SELECTED rates however long the texts are.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes, to_python
+from .common import freed, stored, text_bytes, to_python
 
 #: Most rows of each kind that are learned from; the bound on what the driver holds.
 POSITIVE, UNLABELLED, CALIBRATION = 2000, 5000, 2500
@@ -97,43 +101,70 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     return p.unionByName(c).unionByName(u)
 
 
-def _vectors(docs: DataFrame, wanted: DataFrame, id_col: str, text: str):
-    """(roles, toxic, row ends, feature ids, rates) of the wanted documents."""
+def _rates(raw: bytes, known: _Remembered) -> tuple[np.ndarray, np.ndarray]:
+    """(features, their rates per 100 words) of a text; memory follows the number of its distinct features."""
+    words = words_of(raw)
+    counts = np.zeros(DIMENSIONS, np.int64)
+    for k in range(0, len(words), 20_000):
+        counts += np.bincount(np.fromiter((f for w in words[k : k + 20_000] for f in known[w]), np.int64), minlength=DIMENSIONS)
+    ids = np.flatnonzero(counts)
+    return ids.astype(np.int32), (100.0 * counts[ids] / max(1, len(words))).astype(np.float32)
+
+
+def _sample_table(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(role, toxic, text) of the wanted documents, written down; of an id's several texts the least is taken."""
     # wanted has at most POSITIVE + UNLABELLED + CALIBRATION rows
-    rows = docs.select(id_col, text).join(F.broadcast(wanted), id_col).select("role", "toxic", text)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(wanted.withColumnRenamed(id_col, "id")), "id")
+    return stored(rows.groupBy("id", "role", "toxic").agg(F.min("text").alias("text")).select("role", "toxic", "text"))
+
+
+def contrasted(sample: DataFrame, n_positive: int, n_unlabelled: int, selected: int = SELECTED) -> np.ndarray:
+    """The features whose mean rates in P and U differ most (in standard errors); others only add noise."""
+
+    def moments(batches):
+        known, sums = _Remembered(features), np.zeros((4, DIMENSIONS))
+        least = np.inf
+        for batch in batches:
+            for role, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+                ids, rates = _rates(raw, known)
+                first = 0 if role == "p" else 2
+                sums[first, ids] += rates
+                sums[first + 1, ids] += rates.astype(float) ** 2
+                least = min(least, float(rates.min(initial=np.inf)))
+        used = np.flatnonzero(sums.any(axis=0))
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(x[used]) for x in sums), pa.array(np.full(len(used), least))], ["f", "p1", "p2", "u1", "u2", "least"])
+
+    rows = to_python(sample.where("role <> 'c'").select("role", "text")).mapInArrow(moments, "f bigint, p1 double, p2 double, u1 double, u2 double, least double")
+    table = rows.groupBy("f").agg(*[F.sum(c).alias(c) for c in ("p1", "p2", "u1", "u2")], F.min("least").alias("least")).toPandas()  # at most DIMENSIONS rows
+    if not len(table):
+        return np.zeros(0, np.int32)
+    mp, mu = table.p1 / n_positive, table.u1 / n_unlabelled
+    vp, vu = (table.p2 / n_positive - mp**2) / n_positive, (table.u2 / n_unlabelled - mu**2) / n_unlabelled
+    z = ((mp - mu).abs() / np.sqrt(vp + vu + table.least.min() ** 2 / max(1, n_unlabelled))).to_numpy()
+    order = np.lexsort((table.f.to_numpy(), -z))[:selected]
+    return np.sort(table.f.to_numpy()[order[z[order] > 0]]).astype(np.int32)
+
+
+def _vectors(sample: DataFrame, use: np.ndarray):
+    """(roles, toxic, features in use a row, their places in use, rates) of the sample's rows."""
 
     def run(batches):
         known = _Remembered(features)
         for batch in batches:
             ids, rates = [], []
             for raw in text_bytes(batch.column(2)):
-                words = words_of(raw)
-                found = np.fromiter((f for w in words for f in known[w]), np.int32)
-                i, n = np.unique(found, return_counts=True)
-                ids.append(i)
-                rates.append((100.0 * n / max(1, len(words))).astype(np.float32))
+                i, r = _rates(raw, known)
+                here = np.isin(i, use)
+                ids.append(np.searchsorted(use, i[here]).astype(np.int32))
+                rates.append(r[here])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(rates, pa.list_(pa.float32()))], ["role", "toxic", "ids", "rates"])
 
-    table = to_python(rows).mapInArrow(run, "role string, toxic int, ids array<int>, rates array<float>").toArrow()
+    table = to_python(sample).mapInArrow(run, "role string, toxic int, ids array<int>, rates array<float>").toArrow()
     ids, rates = (table.column(c).combine_chunks() for c in ("ids", "rates"))
     return np.array(table.column("role").to_pylist(), "U1"), np.array([x or 0 for x in table.column("toxic").to_pylist()]), np.diff(np.asarray(ids.offsets)), np.asarray(ids.flatten()), np.asarray(rates.flatten())
 
 
-def contrasted(lengths: np.ndarray, ids: np.ndarray, rates: np.ndarray, positive: np.ndarray, selected: int = SELECTED, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Mask of the features whose mean rates in P and U differ most (in standard errors); others only add noise."""
-    of_p = np.repeat(positive, lengths)
-    moments = []
-    for mask, n in ((of_p, positive.sum()), (~of_p, (~positive).sum())):
-        mean = np.bincount(ids[mask], rates[mask], dimensions) / n
-        moments.append((mean, (np.bincount(ids[mask], rates[mask] ** 2, dimensions) / n - mean**2) / n))
-    (mp, vp), (mu, vu) = moments
-    least = (rates.min() if len(rates) else 1.0) ** 2 / max(1, (~positive).sum())
-    z = np.abs(mp - mu) / np.sqrt(vp + vu + least)
-    out = np.zeros(dimensions, bool)
-    out[np.argsort(-z, kind="stable")[:selected]] = True
-    return out & (z > 0)
-
-
 def nnpu(lengths: np.ndarray, ids: np.ndarray, rates: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, l2: float = 1e-3, rate: float = 0.05, dimensions: int = DIMENSIONS):
     """Weights and offset of the linear classifier; positive: mask of the rows of P, the others are U."""
     row = np.repeat(np.arange(len(lengths)), lengths)
@@ -181,19 +212,22 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Labels are read only of rows whose crc32(id as text) mod 3 is not 1. prior: the share of toxic text; None takes the
     share among the calibration rows.
     """
-    roles, toxic, lengths, ids, rates = _vectors(docs, _sampled(docs, labels, id_col), id_col, text)
+    sample = _sample_table(docs, _sampled(docs, labels, id_col), id_col, text)
+    n = {r["role"]: r["count"] for r in sample.groupBy("role").count().collect()}
+    if "p" not in n or "u" not in n:
+        freed(sample)
+        return np.zeros(DIMENSIONS), -5.0
+    use = contrasted(sample, n["p"], n["u"])
+    roles, toxic, lengths, ids, rates = _vectors(sample, use)
+    freed(sample)
     c = roles == "c"
     prior = prior or min(0.5, max(0.005, float(toxic[c].mean()) if c.any() else 0.05))
-    if not (roles == "p").any() or not (roles == "u").any():
-        return np.zeros(DIMENSIONS), -5.0
-    row, rows = np.repeat(np.arange(len(lengths)), lengths), len(lengths)
     train = np.repeat(~c, lengths)
-    use = contrasted(lengths[~c], ids[train], rates[train], roles[~c] == "p")[ids]
-    row, ids, rates, train = row[use], ids[use], rates[use], train[use]
-    lengths = np.bincount(row, minlength=rows)
-    w, b = nnpu(lengths[~c], ids[train], rates[train], roles[~c] == "p", prior)
-    z = np.bincount(np.repeat(np.arange(c.sum()), lengths[c]), rates[~train] * w[ids[~train]], c.sum()) + b if c.any() else np.zeros(0)
+    small, b = nnpu(lengths[~c], ids[train], rates[train], roles[~c] == "p", prior, dimensions=max(1, len(use)))
+    z = np.bincount(np.repeat(np.arange(c.sum()), lengths[c]), rates[~train] * small[ids[~train]], c.sum()) + b if c.any() else np.zeros(0)
     slope, offset = calibrated(z, toxic[c]) if c.any() else (1.0, 0.0)
+    w = np.zeros(DIMENSIONS)
+    w[use] = small[: len(use)]
     return w * slope, b * slope + offset
 
 
@@ -221,4 +255,3 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     weights, offset = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
     return score_toxicity(docs, weights, offset).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
-

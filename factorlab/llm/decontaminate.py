@@ -6,24 +6,27 @@ at each word is tracked. Where it reaches WINDOW words, all words of the match a
 item is a window of that item. An item of fewer words is one window; it is found as a suffix of the current match. Items
 that hold a window are known for each automaton state that a window ends in.
 
-Items are split into shards of at most SHARD_WORDS words, each an automaton that is broadcast by itself, so the size of
-what is sent is bounded; more items mean more passes over the documents, and hits of all shards are united.
+Items are read in shards of about SHARD_WORDS words. A shard's words are broadcast, and each Python worker builds its
+automaton from them once. Several shards are passes over the documents one after another, each written down before the next
+begins, so driver and workers hold one shard at a time; hits of all shards are united.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import uuid
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes, to_python
+from .common import freed, stored, text_bytes, to_python, unused
 
 WINDOW = 10
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 200_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 #: The same words in the original text, for cutting.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -180,36 +183,73 @@ def automata(items: list[tuple], window: int = WINDOW, shard_words: int = SHARD_
     return out
 
 
-def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+def shards_of(items, shard_words: int):
+    """Lists of (id, text) rows of at most shard_words words (a longer item is one by itself); items without words go."""
+    part, size = [], 0
+    for item, text in items:
+        n = len(words_of((text or "").encode("utf-8", "replace")))
+        if part and size + n > shard_words:
+            yield part
+            part, size = [], 0
+        if n:
+            part.append((item, text))
+            size += n
+    yield part
+
+
+#: The automaton that this worker built last, with its shard's number.
+_built: dict = {}
+
+
+def _automaton(number: str, items: list[tuple], window: int) -> Automaton:
+    if number not in _built:
+        _built.clear()
+        _built[number] = next(iter(automata(items, window, sys.maxsize)), None) or Automaton(window).ready()
+    return _built[number]
+
+
+def match_benchmark(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS,
+    names: tuple[str, str, str] = ("n_words", "hit_spans", "hit_items"),
+) -> DataFrame:
     """docs with n_words, hit_spans (merged word intervals [start, end)) and hit_items (ids as strings, sorted).
 
     Null and empty texts have no words and no hits, items without a word no windows, null item ids no name (they hit, but
-    aren't listed). Every row is judged by itself; columns of these names are replaced. The items are the stated test
-    sets: they are read to the driver in bounded shards, never the documents.
+    aren't listed). Every row is judged by itself; columns of these names (names: other ones) are replaced. The items are
+    the stated test sets; the driver reads them shard by shard, never the documents.
     """
-    out = docs.drop("n_words", "hit_spans", "hit_items")
-    out = out.withColumns({"n_words": F.lit(0).cast("bigint"), "hit_spans": F.expr("array()").cast("array<array<bigint>>"), "hit_items": F.expr("array()").cast("array<string>")})
-    at = out.columns.index(text)
-    shards = automata([tuple(r) for r in benchmark.select(F.col(item_id).cast("string"), item_text).collect()], window, shard_words)
-    for automaton in shards or [Automaton(window).ready()]:
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)  # at most shard_words words
-
-        def run(batches, shared=shared):
-            a = shared.value
+    out = docs.drop(*names)
+    out = out.withColumns(dict(zip(names, (F.lit(0).cast("bigint"), F.expr("array()").cast("array<array<bigint>>"), F.expr("array()").cast("array<string>")), strict=True)))
+    at, schema = out.columns.index(text), out.schema
+    items = benchmark.select(F.col(item_id).cast("string"), item_text).where(F.col(item_text).isNotNull())
+
+    def matched(out: DataFrame, part: list[tuple]) -> DataFrame:
+        number = uuid.uuid4().hex
+        shared = docs.sparkSession.sparkContext.broadcast(part)  # at most shard_words words
+
+        def run(batches):
+            a = _automaton(number, shared.value, window)
             for batch in batches:
-                n, spans, items = [], batch.column(-2 + batch.num_columns).to_pylist(), batch.column(-1 + batch.num_columns).to_pylist()
+                n, spans, found_items = [], batch.column(-2 + batch.num_columns).to_pylist(), batch.column(-1 + batch.num_columns).to_pylist()
                 for k, raw in enumerate(text_bytes(batch.column(at))):
                     words = words_of(raw)
                     n.append(len(words))
-                    found, names = a.hits(words)
+                    found, ids = a.hits(words)
                     if found:
                         spans[k] = merged([*spans[k], *found])
-                        items[k] = sorted({*items[k], *(x for x in names if x is not None)})
+                        found_items[k] = sorted({*found_items[k], *(x for x in ids if x is not None)})
                 kinds = pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *(pa.array(v, t) for v, t in zip((n, spans, items), kinds, strict=True))], batch.schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *(pa.array(v, t) for v, t in zip((n, spans, found_items), kinds, strict=True))], batch.schema.names)
 
-        out = to_python(out).mapInArrow(run, out.schema)
-    return out
+        return to_python(out).mapInArrow(run, schema)
+
+    last = None
+    for part in shards_of(items.toLocalIterator(), shard_words):
+        if last is not None:
+            before, out = out, stored(matched(out, last))
+            freed(before)
+        last = [tuple(r) for r in part]
+    return matched(out, last)
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:
@@ -239,10 +279,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", mos
 
     Rows without a hit stay exactly as they are, null and empty texts too. n_chars: a column to set to the new length.
     """
-    found = match_benchmark(docs, benchmark, text, **options)
-    hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda a, s: a + F.get(s, F.lit(1)) - F.get(s, F.lit(0)))
-    found = found.where(hit <= F.lit(most_coverage) * F.greatest("n_words", F.lit(1)))
-    at, marks = found.columns.index(text), found.columns.index("hit_spans")
+    names = unused(docs, "n_words", "hit_spans", "hit_items")
+    n_words, hit_spans, _ = names
+    found = match_benchmark(docs, benchmark, text, names=tuple(names), **options)
+    hit = F.aggregate(hit_spans, F.lit(0).cast("bigint"), lambda a, s: a + F.get(s, F.lit(1)) - F.get(s, F.lit(0)))
+    found = found.where(hit <= F.lit(most_coverage) * F.greatest(n_words, F.lit(1)))
+    at, marks = found.columns.index(text), found.columns.index(hit_spans)
 
     def run(batches):
         for batch in batches:
@@ -256,7 +298,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", mos
 
     out = to_python(found).mapInArrow(run, found.schema)
     if n_chars:
-        out = out.withColumn(n_chars, F.when(F.size("hit_spans") > 0, F.length(text)).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
+        out = out.withColumn(n_chars, F.when(F.size(hit_spans) > 0, F.length(text)).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
     return out.select(docs.columns)
 
 

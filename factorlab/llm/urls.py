@@ -1,8 +1,8 @@
 """URL rules: host-suffix and path-prefix expressions, short hash prefixes, full digests.
 
 Native DataFrame code only. Each URL is expanded into the expressions `host suffix + path prefix` that a rule could
-equal; they meet the rules in an equi-join on the first 8 hex digits of their SHA-256; the whole digest is then
-compared, and of the rules that fit a URL the longest wins (equal length: longer host, then block before allow).
+equal; the distinct ones meet the rules in an equi-join on the first 8 hex digits of their SHA-256; the whole digest is
+then compared, and of the rules that fit a URL the longest wins (equal length: longer host, then block before allow).
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     """(verdict, host, path) rows as the rules' DataFrame."""
-    return spark.createDataFrame(rules, "verdict string, rule_host string, rule_path string")
+    rows = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("verdict", "rule_host", "rule_path"), r, strict=True)]) for r in rules])
+    return spark.range(1).select(F.inline(rows))
 
 
 def with_host_path(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -31,8 +32,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     """All rows and columns of pages, with host, path, rule (null: none fits) and verdict.
 
     A column of pages with one of these names is replaced. Null urls, urls without `://` and urls that no rule fits
-    get the default verdict. Repeated urls are judged once: what is matched is the distinct (host, path), so a hot url
-    is reduced before the shuffle. Rules with a null part, or whose path neither is empty nor begins with `/`, fit no
+    get the default verdict. Each distinct (host, path) is expanded once and each distinct expression meets the rules
+    once, both after partial aggregation, so a hot url or a hot suffix is reduced before the shuffle; rows without a host
+    take no part in a join. Rules with a null part, or whose path neither is empty nor begins with `/`, fit no
     url. An empty rule table gives the default everywhere.
     """
     rules = rules.where("rule_host IS NOT NULL AND verdict IS NOT NULL AND (rule_path = '' OR rule_path LIKE '/%')").select(
@@ -60,17 +62,20 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     wanted = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
 
-    asked = pages.select("host", "path").where("host <> ''").select("host", "path", F.explode(F.array_distinct(wanted)).alias("asked"))
-    asked = asked.withColumn("asked_digest", digest(F.col("asked"))).withColumn("short", F.substring("asked_digest", 1, PREFIX_DIGITS))
+    has_host = F.col("host") != ""
+    places = pages.where(has_host).select("host", "path").distinct().select("host", "path", F.explode(F.array_distinct(wanted)).alias("asked"))
+    asked = places.select("asked").distinct().withColumn("asked_digest", digest(F.col("asked"))).withColumn("short", F.substring("asked_digest", 1, PREFIX_DIGITS))
     rules = rules.withColumn("rule_digest", digest(F.col("rule"))).withColumn("short", F.substring("rule_digest", 1, PREFIX_DIGITS))
+    hits = asked.join(rules, "short").where("asked_digest = rule_digest").select("asked", "rule_host", "verdict", "rule").distinct()
     best = (
-        asked.join(rules, "short")
-        .where("asked_digest = rule_digest")
+        places.join(hits, "asked")
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule"), F.length("rule_host"), F.col("verdict"), F.col("rule"))).alias("best"))
         .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
     )
-    return pages.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    judged = pages.where(has_host).join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    rest = pages.where(~has_host).withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    return judged.unionByName(rest)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@
 import gzip
 import hashlib
 import json
+import math
 import random
 import re
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -18,6 +20,7 @@ from oracle import SF, same  # noqa: E402
 from factorlab.llm import common, decontaminate, langid, neardup, packing, pii, quality, queries, secrets, toxicity, urls, warc  # noqa: E402
 
 ODD = "doc_id long, text string, score string, lang string, spans int, host string, toxic int, quality int"
+KEY = "a secret of the tests"
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
 ODD_ROWS = [(1, None, "a", "en", 1, "h", 1, 0), (2, "", "b", None, 2, None, 0, 1), (3, LONG, None, "fr", None, "x", None, None), (4, "same text here again and again for all of us now", "c", "en", 3, "", 0, 0), (4, "same text here again and again for all of us now", "c", "en", 3, "", 0, 0), (None, "no id at all here", None, None, None, None, None, None)]
 
@@ -129,6 +132,64 @@ def test_secrets_beside_base_spans_are_found(spark):
     assert sum(t in ("x [SECRET]/[SECRET] y", "x [SECRET]_[SECRET] y", "x [SECRET]/[SECRET]-[SECRET]=[SECRET] y") for t in clean) >= 52
 
 
+def battery(token):
+    """The evidence of a candidate, in plain Python: bins of 1/20 decade of its p-value as text."""
+    core = token.rstrip("=")
+    n = len(core)
+    if n < 20:
+        return 0
+    kinds = [(10, "[0-9]"), (16, "[0-9a-f]"), (16, "[0-9A-F]"), (26, "[a-z]"), (32, "[A-Z2-7]"), (36, "[0-9a-z]"), (36, "[0-9A-Z]"), (52, "[A-Za-z]"), (62, "[0-9A-Za-z]"), (64, ".")]
+    k = next(size for size, symbols in kinds if re.fullmatch(f"{symbols}+", core))
+    more = n * (max(1.7, 0.065 * k) - 1)
+    z = (k / n * sum(core.count(c) ** 2 for c in set(core)) - n - (k - 1 + more)) / (2 * (k - 1 + 2 * more)) ** 0.5
+    v = [ord(c) for c in core]
+    m, middle = sum(v) / n, sorted(v)[n // 2]
+    high = [x >= middle for x in v]
+    pairs, runs = 2 * sum(high) * (n - sum(high)), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    var, lag = sum((x - m) ** 2 for x in v), sum((a - m) * (b - m) for a, b in zip(v, v[1:], strict=False))
+    sd = (max(pairs * (pairs - n), 0) / (n * n * (n - 1))) ** 0.5
+    if not sd or not var or abs((runs - pairs / n - 1) / sd) > 2.807 or abs(lag / var * n**0.5 + n**-0.5) > 2.807:
+        return 0
+    return min(600, int(-20 * math.log10(max(0.5 * math.erfc(-z / 2**0.5), 1e-300)) // 1))
+
+
+def cuts(counts, q):
+    """Benjamini-Hochberg, from the ordered p-values of the bins."""
+    values = sorted((10 ** (-b / 20) for b, n in counts.items() for _ in range(n)))
+    ok = [p for k, p in enumerate(values, 1) if p < 1 and len(values) * p <= q * k]
+    return round(-20 * math.log10(max(ok))) if ok else 601
+
+
+def test_battery_against_brute_force(spark):
+    rng = random.Random(21)
+    alphabets = ["0123456789", "0123456789abcdef", "ABCDEF0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ab", "aA0+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"]
+    tokens = ["".join(rng.choice(a) for _ in range(rng.randint(18, 300))) + "=" * rng.randint(0, 2) for a in alphabets for _ in range(25)] + ["a" * 40, "ab" * 20, "internationalization-of-everything"]
+    df = spark.createDataFrame(list(enumerate(tokens)), "i int, token string")
+    got = [r["e"] for r in df.select("i", secrets.evidence(df["token"]).alias("e")).orderBy("i").collect()]
+    expected = [battery(t) for t in tokens]
+    assert all(abs(a - b) <= 1 for a, b in zip(got, expected, strict=True)) and sum(a != b for a, b in zip(got, expected, strict=True)) <= 3  # the tail formula's error
+    limits = secrets.discovery_limits(spark.createDataFrame([(f"x {t} y",) for t in tokens], "text string"))
+    for k, least in enumerate(secrets.STRATA):
+        counts = {}
+        for t, e in zip(tokens, got, strict=True):
+            t_base = {s[2] - s[0] for s in base_spans(t)}
+            if len(t) >= least and (k == 5 or len(t) < secrets.STRATA[k + 1]) and not t_base:
+                counts[e] = counts.get(e, 0) + 1
+        assert {b for b in counts if b >= limits[k]} == {b for b in counts if b >= cuts(counts, 0.01)}
+
+
+def test_secrets_of_a_long_text(spark):
+    rng = random.Random(22)
+    words = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(2_400)]
+    texts = [" ".join(words), "x" * 200_000, "token=abcdefgh " * 12_000, "ab/" * 60_000, "\u00e9 " + " /".join(words)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    began = time.time()
+    got = secrets.find_secrets(df, limits=[601] * 6).orderBy("i").collect()
+    assert [[tuple(s) for s in r["base_spans"]] for r in got] == [base_spans(t) for t in texts]
+    clean = [r["text"] for r in secrets.redact_secrets(df).orderBy("i").collect()]
+    assert clean[0] == " ".join(["[SECRET]"] * 2_400) and "abcdefgh" not in clean[2] and time.time() - began < 240
+
+
 def test_redaction_joins_overlaps(spark):
     text = 'a token = "' + "0a" * 20 + '" é token=abcdefgh'
     got = secrets.redact_secrets(spark.createDataFrame([(1, text), (2, None)], "i int, text string"), q=0.01).orderBy("i").collect()
@@ -271,7 +332,7 @@ def test_packing_round_trip(spark):
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    texts = {r["doc_id"]: r["text"] for r in rows} | {-1: None, -2: "", -3: "  two  spaces \n\n and\ttabs ", -4: "x" * 20_000, -5: " é\u00a0 ü\u3000 z 's 're\n 12", -6: "a b\x1c c"}
+    texts = {r["doc_id"]: r["text"] for r in rows} | {-1: None, -2: "", -3: "  two  spaces \n\n and\ttabs ", -4: "x" * 20_000, -5: " é\u00a0 ü\u3000 z 's 're\n 12", -6: "a b\x1c c", -7: "a text <|endoftext|> more", -8: "<|endoftext|><|endoftext|>x", -9: "<|endof text|> <|endoftext|"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     pieces = packing.pack(df, keep_ids=True).toPandas()
     for doc, group in pieces.groupby("doc_id"):
@@ -286,7 +347,21 @@ def test_packing_round_trip(spark):
         total = int(group.length.sum())
         assert group.offset.tolist() == np.concatenate([[0], np.cumsum(group.length)[:-1]]).tolist() and total <= 2048
         padding += 0 if total & (total - 1) == 0 else 2048 - total
-    assert padding == 0 and set(pieces.doc_id) == set(texts)
+    assert padding <= 0.02 * pieces.length.sum() and set(pieces.doc_id) == set(texts)
+
+
+def test_windows_of_differencing_are_the_sequences():
+    for mean in (40, 300, 1500, 5000):
+        rng, packer, sequences, n = random.Random(mean), packing.Packer(), [], 0
+        for k in range(1500):
+            size = int(rng.expovariate(1 / mean)) + 1
+            n += size
+            sequences += packer.add(k, size)
+        sequences += packer.end()
+        places = sorted((owner, start, length) for s in sequences for owner, start, length in s)
+        assert all((a[0] == b[0] and a[1] + a[2] == b[1]) or (a[0] + 1 == b[0] and b[1] == 0) for a, b in zip(places, places[1:], strict=False)) and sum(p[2] for p in places) == n
+        sums = [sum(p[2] for p in s) for s in sequences]
+        assert max(sums) <= 2048 and sum(2048 - x for x in sums if x & (x - 1)) <= 0.03 * n
 
 
 def test_differencing_is_near_equal():
@@ -324,6 +399,8 @@ def test_warc_round_trip(spark, tmp_path):
         assert r["target_uri"] == source["WARC-Target-URI"] and r["content_length"] == len(r["block"]) and r["block_digest"] == warc.digest(r["block"])
         if r["record_type"] == "conversion":
             assert r["block"].decode() == "A & B\nFirst\nsecond é\nlink"
+            kept = {h["name"]: h["value"] for h in r["headers"]}
+            assert all(kept[f"WARC-Source-{k.removeprefix('WARC-')}"] == v for k, v in source.items() if k not in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
         else:
             meta = json.loads(r["block"])
             assert meta["Source-Headers"] == source and meta["Title"] == "A & B" and meta["Links"] == [{"path": "A@/href", "url": "/x?a=1&b=2"}] and meta["Payload-Digest"] == source["WARC-Payload-Digest"]
@@ -361,6 +438,51 @@ def test_warc_of_raw_captures(spark, tmp_path):
     assert page.startswith(warc.inflated(cut, (31,))) and warc.unchunked(chunks(page)[:130]) == page[: len(warc.unchunked(chunks(page)[:130]))]
 
 
+def plainly_scanned(page):
+    """The scanner's rules by trying each place in turn."""
+    out, links, i = "", [], 0
+    while i < len(page):
+        if m := re.compile(r"<!--.*?-->", re.S).match(page, i):
+            out += " "
+        elif m := re.compile(r"<(script|style|noscript|template|svg)(?![^\s/>])[^>]*>.*?</\1\s*>|<(?:script|style)(?![^\s/>])[^>]*>.*\Z", re.S | re.I).match(page, i):
+            out += " "
+        elif m := re.compile(r"<(/?)([a-z][^\s/>]*|)[^>]*>", re.S | re.I).match(page, i):
+            if not m[2] and not re.match("<[/!?]", m[0]):
+                out, i = out + "<", i + 1
+                continue
+            out += "\n" if m[2].lower() in warc.BLOCKS else ""
+            if not m[1] and m[2].lower() in warc.LINKS and (a := re.search(r"""\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", m[0], re.I)):
+                links.append(a[1] or a[2] or a[3] or "")
+        else:
+            out, i = out + page[i], i + 1
+            continue
+        i = m.end()
+    return out, links
+
+
+def test_scanner_against_brute_force():
+    rng = random.Random(31)
+    parts = ["<a href=x>", "<A\nHREF='y z'>", "</a>", "<!--", "-->", "<script>", "</script >", "<svg a>", "</svg>", "</svg x>", "<style", ">", "<", "< b", "<p>", "</P>", "<br/>", "<img src=", '"', "text ", "\n", "<title>", "</title>", "<!DOCTYPE x>", "<?x>", "</>", "é", "<template>", "<scripty>"]
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        text, links = plainly_scanned(page)
+        got = warc.scanned(page)
+        assert got[0] == re.sub(r"\s*\n\s*", "\n", re.sub(r"[^\S\n]+", " ", text)).strip() and [x["url"] for x in got[2]] == links, page
+
+
+def test_scanner_is_linear():
+    began = time.time()
+    for part in ("<!--", "<svg>", "<a", "<title>", "<a href='", "<script></script x>", "<", "<p ", "</svg x><svg>", "&", " \n", "\n\n "):
+        warc.scanned(part * (1_000_000 // len(part)))
+    assert time.time() - began < 90
+
+
+def test_line_breaks_stay_out_of_headers():
+    record = warc.response("http://a/\r\nX: y", b"p")
+    again = next(warc.parsed(warc.serialised(record)))
+    assert dict(again["headers"])["WARC-Target-URI"] == "http://a/%0D%0AX: y" and again["block"] == record["block"]
+
+
 def test_warc_of_odd_pages(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (2, "http://a/", "", "x"), (2, "http://a/", "", "x"), (3, "u", "<script>never ends", "x"), (4, "u", "<" * 5000, "x")], "page_id int, url string, html string, headers string")
     got = warc.derive_pages(df).collect()
@@ -376,11 +498,11 @@ def test_phrases_against_brute_force():
     samples = {k: ["".join(rng.choice(a) for _ in range(300))] for k, a in (("x", "aab c"), ("y", "bcd  d"))}
     model = langid.Model(samples)
     lower, code = langid.letters(), model.codes()
-    for _ in range(50):
-        text = "".join(rng.choice("abcd e") for _ in range(rng.randint(1, 250)))
+    for _ in range(30):
+        text = "".join(rng.choice("abcd e") for _ in range(rng.choice([rng.randint(1, 250), 4000])))
         norm = langid.normalised(langid.code_points(text), lower)
-        runs = np.zeros((langid.RUN, 1), np.int64)
-        runs[: len(norm), 0] = code[norm]
+        counts = model.phrases([code[norm], code[norm][:0], code[norm][:7]])
+        assert not counts[:, 1].any()
         for k, name in enumerate(model.languages):
             learned = code[langid.normalised(langid.code_points(samples[name][0]), lower)].tolist()
             joined, now, count = "".join(map(chr, learned)), "", 0
@@ -389,7 +511,7 @@ def test_phrases_against_brute_force():
                     now += c
                 else:
                     count, now = count + 1, c if c in joined else ""
-            assert model.phrases(runs)[k, 0] == count + 1
+            assert counts[k, 0] == count + 1
 
 
 def test_languages_of_many_symbols_are_told_apart():
@@ -402,11 +524,11 @@ def test_languages_of_many_symbols_are_told_apart():
     code, told = model.codes(), [k for k in words for _ in range(20)]
     assert [f[0] for f in model.judge([written(k, 15) for k in told], lower, code)] == told
     assert {type(t) for t in model.tables} == {langid.Dense, langid.Sparse}
-    for _ in range(20):
-        text = "".join(written(k, 6) for k in rng.sample(sorted(words), 3))
+    for _ in range(8):
+        text = "".join(written(k, rng.choice([6, 500])) for k in rng.sample(sorted(words), 3))
         norm = langid.normalised(langid.code_points(text), lower)
-        runs = np.zeros((langid.RUN, 1), np.int64)
-        runs[: len(norm), 0] = code[norm]
+        counts = model.phrases([code[norm], code[norm][:0], code[norm][:7]])
+        assert not counts[:, 1].any()
         for k, name in enumerate(model.languages):
             learned, now, count = "".join(map(chr, langid.normalised(langid.code_points(samples[name][0]), lower))), "", 0
             for c in map(chr, norm):
@@ -414,7 +536,7 @@ def test_languages_of_many_symbols_are_told_apart():
                     now += c
                 else:
                     count, now = count + 1, c if c in learned else ""
-            assert model.phrases(runs)[k, 0] == count + 1
+            assert counts[k, 0] == count + 1
 
 
 def test_languages_are_told_apart(spark, odd, none):
@@ -541,7 +663,7 @@ def test_pseudonyms_keep_formats_and_links(spark):
     }
     kept = ["4111 1111 1111 1112", "999.1.1.1", "1999-02-30", "000-12-3456", "1.2.3", "a@b"]
     df = spark.createDataFrame([(1, "; ".join(values.values())), (2, "x " + " y ".join(values.values())), (3, "; ".join(kept)), (4, None), (5, "")], "doc_id int, text string")
-    got = {r["doc_id"]: r for r in pii.pseudonymize(df).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymize(df, KEY).collect()}
     new = got[1]["text"].split("; ")
     assert got[2]["text"] == "x " + " y ".join(new) and got[3]["text"] == "; ".join(kept) and got[4]["text"] is None and got[4]["n_pii"] == 0 and got[5]["text"] == ""
     assert all(got[1][f"n_{k}"] == 1 for k in values) and got[1]["n_pii"] == 7
@@ -551,7 +673,7 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert luhn(new[0]) and all(0 <= int(x) <= 255 for x in new[1].split(".")) and new[4].startswith("+1 (") and new[5].endswith("@mail7.example.com")
     number = new[6][4:] + new[6][:4]
     assert int("".join(str(int(c, 36)) for c in number)) % 97 == 1
-    other = pii.pseudonymize(df, key="another").where("doc_id = 1").first()["text"]
+    other = pii.pseudonymize(df, "another").where("doc_id = 1").first()["text"]
     assert other != got[1]["text"]
 
 
@@ -562,7 +684,7 @@ def test_pseudonyms_of_numbers_beside_others(spark):
         card, grouped, grouped.replace(" ", "-"), f"{grouped} 123", f"{grouped} 12/27", f"order 7 {grouped}", f"+1 555 123 4567 {grouped}", f"+1 {grouped}", f"ID{card}", f"12 34 {grouped} {grouped} 1",
         f"{grouped} 05/03/2024", iban, "DE89 3704 0044 0532 0130 00", "AB12 DE89 3704 0044 0532 0130 00 EUR 5", "+1 (555) 123-4567", "+15551234567",
     ]
-    rows = pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    rows = pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), KEY).orderBy("doc_id").collect()
     digits = [re.sub("[ ()-]", "", r["text"]) for r in rows]
     new = digits[0]
     assert new != card and luhn(new) and all(new in d for d in digits[:11]) and not any("1111" in d.replace(new, "") for d in digits)
@@ -572,16 +694,46 @@ def test_pseudonyms_of_numbers_beside_others(spark):
     assert digits[14] == digits[15] != "+15551234567"
 
 
+def test_pseudonyms_of_long_texts(spark):
+    texts = ["x@" + "ab." * 300_000 + "com", "a" * 500_000 + "@b.com", "1 " * 30_000, "AB12 " * 10_000, "a@b.co " * 2_000, "4111 1111 1111 1111 " * 1_000]
+    began = time.time()
+    got = pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), KEY).orderBy("doc_id").collect()
+    assert [len(r["text"]) for r in got] == list(map(len, texts)) and got[4]["n_email"] == 2_000 and got[5]["n_card"] == 1_000 and time.time() - began < 240
+    with pytest.raises(ValueError):
+        pii.pseudonymize(spark.createDataFrame([("a",)], "text string"), "")
+
+
+def network(digits, radices, key, kind):
+    """The Feistel network in plain Python."""
+    half = len(digits) // 2
+    for r in range(8):
+        mine = lambda i: (i < half) == (r % 2 == 0)  # noqa: B023, E731
+        other = ",".join("" if mine(i) else str(x) for i, x in enumerate(digits))
+        hashes = [hashlib.sha256(f"{key}|{kind}|{r}|{b}|{other}".encode()).hexdigest() for b in range(len(digits) // 9 + 1)]
+        digits = [(x + int(hashes[i // 9][i % 9 * 7 :][:7], 16)) % radices[i] if mine(i) else x for i, x in enumerate(digits)]
+    return digits
+
+
+def test_network_against_brute_force(spark):
+    rng = random.Random(23)
+    numbers = ["".join(rng.choice("0123456789") for _ in range(15)) for _ in range(40)]
+    cards = [n + next(c for c in "0123456789" if luhn(n + c)) for n in numbers]
+    got = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(cards)), "doc_id int, text string"), KEY).orderBy("doc_id").collect()]
+    for old, new in zip(cards, got, strict=True):
+        body = "".join(map(str, network([int(c) for c in old[:15]] + [0], [10] * 15 + [1], KEY, "card")[:15]))
+        assert new == body + next(c for c in "0123456789" if luhn(body + c))
+
+
 def test_pseudonyms_are_a_permutation(spark):
     days = [f"{y}-{m:02d}-{d:02d}" for y in (1900, 1987, 2024, 2099) for m in range(1, 13) for d in range(1, 29)]
     numbers = [f"{a:03d}-{b:02d}-0001" for a in range(1, 60) for b in range(1, 20)]
     df = spark.createDataFrame([(x,) for x in days + numbers], "text string")
-    out = [r["text"] for r in pii.pseudonymize(df, counts=False).collect()]
+    out = [r["text"] for r in pii.pseudonymize(df, KEY, counts=False).collect()]
     assert len(set(out)) == len(out) and all(re.fullmatch(r"(19|20)\d\d-\d\d-\d\d|\d{3}-\d{2}-\d{4}", x) for x in out)
 
 
 def test_native_operators_run_no_python(spark, odd):
-    for df in (secrets.find_secrets(odd, limits=[601] * 6), pii.pseudonymize(odd)):
+    for df in (secrets.find_secrets(odd, limits=[601] * 6), pii.pseudonymize(odd, KEY)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan) and df.count() == len(ODD_ROWS)
 

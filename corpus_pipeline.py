@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorlab.llm import decontaminate, langid, neardup, packing, secrets
-from factorlab.llm.common import stored
+from factorlab.llm.common import freed, stored, unused
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter, in whatever language and also where none can be learned; null texts and others go."""
     columns = docs.columns
-    found = langid.identify(docs, langid.learn_languages(docs), letter="_letter")
-    return found.where("_letter").select(columns)
+    letter, *names = unused(docs, "letter", "lang_pred", "score")
+    found = langid.identify(docs, langid.learn_languages(docs), letter=letter, names=tuple(names))
+    return found.where(letter).select(columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        freed(before)
     return STAGES[-1][1](spark, docs, sf_dir)

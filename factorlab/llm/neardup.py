@@ -119,15 +119,17 @@ def id_bitmap(ids: DataFrame, id_col: str) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int, fine: bool = False) -> DataFrame:
-    """(node, items, sketch): the shingle set of each wanted id (column node); fine: with its finer sketch, else null."""
+    """(node, items, sketch, bands): the shingle set of each wanted id (column node); fine: with its finer sketch and its
+    band keys, else null."""
     wanted = wanted.select("node").distinct()
     shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted, "node"))  # FILTER_BITS bits
-    schema = f"node {docs.schema[id_col].dataType.simpleString()}, items array<bigint>, sketch array<bigint>"
+    schema = f"node {docs.schema[id_col].dataType.simpleString()}, items array<bigint>, sketch array<bigint>, bands array<bigint>"
 
     def block(ids, sets):
-        sketches = [odd_sketch(minhash(x, FINE_SAMPLES), FINE_BITS) if len(x) else [] for x in sets] if fine else [None] * len(sets)
+        samples = [minhash(x, FINE_SAMPLES) if fine and len(x) else None for x in sets]
         longs = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([ids, pa.array([x.view(np.int64) for x in sets], longs), pa.array(sketches, longs)], ["node", "items", "sketch"])
+        columns = [x.view(np.int64) for x in sets], [s if s is None else odd_sketch(s, FINE_BITS) for s in samples], [s if s is None else band_keys(s[:SAMPLES]) for s in samples]
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, longs) for c in columns)], ["node", "items", "sketch", "bands"])
 
     def run(batches):
         hashes, bitmap = WordHash(), shared.value.view(np.uint64)
@@ -169,23 +171,26 @@ def _split(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(several.select(key, "size", F.col("x.root").alias("major"), (F.col("size") - F.col("x.n_of")).alias("minor")), key)
 
 
-def _across(rows: DataFrame, key: str, percent: int) -> DataFrame:
+def _across(rows: DataFrame, key: str, percent: int, keys: str | None = None) -> DataFrame:
     """Pairs (a, b) of split rows (key, node, root, n, sketch, size, major, minor) with one key, in different components,
-    that may link. Side a lies outside the key's most common component; each key's comparisons are dealt out in cells."""
+    that may link. Side a lies outside the key's most common component; each key's comparisons are dealt out in cells.
+    keys: column of all keys of a node; of those that a pair shares it then comes out under the first alone."""
     tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int")
     own = lambda n: F.pmod(F.xxhash64("node", key), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    kept = [key, "node", "root", "n", "sketch"]
+    kept = [key, "node", "root", "n", "sketch", *([keys] if keys else [])]
     a = _side(rows.where("root <> major").select(*kept, own(tiles("minor")).alias("i"), every(tiles("size")).alias("j")), "a", key, "i", "j")
     b = _side(rows.select(*kept, "major", own(tiles("size")).alias("j"), every(tiles("minor")).alias("i")), "b", key, "i", "j")
     once = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("major_b")) | (F.col("a") < F.col("b")))
-    return a.join(b, [key, "i", "j"]).where(once & _may_link(percent, fine=True)).select("a", "b").distinct()
+    first = F.element_at(F.array_intersect(f"{keys}_a", f"{keys}_b"), 1) == F.col(key) if keys else F.lit(True)
+    return a.join(b, [key, "i", "j"]).where(once & _may_link(percent, fine=True) & first).select("a", "b").distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and sketches don't rule out."""
     known = classes.select("node", "n", "sketch")
-    return pairs.join(_side(known, "a"), "a").join(_side(known, "b"), "b").where(_may_link(percent)).select("a", "b").distinct()
+    # leaders (b) come first: the exchange to a lets a hub's pairs be split
+    return pairs.join(_side(known, "b"), "b").join(_side(known, "a"), "a").where(_may_link(percent)).select("a", "b").distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -291,12 +296,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rest = _rooted(members, roots)
     freed(members)
     sets = stored(sets_of(docs, rest, id_col, text, width, fine=True))
-    known = classes.select("node", "n").join(sets.select("node", "sketch"), "node")
+    known = classes.select("node", "n").join(sets.select("node", "sketch", "bands"), "node")
     compared = F.col("minor") * F.col("size") <= SMALL_BUCKET**2
-    pairs = _across(rest.where(compared).join(known, "node"), "bucket", percent)
+    pairs = _across(rest.where(compared).join(known, "node"), "bucket", percent, "bands")
     large = rest.where(~compared).select("node", "root").distinct()
     if large.limit(1).count():
-        pairs = pairs.union(_prefix_pairs(large.join(known, "node"), sets, percent))
+        pairs = pairs.union(_prefix_pairs(large.join(known.drop("bands"), "node"), sets, percent))
     pairs = stored(pairs.distinct())
     roots = _joined(roots, pairs, sets, percent)
     freed(rest, pairs, sets)

@@ -82,14 +82,88 @@ def gram_cells(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(b, "col").groupBy("row", "row2").agg(F.sum(F.col("value") * F.col("y")).alias("value"))
 
 
-def squared_distance(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+#: Rows on each side of the blocks in which pairs are computed.
+BLOCK_ROWS = 256
 
 
-def pairwise(u: DataFrame, v: DataFrame, value: Column | None = None) -> DataFrame:
-    """(u, v, value) for every row of u (id, x) and of v (id, x): squared distances, or value of columns ux and vx.
+def _blocks(rows: DataFrame, number: str, side: str) -> tuple[DataFrame, int]:
+    """Rows (id, x, ..) in blocks of about BLOCK_ROWS: ids, x one after another, and the other columns, as arrays."""
+    n = max(1, -(-rows.count() // BLOCK_ROWS))
+    held = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(number)).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    column = lambda c: F.transform("rows", lambda r: r[c])
+    return held.select(number, *[(F.flatten(column(c)) if c in ("x", "q") else column(c)).alias(f"{c}_{side}") for c in rows.columns]), n
+
+
+def in_blocks(u: DataFrame, v: DataFrame, fold, schema: str) -> DataFrame:
+    """fold(left, right) over all pairs of a block of u and one of v; gives a list of arrays, the columns of schema.
+
+    u and v are rows (id, x ARRAY<DOUBLE>, ..); left and right are dicts of arrays, x (and q) as matrices of a row each. A task
+    holds a pair of blocks at a time; blocks meet in an equi-join on their numbers.
+    """
+    (a, n_a), (b, n_b) = _blocks(u, "block_a", "a"), _blocks(v, "block_b", "b")
+    tasks = min(n_a * n_b, max(200, 4 * u.sparkSession.sparkContext.defaultParallelism))
+    a = a.withColumn("block_b", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1)))).repartition(tasks, "block_a", "block_b")
+    b = b.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.lit(n_a - 1)))).repartition(tasks, "block_a", "block_b")
+    both = a.join(b, ["block_a", "block_b"]).drop("block_a", "block_b")
+    u.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
+    sides = [(c, *c.rsplit("_", 1)) for c in both.columns]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                got: dict[str, dict] = {"a": {}, "b": {}}
+                for position, (_, c, side) in enumerate(sides):
+                    got[side][c] = batch.column(position).slice(k, 1).flatten()
+                for part in got.values():
+                    n = len(part["id"])
+                    for c in ("x", "q"):
+                        if c in part:
+                            part[c] = part[c].to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+                made = fold(got["a"], got["b"])
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made], names)
+
+    return both.mapInArrow(run, schema)
+
+
+def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Between all rows of x and of y, by one matrix product; where that cancels, from the differences."""
+    norms = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)
+    out = norms - 2 * (x @ y.T)
+    i, j = np.nonzero(out <= 1e-6 * norms)
+    for k in range(0, len(i), 65_536):
+        some = slice(k, k + 65_536)
+        out[i[some], j[some]] = ((x[i[some]] - y[j[some]]) ** 2).sum(axis=1)
+    return out
+
+
+def id_type(rows: DataFrame) -> str:
+    return rows.schema["id"].dataType.simpleString()
+
+
+def pairwise(u: DataFrame, v: DataFrame, value=squared_distances) -> DataFrame:
+    """(u, v, value) for every row of u (id, x) and of v (id, x): squared distances, or value of the two matrices.
 
     The product of the two is the result asked for; v is the side to keep small (landmarks).
     """
-    a, b = u.select(F.col("id").alias("u"), F.col("x").alias("ux")), v.select(F.col("id").alias("v"), F.col("x").alias("vx"))
-    return a.crossJoin(b).select("u", "v", (squared_distance(F.col("ux"), F.col("vx")) if value is None else value).alias("value"))
+
+    def fold(left, right):
+        n, m = len(left["id"]), len(right["id"])
+        first, second = pa.array(np.repeat(np.arange(n), m)), pa.array(np.tile(np.arange(m), n))
+        return [left["id"].take(first), right["id"].take(second), value(left["x"], right["x"]).ravel()]
+
+    return in_blocks(u.select("id", "x"), v.select("id", "x"), fold, f"u {id_type(u)}, v {id_type(v)}, value double")
+
+
+def nearest_squared(u: DataFrame, v: DataFrame) -> DataFrame:
+    """(u, value): the least squared distance of each row of u to a row of v of another id; no pair leaves a task."""
+
+    def fold(left, right):
+        d = squared_distances(left["x"], right["x"])
+        a, b = (np.array(s["id"].to_pylist(), object) for s in (left, right))
+        d[a[:, None] == b] = np.inf
+        least = d.min(axis=1)
+        here = np.flatnonzero(least < np.inf)
+        return [left["id"].take(pa.array(here)), least[here]]
+
+    return in_blocks(u.select("id", "x"), v.select("id", "x"), fold, f"u {id_type(u)}, value double").groupBy("u").agg(F.min("value").alias("value"))

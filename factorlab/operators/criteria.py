@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dense import cophenetic, correlation, distances
-from .algebra import squared_distance
+from .algebra import id_type, in_blocks, squared_distances
 
 
 def _corr(n, sx, sy, sxx, syy, sxy) -> Column:
@@ -86,12 +88,24 @@ def sparsity(cells: DataFrame, below: float = 1e-4) -> DataFrame:
 def silhouette(points: DataFrame, labels: DataFrame) -> DataFrame:
     """silhouette: mean over (id, x) points of (b - a) / max(a, b) in data space; singletons 0, null below two clusters.
 
-    Points are compared with all points, as the criterion asks: use it on samples of moderate number.
+    Points are compared with all points, as the criterion asks, in blocks; what leaves a task is a sum a point and cluster.
     """
-    p = points.join(labels.where("label IS NOT NULL"), "id")
-    a, b = p.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("label").alias("li")), p.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("label").alias("lj"))
-    d = a.crossJoin(b).where("i <> j").select("i", "li", "lj", F.sqrt(squared_distance(F.col("xi"), F.col("xj"))).alias("d"))
-    means = d.groupBy("i", "li", "lj").agg(F.avg("d").alias("m"))
+    p = points.select("id", "x").join(labels.where("label IS NOT NULL").select("id", "label"), "id")
+
+    def fold(left, right):
+        d = np.sqrt(np.maximum(squared_distances(left["x"], right["x"]), 0.0))
+        i, j = (np.array(s["id"].to_pylist(), object) for s in (left, right))
+        other = i[:, None] != j
+        kinds = pc.unique(right["label"])
+        of = pc.index_in(right["label"], kinds).to_numpy(zero_copy_only=False)
+        one = np.eye(len(kinds))[of]
+        sums, counts = (d * other) @ one, other @ one
+        at, k = np.nonzero(counts)
+        return [left["id"].take(pa.array(at)), left["label"].take(pa.array(at)), kinds.take(pa.array(k)), sums[at, k], counts[at, k]]
+
+    kind = labels.schema["label"].dataType.simpleString()
+    sums = in_blocks(p, p, fold, f"i {id_type(p)}, li {kind}, lj {kind}, s double, n double")
+    means = sums.groupBy("i", "li", "lj").agg((F.sum("s") / F.sum("n")).alias("m"))
     per = means.groupBy("i", "li").agg(F.min(F.when(F.col("lj") == F.col("li"), F.col("m"))).alias("a"), F.min(F.when(F.col("lj") != F.col("li"), F.col("m"))).alias("b"))
     top = F.greatest("a", "b")
     s = F.when(F.col("a").isNull(), 0.0).when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0)
@@ -99,12 +113,18 @@ def silhouette(points: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def distance_correlation(left: DataFrame, right: DataFrame) -> DataFrame:
-    """dist_cor: correlation of the pairwise distances of (id, x) in two spaces."""
-    both = left.select("id", F.col("x").alias("p")).join(right.select("id", F.col("x").alias("q")), "id")
-    a, b = both.select(F.col("id").alias("i"), F.col("p").alias("pi"), F.col("q").alias("qi")), both.select(F.col("id").alias("j"), F.col("p").alias("pj"), F.col("q").alias("qj"))
-    d = a.join(b, F.col("i") < F.col("j")).select(F.sqrt(squared_distance(F.col("pi"), F.col("pj"))).alias("x"), F.sqrt(squared_distance(F.col("qi"), F.col("qj"))).alias("y"))
-    s = d.agg(F.count("*").cast("double").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
-    return s.select(_corr(*(F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))).alias("dist_cor"))
+    """dist_cor: correlation of the pairwise distances of (id, x) in two spaces; a block pair gives six sums."""
+    both = left.select("id", "x").join(right.select("id", F.col("x").alias("q")), "id")
+
+    def fold(a, b):
+        i, j = (np.array(s["id"].to_pylist(), object) for s in (a, b))
+        once = i[:, None] < j
+        x, y = (np.sqrt(np.maximum(squared_distances(a[c], b[c]), 0.0))[once] for c in ("x", "q"))
+        return [[float(z)] for z in (len(x), x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum())]
+
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    s = in_blocks(both, both, fold, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c).alias(c) for c in names])
+    return s.select(_corr(*map(F.col, names)).alias("dist_cor"))
 
 
 def cpcc(b: np.ndarray) -> float | None:

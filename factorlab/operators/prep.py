@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .algebra import dot, pairwise, squared_distance
+from .algebra import dot, nearest_squared, pairwise, squared_distances
 
 
 def _ranges(ref: DataFrame, by: str) -> DataFrame:
@@ -51,24 +51,25 @@ KERNELS = ("gaussian", "exponential", "periodic", "linear", "normalized_linear",
 
 def kernel(u: DataFrame, v: DataFrame, kind: str = "gaussian", beta: float | tuple = 0.5, degree: int = 2) -> DataFrame:
     """(u, v, value) of a kernel between the rows (id, x ARRAY<DOUBLE>) of u and v; negative values become 0."""
-    d2, product = squared_distance(F.col("ux"), F.col("vx")), dot(F.col("ux"), F.col("vx"))
-    if kind == "gaussian":
-        value = F.exp(-float(beta) * d2)
-    elif kind == "exponential":
-        value = F.exp(-float(beta) * F.sqrt(d2))
-    elif kind == "periodic":
-        b1, b2 = beta if isinstance(beta, tuple) else (1.0, 1.0)
-        value = F.exp(-b1 * F.pow(F.sin(b2 * F.sqrt(d2)), F.lit(2.0)))
-    elif kind == "linear":
-        value = product
-    elif kind == "normalized_linear":
-        norm = lambda c: F.greatest(F.sqrt(dot(F.col(c), F.col(c))), F.lit(2.220446049250313e-16))
-        value = product / (norm("ux") * norm("vx"))
-    elif kind == "polynomial":
-        value = F.pow(product + (0.0 if beta is None else float(beta)), F.lit(float(degree)))
-    else:
+    if kind not in KERNELS:
         raise ValueError(f"kernel is one of {', '.join(KERNELS)}")
-    return pairwise(u, v, F.greatest(value, F.lit(0.0)))
+    b1, b2 = beta if isinstance(beta, tuple) else (1.0, 1.0)
+
+    def value(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if kind in ("linear", "normalized_linear", "polynomial"):
+            product = x @ y.T
+            if kind == "normalized_linear":
+                norm = lambda m: np.maximum(np.sqrt((m**2).sum(axis=1)), 2.220446049250313e-16)
+                product = product / (norm(x)[:, None] * norm(y))
+            elif kind == "polynomial":
+                product = (product + (0.0 if beta is None else float(beta))) ** float(degree)
+            return np.maximum(product, 0.0)
+        d2 = np.maximum(squared_distances(x, y), 0.0)
+        if kind == "gaussian":
+            return np.exp(-float(beta) * d2)
+        return np.exp(-float(beta) * np.sqrt(d2)) if kind == "exponential" else np.exp(-b1 * np.sin(b2 * np.sqrt(d2)) ** 2)
+
+    return pairwise(u, v, value)
 
 
 def kernel_partial(u: DataFrame, v: DataFrame, beta: float = 0.5) -> DataFrame:
@@ -76,9 +77,15 @@ def kernel_partial(u: DataFrame, v: DataFrame, beta: float = 0.5) -> DataFrame:
 
     A v without any observed feature has kernel 0 with all.
     """
-    part = F.aggregate(F.zip_with("ux", "vx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-    seen = F.size(F.filter("vx", lambda x: x.isNotNull()))
-    return pairwise(u, v, F.when(seen == 0, 0.0).otherwise(F.exp(-beta * F.size("vx") / F.greatest(seen, F.lit(1)) * part)))
+
+    def value(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        seen = ~np.isnan(y)
+        held = np.where(seen, y, 0.0)
+        part = np.maximum((x**2) @ seen.T - 2 * (x @ held.T) + (held**2).sum(axis=1), 0.0)
+        n = seen.sum(axis=1)
+        return np.where(n == 0, 0.0, np.exp(-beta * x.shape[1] / np.maximum(n, 1) * part))
+
+    return pairwise(u, v, value)
 
 
 def kernel_expected(u: np.ndarray, v: np.ndarray, weights: np.ndarray, means: np.ndarray, variances: np.ndarray, beta: float = 0.5) -> np.ndarray:
@@ -110,7 +117,7 @@ def kernel_expected(u: np.ndarray, v: np.ndarray, weights: np.ndarray, means: np
 def nearest(u: DataFrame, landmarks: DataFrame | None = None) -> DataFrame:
     """(u, value): the least distance of each row of u to another row, or to a landmark of another id."""
     other = u if landmarks is None else landmarks
-    return pairwise(u, other).where("u <> v").groupBy("u").agg(F.sqrt(F.greatest(F.min("value"), F.lit(0.0))).alias("value"))
+    return nearest_squared(u, other).select("u", F.sqrt(F.greatest("value", F.lit(0.0))).alias("value"))
 
 
 def bandwidth(u: DataFrame, landmarks: DataFrame | None = None, grid: str | list[float] = "wide") -> DataFrame:

@@ -28,11 +28,9 @@ def valid_pairs(y: DataFrame, fitted: DataFrame) -> DataFrame:
 def r_squared(y: DataFrame, fitted: DataFrame) -> DataFrame:
     """r2_cor (squared correlation), r2_zero (against 0), r2_mean (against row means); null below 2 cells or at zero."""
     pairs = valid_pairs(y, fitted)
-    mean = F.avg("y").over(Window.partitionBy("row"))
-    s = pairs.withColumn("m", mean).agg(
-        F.count("*").cast("double").alias("n"), F.sum("y").alias("sx"), F.sum("fit").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("sxx"), F.sum(F.col("fit") * F.col("fit")).alias("syy"),
-        F.sum(F.col("y") * F.col("fit")).alias("sxy"), F.sum(F.pow(F.col("y") - F.col("fit"), 2)).alias("sse"), F.sum(F.pow(F.col("y") - F.col("m"), 2)).alias("ssm"),
-    )
+    sums = {"n": F.count("*").cast("double"), "sx": F.sum("y"), "sy": F.sum("fit"), "sxx": F.sum(F.col("y") * F.col("y")), "syy": F.sum(F.col("fit") * F.col("fit")), "sxy": F.sum(F.col("y") * F.col("fit")), "sse": F.sum(F.pow(F.col("y") - F.col("fit"), 2)), "ssm": F.var_pop("y") * F.count("*")}
+    rows = pairs.groupBy("row").agg(*[v.alias(k) for k, v in sums.items()])  # partial sums: no row's cells meet in one task
+    s = rows.agg(*[F.sum(c).alias(c) for c in sums])
     enough = F.col("n") >= 2
     share = lambda c: F.when(enough & (F.col(c) > 0), 1 - F.col("sse") / F.col(c))
     r = _corr(*(F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
@@ -45,6 +43,27 @@ def sigma_mae(y: DataFrame, fitted: DataFrame) -> DataFrame:
     return valid_pairs(y, fitted).agg(F.stddev_samp(r).alias("sigma"), F.avg(F.abs(r)).alias("mae"))
 
 
+def criterion(y: DataFrame, fitted: DataFrame, b: DataFrame | None = None, points: DataFrame | None = None, detail: str = "full") -> DataFrame:
+    """One row of a fit's criteria. minimal: r2_cor, r2_zero, r2_mean, sigma and mae; fast: also the effective rank of b and
+    its index; full: also the silhouette and the distance correlation of b's hard labels over points (id, x), the samples'
+    data. Full asks for data without zero weights; with some it gives null for both."""
+    if detail not in ("minimal", "fast", "full"):
+        raise ValueError("detail is minimal, fast or full")
+    parts = [r_squared(y, fitted), sigma_mae(y, fitted)]
+    if detail != "minimal":
+        parts.append(effective_rank(b))
+    if detail == "full":
+        weighted = "weight" in y.columns and bool(y.where("weight <= 0").limit(1).count())
+        latent = b.groupBy(F.col("col").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "value"))), lambda s: s["value"]).alias("x"))  # one sample's bases
+        none = y.sparkSession.range(1)
+        parts.append(none.select(F.lit(None).cast("double").alias("silhouette")) if weighted else silhouette(points, hard_labels(b).select(F.col("col").alias("id"), "label")))
+        parts.append(none.select(F.lit(None).cast("double").alias("dist_cor")) if weighted else distance_correlation(points, latent))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.crossJoin(part)  # one row each
+    return out
+
+
 def residuals(y: DataFrame, fitted: DataFrame) -> DataFrame:
     return valid_pairs(y, fitted).select("row", "col", (F.col("y") - F.col("fit")).alias("value"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .fit import Fit
@@ -109,3 +109,21 @@ def relabel(fit: Fit, rows: dict | None = None, covariates: dict | None = None)
     from dataclasses import replace
 
     return replace(fit, rows=[(rows or {}).get(r, r) for r in fit.rows], covariates=[(covariates or {}).get(r, r) for r in fit.covariates])
+
+
+def ordered_coefficients(table: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """A coefficient table (basis, covariate, ..) with position (from 1): by "basis" or "covariate" in the given order, then
+    by the other's name; names that aren't in order come last, by name."""
+    if by not in ("basis", "covariate"):
+        raise ValueError("by is basis or covariate")
+    other = "covariate" if by == "basis" else "basis"
+    known = F.array_position(F.array(*map(F.lit, order)), F.col(by).cast("string")) if order else F.lit(0)
+    place = F.row_number().over(Window.orderBy(F.when(known > 0, known).otherwise(len(order) + 1), by, other))  # a model's coefficients: one task
+    return table.withColumn("position", place.cast("bigint"))
+
+
+def shown_coefficients(table: DataFrame, most: int = 20, level: float = 0.05) -> DataFrame:
+    """Of an ordered table of up to `most` rows all, else the rows with p_value below level, at most the first `most`."""
+    if table.limit(most + 1).count() <= most:
+        return table
+    return table.where(F.col("p_value") < level).orderBy("position").limit(most)

@@ -12,7 +12,14 @@ from .fit import Fit
 
 
 def coefficients(fit: Fit, a: DataFrame) -> DataFrame:
-    """B = C A: cells (basis, sample). The Q x R coefficients are a small table; A stays where it is."""
+    """B = C A: cells (basis, sample). The Q x R coefficients are a small table; A stays where it is.
+
+    Of a reduced-rank fit: B1 = C X2 Y2, for old or new Y2 (a).
+    """
+    if fit.family in ("rrr", "rrr_signed"):
+        inner = list(range(1, fit.c.shape[1] + 1))
+        a = matmul(to_cells(a.sparkSession, fit.extra["x2"], inner, fit.covariates), a)
+        return matmul(to_cells(a.sparkSession, fit.c, list(range(1, fit.rank + 1)), inner), a)
     return matmul(to_cells(a.sparkSession, fit.c, list(range(1, fit.rank + 1)), fit.covariates), a)
 
 
@@ -38,3 +45,8 @@ def confusion(predicted: DataFrame, actual: DataFrame) -> DataFrame:
 
 def accuracy(table: DataFrame) -> DataFrame:
     return table.agg((F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+
+
+def response(fit: Fit, a):
+    """X B of a dense fit for new covariates a (arrays); of a reduced-rank fit for new Y2."""
+    return fit.x @ fit.c @ fit.extra["x2"] @ a if fit.family in ("rrr", "rrr_signed") else fit.fitted(a)

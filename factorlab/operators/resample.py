@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import criteria
-from .fit import Fit, initial_basis, nmf, nmf_ard, nmf_net, nmf_rrr, nmf_signed, nnls
+from .fit import Fit, initial_basis, nmf, nmf_ard, nmf_ffb, nmf_net, nmf_rrr, nmf_signed, nnls
+from .predict import response
 
 
 def run_grid(spark: SparkSession, tasks: list[dict], work: Callable, schema: str, shared=None) -> DataFrame:
@@ -115,9 +116,12 @@ def _imputed(y, a, w, rank, family, seed, options, rounds: int = 4):
     return hat
 
 
-def cv(spark: SparkSession, y: np.ndarray, a: np.ndarray | None = None, ranks=(2,), k: int = 5, seed: int = 123, shuffle: bool = True, kernel: bool = False, refit_steps: int = 200, **options) -> DataFrame:
+def cv(
+    spark: SparkSession, y: np.ndarray, a: np.ndarray | None = None, ranks=(2,), k: int = 5, seed: int = 123, shuffle: bool = True, kernel: bool = False, refit_steps: int = 200, family: str = "nmf", **options
+) -> DataFrame:
     """Column-wise cross-validation: (rank, loss, sigma). Without covariates the test columns' B is fitted with X held;
-    kernel: A is square, train x train in training and train x test in testing."""
+    kernel: A is square, train x train in training and train x test in testing. family: nmf; signed (test columns have weight
+    0, and the folds' means are averaged); rrr (y from a, predicted by X C2 C1 A from the training columns' fit)."""
     y = np.asarray(y, float)
     fold = column_folds(y.shape[1], k, seed, shuffle)
     if a is not None and a.shape[0] == a.shape[1] and np.array_equal(a, np.eye(len(a))):
@@ -126,14 +130,21 @@ def cv(spark: SparkSession, y: np.ndarray, a: np.ndarray | None = None, ranks=(2
     def work(shared, rank, fold):
         y, a, folds = shared
         train, test = folds != fold, folds == fold
-        if a is None:
+        if family == "signed":
+            fit = nmf_signed(y, a, int(rank), weights=np.broadcast_to(train.astype(float), y.shape).copy(), seed=seed, **options)
+            hat = fit.fitted(a)[:, test]
+            return [{"rank": int(rank), "fold": int(fold), "loss": float(((y[:, test] - hat) ** 2).mean()), "n": 1}]
+        if family == "rrr":
+            fit = nmf_rrr(y[:, train], a[:, train], int(rank), seed=seed, **options)
+            hat = response(fit, a[:, test])
+        elif a is None:
             fit = nmf(y[:, train], None, int(rank), seed=seed, **options)
             hat = fit.x @ nnls(fit.x, y[:, test], refit_steps)
         else:
             use = a[np.ix_(train, train)] if kernel else a[:, train]
             fit = nmf(y[:, train], use, int(rank), seed=seed, **options)
             hat = fit.fitted(a[np.ix_(train, test)] if kernel else a[:, test])
-        yield {"rank": int(rank), "fold": int(fold), "loss": float(((y[:, test] - hat) ** 2).sum()), "n": int(hat.size)}
+        return [{"rank": int(rank), "fold": int(fold), "loss": float(((y[:, test] - hat) ** 2).sum()), "n": int(hat.size)}]
 
     tasks = [{"rank": int(q), "fold": f} for q in ranks for f in range(1, k + 1)]
     scores = run_grid(spark, tasks, work, "rank int, fold int, loss double, n bigint", (y, a, fold))
@@ -141,6 +152,26 @@ def cv(spark: SparkSession, y: np.ndarray, a: np.ndarray | None = None, ranks=(2
     return scores.groupBy("rank").agg(loss.alias("loss"), F.sqrt(loss).alias("sigma")).orderBy("rank")
 
 
+def ffb_cv(spark: SparkSession, y1: np.ndarray, y2: np.ndarray, rank: int | None = None, k: int = 5, seed: int = 123, shuffle: bool = True, **options) -> DataFrame:
+    """mae: one row, the mean over folds of columns of the mean absolute error of the equilibrium's prediction M Y2.
+
+    Each fold has its own seed; one whose fit has no equilibrium makes the result infinite.
+    """
+    y1, y2 = np.asarray(y1, float), np.asarray(y2, float)
+    folds = column_folds(y1.shape[1], k, seed, shuffle)
+
+    def work(shared, fold):
+        y1, y2, folds = shared
+        train, test = folds != fold, folds == fold
+        fit = nmf_ffb(y1[:, train], y2[:, train], rank, seed=int(seed + fold), **options)
+        m = fit.extra["m"]
+        usable = m is not None and fit.extra["radius"] < 1
+        yield {"fold": int(fold), "mae": float(np.abs(y1[:, test] - m @ y2[:, test]).mean()) if usable else float("inf")}
+
+    scores = run_grid(spark, [{"fold": f} for f in range(1, k + 1)], work, "fold int, mae double", (y1, y2, folds))
+    return scores.agg(F.avg("mae").alias("mae"))
+
+
 def bicv(spark: SparkSession, y: np.ndarray, ranks=(1, 2, 3), k: int = 2, seed: int = 123, nnls_steps: int = 100, **options) -> DataFrame:
     """Bi-cross-validation: blocks of rows and columns are predicted from the other three; infeasible ranks give null."""
     y = np.asarray(y, float)
@@ -163,13 +194,25 @@ def bicv(spark: SparkSession, y: np.ndarray, ranks=(1, 2, 3), k: int = 2, seed:
     return _averaged(run_grid(spark, tasks, work, "rank int, loss double", (y, rows, cols)))
 
 
-def rank_curve(spark: SparkSession, y: np.ndarray, a: np.ndarray | None = None, ranks=(1, 2, 3), k: int = 5, seed: int = 123, full: bool = True, **options) -> DataFrame:
-    """Per rank: r2, sigma_fit, effective_rank, its index, ecv loss, and the recommended rank (ECV minimum, else elbow)."""
+def _fitted(y, a, rank: int, family: str, seed: int, options: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(fitted values, B) of a family's fit."""
+    if family == "net":
+        fit = nmf_net(y, rank, seed=seed, **options)
+        return fit.x @ fit.c @ fit.x.T, fit.x.T
+    if family in ("rrr", "rrr_signed"):
+        fit = nmf_rrr(y, a if a is not None else y, rank, seed=seed, signed=family == "rrr_signed", **options)
+        return fit.x @ fit.extra["b1"], fit.extra["b1"]
+    fit = (nmf_signed if family == "signed" else nmf)(y, a, rank, seed=seed, **options)
+    return fit.fitted(a), fit.b(a)
+
+
+def rank_curve(spark: SparkSession, y: np.ndarray, a: np.ndarray | None = None, ranks=(1, 2, 3), k: int = 5, seed: int = 123, full: bool = True, family: str = "nmf", **options) -> DataFrame:
+    """Per rank of nmf, signed, rrr, rrr_signed or net fits: r2, sigma_fit, effective_rank, its index, ecv loss, and the
+    recommended rank (ECV minimum, else elbow)."""
 
     def work(shared, rank):
         y, a = shared
-        fit = nmf(y, a, int(rank), seed=seed, **options)
-        hat, b = fit.fitted(a), fit.b(a)
+        hat, b = _fitted(y, a, int(rank), family, seed, options)
         v = b.var(axis=1, ddof=1)
         share = v[v > 0] / v.sum() if v.sum() > 0 else v[:0]
         er = float(np.exp(-(share * np.log(share)).sum())) if len(b) >= 2 and len(share) else None
@@ -180,7 +223,7 @@ def rank_curve(spark: SparkSession, y: np.ndarray, a: np.ndarray | None = None,
 
     curve = run_grid(spark, [{"rank": int(q)} for q in ranks], work, "rank int, r2 double, sigma_fit double, effective_rank double, effective_rank_index double", (np.asarray(y, float), a))
     if full:
-        curve = curve.join(ecv(spark, y, a, ranks, k, seed, **options).select("rank", F.col("loss").alias("ecv")), "rank")
+        curve = curve.join(ecv(spark, y, a, ranks, k, seed, family, **options).select("rank", F.col("loss").alias("ecv")), "rank")
     else:
         curve = curve.withColumn("ecv", F.lit(None).cast("double"))
     curve = spark.createDataFrame(curve.toPandas(), curve.schema)  # one row per rank

@@ -481,6 +481,19 @@ def _(spark, d):
     return rounded(criteria.effective_rank(_factors(spark, d)[1]))
 
 
+@query("fit_criterion", f"SELECT r2_cor, r2_zero, r2_mean, sigma, mae, effective_rank, effective_rank_index FROM ({SQL['fit_r2s']}), ({SQL['fit_sigma_mae']}), ({SQL['effective_rank']})")
+def _(spark, d):
+    y, b, _, hat = _factors(spark, d)
+    return rounded(criteria.criterion(y, hat, b, detail="fast"))
+
+
+@query("coef_shown", _ordered_sql("SELECT * FROM (SELECT seg AS covariate, q::BIGINT AS basis, round(v, 6) AS p_value, row_number() OVER (ORDER BY q DESC, seg) AS position FROM x JOIN s USING (i)) WHERE p_value < 0.2 ORDER BY position LIMIT 5"))
+def _(spark, d):
+    x = _factors(spark, d)[2]
+    table = x.select(F.col("row").alias("covariate"), F.col("col").cast("bigint").alias("basis"), F.round("value", 6).alias("p_value"))
+    return describe.shown_coefficients(describe.ordered_coefficients(table, "basis", ["2", "1"]), 5, 0.2)
+
+
 @query("sparsity", _ordered_sql("SELECT round(avg(CASE WHEN v < 1e-4 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS sparsity FROM x"))
 def _(spark, d):
     return rounded(criteria.sparsity(_factors(spark, d)[2]))
@@ -792,6 +805,30 @@ def _(spark, d):
     return rounded(resample.cv(spark, y, a, (1, 2, 3), maxit=500))
 
 
+@query("cv_signed")
+def _(spark, d):
+    y, a = _dense_revenue(spark, d)
+    return rounded(resample.cv(spark, y - y.mean(), a, (1, 2), family="signed", maxit=100))
+
+
+@query("cv_rrr")
+def _(spark, d):
+    y1, y2, *_ = _halves(spark, d)
+    return rounded(resample.cv(spark, y1, y2, (1, 2), family="rrr", maxit=200))
+
+
+@query("ffb_cv")
+def _(spark, d):
+    y1, y2, *_ = _halves(spark, d)
+    return rounded(resample.ffb_cv(spark, y1 / y1.max(), y2 / y2.max(), 2, 3, maxit=200))
+
+
+@query("rank_net")
+def _(spark, d):
+    y = _network(spark, d)
+    return rounded(resample.rank_curve(spark, y / y.max(), None, (1, 2, 3), 3, family="net", maxit=100))
+
+
 @query("cv_identity")
 def _(spark, d):
     return rounded(resample.cv(spark, _dense_revenue(spark, d)[0], None, (1, 2, 3), maxit=500))

@@ -324,3 +324,60 @@ def test_windowed_cells(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["row"], r["value"]) for r in spark.sql("SELECT row, value FROM cells").collect()) == [("a", 2.0), ("b", 1.0)]
+
+
+def test_cross_validation_against_plain_loops(spark):
+    from factorlab.operators.fit import nmf_ffb, nmf_rrr, nmf_signed
+
+    rng = np.random.default_rng(40)
+    y, a = rng.uniform(0.1, 1, (4, 12)), rng.uniform(0.1, 1, (2, 12))
+    options = {"maxit": 30}
+    folds = resample.element_folds(y.shape, 3)
+    for family, fitter in (("nmf", nmf), ("signed", nmf_signed)):
+        got = {r["rank"]: r["loss"] for r in resample.ecv(spark, y, a, (1, 2), 3, family=family, **options).collect()}
+        for q in (1, 2):
+            losses = []
+            for f in (1, 2, 3):
+                hat = fitter(y, a, q, weights=(folds != f).astype(float), seed=123, **options).fitted(a)
+                losses.append(((y - hat)[folds == f] ** 2).mean())
+            assert abs(got[q] - np.mean(losses)) < 1e-9
+    columns = resample.column_folds(12, 3)
+    assert sorted(np.bincount(columns)[1:]) == [4, 4, 4]
+    plain = {"nmf": [], "signed": [], "rrr": [], "ffb": []}
+    for f in (1, 2, 3):
+        train, test = columns != f, columns == f
+        plain["nmf"].append(((y[:, test] - nmf(y[:, train], a[:, train], 2, seed=123, **options).fitted(a[:, test])) ** 2).mean())
+        plain["signed"].append(((y - nmf_signed(y, a, 2, weights=np.tile(train.astype(float), (4, 1)), seed=123, **options).fitted(a))[:, test] ** 2).mean())
+        fit = nmf_rrr(y[:, train], a[:, train], 2, seed=123, **options)
+        plain["rrr"].append(((y[:, test] - fit.x @ fit.c @ fit.extra["x2"] @ a[:, test]) ** 2).mean())
+        fit = nmf_ffb(y[:, train], a[:, train], 2, seed=123 + f, **options)
+        plain["ffb"].append(np.abs(y[:, test] - fit.extra["m"] @ a[:, test]).mean() if fit.extra["m"] is not None and fit.extra["radius"] < 1 else np.inf)
+    for family in ("nmf", "signed", "rrr"):
+        assert abs(resample.cv(spark, y, a, (2,), 3, family=family, **options).first()["loss"] - np.mean(plain[family])) < 1e-9
+    got = resample.ffb_cv(spark, y, a, 2, 3, **options).first()["mae"]
+    assert got == np.mean(plain["ffb"]) or abs(got - np.mean(plain["ffb"])) < 1e-9
+    for family in ("rrr", "signed"):
+        curve = resample.rank_curve(spark, y, a, (1, 2), 3, family=family, **options).collect()
+        assert [r["rank"] for r in curve] == [1, 2] and sum(r["recommended"] for r in curve) == 1
+
+
+def test_criterion_modes_and_reduced_rank_prediction(spark):
+    from factorlab.operators import criteria, predict
+    from factorlab.operators.fit import nmf_rrr
+    from factorlab.sources.cells import to_cells
+
+    rng = np.random.default_rng(41)
+    y, a, new = rng.uniform(0.1, 1, (4, 12)), rng.uniform(0.1, 1, (3, 12)), rng.uniform(0.1, 1, (3, 5))
+    fit = nmf_rrr(y, a, 2, 2, maxit=30)
+    hat = predict.predict(fit, to_cells(spark, new, fit.covariates, list(range(5)))).toPandas().pivot(index="row", columns="col", values="value").loc[fit.rows].to_numpy()
+    assert np.allclose(hat, predict.response(fit, new)) and np.allclose(predict.response(fit, a), fit.x @ fit.extra["b1"])
+    cells = lambda m: to_cells(spark, m, list(range(len(m))), list(range(m.shape[1])))
+    b = fit.extra["b1"]
+    points = spark.createDataFrame([(j, [float(v) for v in y[:, j]]) for j in range(12)], "id int, x array<double>")
+    table = [criteria.criterion(cells(y), cells(fit.x @ b), cells(b), points, d).first().asDict() for d in ("minimal", "fast", "full")]
+    assert [len(t) for t in table] == [5, 7, 9] and all(abs(t[k] - table[2][k]) < 1e-12 for t in table for k in t)
+    assert abs(table[0]["r2_mean"] - (1 - ((y - fit.x @ b) ** 2).sum() / ((y - y.mean(axis=1, keepdims=True)) ** 2).sum())) < 1e-9
+    gap = lambda m: np.array([np.linalg.norm(m[:, i] - m[:, j]) for i in range(12) for j in range(i)])
+    assert abs(table[2]["dist_cor"] - np.corrcoef(gap(y), gap(b))[0, 1]) < 1e-9
+    with pytest.raises(ValueError):
+        criteria.criterion(cells(y), cells(y), detail="some")

@@ -5,7 +5,7 @@ from oracle import SF, same
 
 from factorlab.plans import queries as Q
 
-SLOW = {"refit_bootstrap", "latent_bootstrap", "ffb_bootstrap", "mixed_ecv", "ecv_signed", "ecv_rrr", "kernel_exponential", "kernel_periodic", "kernel_normalized_linear", "nmf_restriction_totalsum", "nmf_restriction_none"}
+SLOW = {"refit_bootstrap", "latent_bootstrap", "ffb_bootstrap", "mixed_ecv", "ecv_signed", "ecv_rrr"}
 
 
 @pytest.mark.parametrize("name", [n for n in Q.SQL if n not in SLOW])

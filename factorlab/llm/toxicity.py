@@ -97,18 +97,22 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     marked = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic")).where(crc % 3 != 1)
     p = some(marked.where((F.col("toxic") == 1) & ~calibration), POSITIVE, "p")
     c = some(marked.where(calibration), CALIBRATION, "c")
-    u = some(docs.select(id_col).where(F.col(id_col).isNotNull() & (crc % 3 != 1) & ~calibration), UNLABELLED, "u")
+    u = some(docs.select(id_col).where(F.col(id_col).isNotNull() & (crc % 3 != 1) & ~calibration).distinct(), UNLABELLED, "u")
     return p.unionByName(c).unionByName(u)
 
 
 def _rates(raw: bytes, known: _Remembered) -> tuple[np.ndarray, np.ndarray]:
     """(features, their rates per 100 words) of a text; memory follows the number of its distinct features."""
     words = words_of(raw)
-    counts = np.zeros(DIMENSIONS, np.int64)
+    ids, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for k in range(0, len(words), 20_000):
-        counts += np.bincount(np.fromiter((f for w in words[k : k + 20_000] for f in known[w]), np.int64), minlength=DIMENSIONS)
-    ids = np.flatnonzero(counts)
-    return ids.astype(np.int32), (100.0 * counts[ids] / max(1, len(words))).astype(np.float32)
+        some, n = np.unique(np.fromiter((f for w in words[k : k + 20_000] for f in known[w]), np.int32), return_counts=True)
+        if k:  # few texts are this long
+            ids, place = np.unique(np.concatenate([ids, some]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, n]), len(ids)).astype(np.int64)
+        else:
+            ids, counts = some, n
+    return ids.astype(np.int32), (100.0 * counts / max(1, len(words))).astype(np.float32)
 
 
 def _sample_table(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -249,6 +249,22 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
     assert all(0 <= s["score"] <= 1 and s["predicted"] == (s["score"] >= 0.7) for s, _ in held)
 
 
+def test_rates_of_long_texts_are_those_of_all_their_words():
+    words = [f"w{k * k % 701}" for k in range(45_000)]
+    ids, rates = toxicity._rates(" ".join(words).encode(), toxicity._Remembered(toxicity.features))
+    counts = np.bincount([f for w in words for f in toxicity.features(w.encode())], minlength=toxicity.DIMENSIONS)
+    assert np.array_equal(ids, np.flatnonzero(counts)) and np.allclose(rates, 100 * counts[ids] / len(words))
+    assert [len(x) for x in toxicity._rates(b"", {})] == [0, 0]
+
+
+def test_toxicity_of_repeated_ids(spark):
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 3 != 1]
+    rows = [(ids[0], f"vile text {k % 3}") for k in range(300)] + [(k, "plain words of others") for k in ids]
+    df, labels = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(k, k % 2) for k in ids], "doc_id int, toxic int")
+    wanted = toxicity._sampled(df, labels, "doc_id").collect()
+    assert len({(r["doc_id"], r["role"]) for r in wanted}) == len(wanted) == toxicity._sample_table(df, toxicity._sampled(df, labels, "doc_id"), "doc_id", "text").count()
+
+
 def test_toxicity_without_labels_or_text(odd, none):
     weights, offset = toxicity.train_toxicity(odd, none)
     got = toxicity.score_toxicity(odd, weights, offset).collect()

@@ -21,6 +21,7 @@ import uuid
 import zlib
 from io import BufferedReader, BytesIO
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +33,13 @@ DATE = "2024-01-01T00:00:00Z"
 HIDDEN, TO_THE_END = ("script", "style", "noscript", "template", "svg"), ("script", "style")
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split())
 LINKS = {"a": "href", "link": "href", "img": "src"}
-_NAME = re.compile(r"[a-z][^\s/>]*")
+#: A comment's start, an element's tag, or another tag; looked for up to a page's last >, so each tag has its end.
+_TAG = re.compile(r"<(?:(!--)|(/?)([a-z][^\s/>]*)[^>]*>|[/!?][^>]*>)", re.I | re.A)
+_TITLE = re.compile("</title", re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I | re.A) for name in HIDDEN}
 _ATTRIBUTE = re.compile(r"""\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_BLANK, _LINES = re.compile(r"[^\S\n]+"), re.compile(r"\s*\n\s*")
-_LOWER = {k: k + 32 for k in range(65, 91)}
+#: All blanks but single spaces, which stay; then a line break has one space before it at most.
+_BLANK, _LINES = re.compile(r"[^\S\n]{2,}|[^\S\n ]"), re.compile(r" ?\n\s*")
 
 
 def digest(data: bytes) -> str:
@@ -46,72 +50,52 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(chr(0).join(parts).encode('utf-8', 'replace')).digest()[:16], version=5)}>"
 
 
-class _Page:
-    """A page and, for each needle asked for, its next place; places only move forward, so all searches cost one walk each."""
-
-    def __init__(self, page: str):
-        self.page, self.lower, self.at, self.ends = page, page.translate(_LOWER), {}, {}
-
-    def find(self, needle: str, start: int) -> int:
-        """The needle's first place from start on, -1 if there is none; starts must not fall."""
-        known = self.at.get(needle, 0)
-        if known >= 0 and known <= start:
-            known = self.at[needle] = self.lower.find(needle, start)
-        return known
-
-    def closed(self, name: str, start: int) -> tuple[int, int] | None:
-        """(first place, end) of the element's first closing tag from start on."""
-        found = self.ends.setdefault(name, [re.compile(rf"</{name}\s*>").finditer(self.lower), (0, 0)])
-        while found[1] and found[1][0] < start or found[1] == (0, 0):
-            found[1] = next(((m.start(), m.end()) for m in found[0]), None)
-        return found[1]
-
-
 def scanned(page: str) -> tuple[str, str, list[dict]]:
-    """(visible text, title, links) of a page, in one walk.
+    """(visible text, title, links) of a page, in one walk; searches for ends only move forward too.
 
     Comments and what script, style, noscript, template and svg hold are hidden, to the page's end where a script or style
     isn't closed; a tag goes from < and a letter, /, ! or ? to the next >; tags of block elements end lines; other < are
     text. Links are the href or src of visible a, link and img tags.
     """
-    p, at, out, title, links = _Page(page), 0, [], None, []
-    while (tag := p.lower.find("<", at)) >= 0:
-        out.append(page[at:tag])
-        if p.lower.startswith("<!--", tag) and (end := p.find("-->", tag + 4)) >= 0:
-            out.append(" ")
-            at = end + 3
-            continue
-        end = p.find(">", tag) if p.lower[tag + 1 : tag + 2] in _STARTS else -1
-        if end < 0:
-            out.append("<")
-            at = tag + 1
-            continue
-        closing = p.lower[tag + 1] == "/"
-        name = _NAME.match(p.lower, tag + 1 + closing, end)
-        name, at = name[0] if name else "", end + 1
-        if name in HIDDEN and not closing:
-            close = p.closed(name, at)
-            if close or name in TO_THE_END:
-                out.append(" ")
-                at = close[1] if close else len(page)
+    last, at, begin, out, title, links = page.rfind(">") + 1, 0, 0, [], None, []
+    comment, ends = 0, {}
+    while begin >= 0:
+        tags, begin = _TAG.finditer(page, begin, last), -1
+        for m in tags:
+            out.append(page[at : m.start()])
+            at, name = m.end(), m[3]
+            if name is None:
+                if m[1]:  # the search goes on after the comment, or after its first > if it has no end
+                    if 0 <= comment < at:
+                        comment = page.find("-->", at)
+                    begin = at = comment + 3 if comment >= 0 else page.find(">", at) + 1
+                    out.append(" " if comment >= 0 else "")
+                    break
                 continue
-        if name in BLOCKS:
-            out.append("\n")
-        if closing:
-            continue
-        if name in LINKS and (found := _ATTRIBUTE.search(page, tag, end + 1)):
-            links.append({"path": f"{name.upper()}@/{LINKS[name]}", "url": html.unescape(found[1] or found[2] or found[3] or "")})
-        if name == "title" and title is None and (end := p.find("</title", at)) >= 0:
-            title = page[at:end]
+            name = name.lower()
+            if name in BLOCKS:
+                out.append("\n")
+            if m[2]:
+                continue
+            if name in _ENDS:
+                closers = ends.setdefault(name, [_ENDS[name].finditer(page), (0, 0)])
+                while closers[1] and closers[1][0] < at:
+                    closers[1] = next((c.span() for c in closers[0]), None)
+                if closers[1] or name in TO_THE_END:
+                    out.append(" ")
+                    begin = at = closers[1][1] if closers[1] else len(page)
+                    break
+            elif name in LINKS:
+                if found := _ATTRIBUTE.search(page, m.start(), at):
+                    links.append({"path": f"{name.upper()}@/{LINKS[name]}", "url": html.unescape(found[1] or found[2] or found[3] or "")})
+            elif name == "title" and title is None:
+                end = _TITLE.search(page, at)
+                title = page[at : end.start()] if end else ""
     out.append(page[at:])
     text = _LINES.sub("\n", _BLANK.sub(" ", html.unescape("".join(out)))).strip()
     return text, html.unescape(title or "").strip(), links
 
 
-#: What may follow the < of a tag.
-_STARTS = frozenset("abcdefghijklmnopqrstuvwxyz/!?")
-
-
 def plain_text(page: str) -> str:
     return scanned(page)[0]
 
@@ -122,10 +106,11 @@ def links_of(page: str) -> list[dict]:
 
 def response(uri: str, payload: bytes, date: str = DATE, content_type: str = "text/html; charset=utf-8") -> dict:
     """A response record for a stored page: an HTTP head and the payload."""
+    known = digest(payload)
     block = b"HTTP/1.1 200 OK\r\nContent-Type: " + content_type.encode() + b"\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n" + payload
     headers = {
-        "WARC-Type": "response", "WARC-Record-ID": record_id("response", uri, date, digest(payload)), "WARC-Date": date, "WARC-Target-URI": uri,
-        "Content-Type": "application/http; msgtype=response", "WARC-Block-Digest": digest(block), "WARC-Payload-Digest": digest(payload), "Content-Length": str(len(block)),
+        "WARC-Type": "response", "WARC-Record-ID": record_id("response", uri, date, known), "WARC-Date": date, "WARC-Target-URI": uri,
+        "Content-Type": "application/http; msgtype=response", "WARC-Block-Digest": digest(block), "WARC-Payload-Digest": known, "Content-Length": str(len(block)),
     }
     return {"headers": headers, "block": block}
 
@@ -269,9 +254,10 @@ def derivatives(record: dict) -> list[dict]:
     kept = [(f"WARC-Source-{re.sub('^WARC-', '', k, flags=re.I)}", v) for k, v in source if k.lower() not in same]
     out = []
     for kind, content_type, block in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")), ("conversion", "text/plain", text.encode("utf-8", "replace"))):
+        own = digest(block)
         headers = [
-            ("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, refers, digest(block))), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", refers),
-            ("Content-Type", content_type), ("WARC-Block-Digest", digest(block)), ("Content-Length", str(len(block))), *kept,
+            ("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, refers, own)), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", refers),
+            ("Content-Type", content_type), ("WARC-Block-Digest", own), ("Content-Length", str(len(block))), *kept,
         ]
         out.append({"headers": headers, "block": block})
     return out
@@ -304,15 +290,16 @@ def parsed(data: bytes):
 
 #: Bytes after which a line without end is taken as one.
 LINE = 1 << 20
-HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 RECORD = "record_type string, record_id string, refers_to string, target_uri string, headers array<struct<name:string,value:string>>, block_digest string, content_length bigint, block binary"
 
 
 def _columns(records: list[dict]) -> list[pa.Array]:
     h = [pairs(r["headers"]) for r in records]
     get = lambda k: pa.array([first(x, k, None) for x in h], pa.string())
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in h])]).astype(np.int32)
+    fields = pa.StructArray.from_arrays([pa.array([v[k] for x in h for v in x], pa.string()) for k in (0, 1)], ["name", "value"])
     return [
-        get("WARC-Type"), get("WARC-Record-ID"), get("WARC-Refers-To"), get("WARC-Target-URI"), pa.array([[{"name": k, "value": v} for k, v in x] for x in h], HEADERS),
+        get("WARC-Type"), get("WARC-Record-ID"), get("WARC-Refers-To"), get("WARC-Target-URI"), pa.ListArray.from_arrays(pa.array(offsets), fields),
         get("WARC-Block-Digest"), pa.array([len(r["block"]) for r in records], pa.int64()), pa.array([r["block"] for r in records], pa.binary()),
     ]
 

@@ -783,6 +783,16 @@ def test_pipeline_stage_by_stage(spark):
     assert {r["doc_id"] for r in after} == set(before)
 
 
+def test_callers_columns_survive(spark):
+    import corpus_pipeline
+
+    names = ["spans", "base_spans", "_base", "n_words", "hit_spans", "hit_items", "lang_pred", "score", "_letter", "_found", "n_chars"]
+    df = spark.createDataFrame([(1, "some text token=abcdefgh", "en", *range(len(names)))], "doc_id int, text string, lang string, " + ", ".join(f"{n} int" for n in names))
+    bench = spark.createDataFrame([(1, "nothing of this")], "item_id int, text string")
+    for out in (secrets.redact_secrets(df), decontaminate.decontaminate(df, bench), corpus_pipeline.language_id(spark, df, SF), pii.pseudonymize(df, KEY, counts=False)):
+        assert out.columns == df.columns and list(out.select(names).first()) == list(range(len(names)))
+
+
 def test_pipeline_keeps_documents_without_labels(spark):
     import corpus_pipeline
 

@@ -17,7 +17,7 @@ BLOCK = 256
 # ---------------------------------------------------------------- Arrow and words
 
 #: Most bytes of a batch that goes to a Python worker; what a worker holds is a small multiple of it.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 
 
 def to_python(df: DataFrame) -> DataFrame:

@@ -43,6 +43,8 @@ ROUNDS = 1
 FILTER_BITS = 1 << 26
 #: Buckets of up to this number squared of comparisons are searched by comparing sketches, others by prefix filtering.
 SMALL_BUCKET = 4096
+#: Values of a block in which minima are taken, and shingles after which a batch of whole sets leaves a Python worker.
+BLOCK_VALUES, BATCH_SHINGLES = 1 << 17, 500_000
 #: Classes on each side of the cells into which a bucket's comparisons are dealt.
 TILE = 256
 
@@ -60,8 +62,9 @@ def shingle_set(raw: bytes, hashes: WordHash, width: int = WIDTH) -> np.ndarray:
 def minhash(shingles: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """Minima of the non-empty set under as many permutations of 64-bit integers."""
     least, shift, factor = None, _SHIFT[:samples], _FACTOR[:samples]
-    for k in range(0, len(shingles), 1024):
-        part = ((shingles[k : k + 1024, None] ^ shift) * factor).min(axis=0)
+    step = BLOCK_VALUES // samples
+    for k in range(0, len(shingles), step):
+        part = ((shingles[k : k + step, None] ^ shift) * factor).min(axis=0)
         least = part if least is None else np.minimum(least, part)
     return least
 
@@ -142,7 +145,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: i
                 kept.append(k)
                 sets.append(shingle_set(raw, hashes, width))
                 size += len(sets[-1])
-                if size > 2_000_000:
+                if size > BATCH_SHINGLES:
                     yield block(part.column(1).take(pa.array(kept)), sets)
                     kept, sets, size = [], [], 0
             yield block(part.column(1).take(pa.array(kept, pa.int64())), sets)

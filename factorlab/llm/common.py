@@ -35,7 +35,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 class WordHash(dict):
     """word -> 64-bit hash, remembered; emptied when it gets large, so memory stays bounded."""
 
-    limit = 250_000
+    limit = 65_536
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

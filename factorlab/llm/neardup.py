@@ -165,13 +165,30 @@ def _side(df: DataFrame, s: str, *keys: str) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in df.columns if c not in keys])
 
 
+def _dealt(rows: DataFrame, key: str, slots: Column) -> DataFrame:
+    """The rows (key, node, ..) with one of their key's slots, by the node."""
+    return rows.withColumn("slot", F.pmod(F.xxhash64("node", key), slots).cast("int"))
+
+
+def _in_slots(facts: DataFrame, slots: Column) -> DataFrame:
+    """The facts, one row a key, once for each of the key's slots."""
+    return facts.withColumn("slot", F.explode(F.sequence(F.lit(0), slots.cast("int") - 1)))
+
+
+def _slots(size: str) -> Column:
+    """Slots into which the rows of a key of this size are dealt where facts about the key are joined to them."""
+    return F.ceil(F.col(size) / TILE)
+
+
 def _split(rows: DataFrame, key: str) -> DataFrame:
-    """The rows (key, root, ..) of keys that lie in several components, with the key's rows, its most common component
-    (major) and how many rows are outside that (minor). Counts are aggregated by (key, root) first."""
-    counts = rows.groupBy(key, "root").agg(F.count("*").alias("n_of"))
+    """The rows (key, node, root, most, ..) of keys that lie in several components, with the key's rows (size), its most common
+    component (major) and how many rows are outside that (minor). most, the same in all rows of a key, is at least their
+    number. Counts are aggregated by (key, root) first."""
+    counts = rows.groupBy(key, "root").agg(F.count("*").alias("n_of"), F.max("most").alias("most"))
     largest = F.max(F.struct("n_of", "root"))
-    several = counts.groupBy(key).agg(F.count("*").alias("roots"), F.sum("n_of").alias("size"), largest.alias("x")).where("roots > 1")
-    return rows.join(several.select(key, "size", F.col("x.root").alias("major"), (F.col("size") - F.col("x.n_of")).alias("minor")), key)
+    several = counts.groupBy(key).agg(F.count("*").alias("roots"), F.sum("n_of").alias("size"), F.max("most").alias("most"), largest.alias("x")).where("roots > 1")
+    facts = several.select(key, "size", "most", F.col("x.root").alias("major"), (F.col("size") - F.col("x.n_of")).alias("minor"))
+    return _dealt(rows, key, _slots("most")).drop("most").join(_in_slots(facts, _slots("most")).drop("most"), [key, "slot"]).drop("slot")
 
 
 def _across(rows: DataFrame, key: str, percent: int, keys: str | None = None) -> DataFrame:
@@ -244,7 +261,7 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     known = rows.join(counts, "item", "left").withColumn("count", F.coalesce("count", F.lit(1)))
     ordered = known.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("count", "item"))).alias("all"))  # one document's set
     first = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    posted = ordered.select("node", F.explode(F.slice("all", F.lit(1), first)).alias("x")).where("x.count > 1").select("node", F.col("x.item").alias("item")).join(members, "node")
+    posted = ordered.select("node", F.explode(F.slice("all", F.lit(1), first)).alias("x")).where("x.count > 1").select("node", F.col("x.item").alias("item"), F.col("x.count").alias("most")).join(members, "node")
     shared = stored(_split(posted, "item"))
     pairs = stored(_across(shared, "item", percent))
     freed(shared)
@@ -254,7 +271,7 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
 def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """The members, with root, of the buckets that lie in several components, written down."""
     placed = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return stored(_split(placed.select("bucket", "node", "root"), "bucket"))
+    return stored(_split(placed.select("bucket", "node", "root", "most"), "bucket"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -272,8 +289,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = stored(marks.select(id_col, "n_shingles", "digest"))
     freed(marks)
     places = classes.select("node", F.explode("bands").alias("bucket"))
-    crowded = places.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1")
-    members = stored(places.join(crowded, "bucket").select("bucket", "node", "first"))
+    # written down, so that adaptive execution can split a crowded bucket's rows in the join
+    crowded = stored(places.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("most")).where("most > 1"))
+    members = stored(places.join(crowded, "bucket").select("bucket", "node", "first", "most"))
+    freed(crowded)
     thin = stored(classes.drop("bands"))
     freed(classes)
     classes = thin
@@ -288,7 +307,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         else:
             rest = _rooted(members, roots)
             own = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("root").alias("root_b"))).alias("leader")
-            pairs = rest.join(rest.groupBy("bucket").agg(own), "bucket").where("root <> leader.root_b").select(F.col("node").alias("a"), F.col("leader.b").alias("b")).distinct()
+            leaders = _in_slots(rest.groupBy("bucket").agg(own, F.max("size").alias("of")), _slots("of")).select("bucket", "slot", "leader")
+            pairs = _dealt(rest, "bucket", _slots("size")).join(leaders, ["bucket", "slot"]).where("root <> leader.root_b").select(F.col("node").alias("a"), F.col("leader.b").alias("b")).distinct()
         pairs = stored(likely(pairs, classes, percent))
         freed(rest)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))

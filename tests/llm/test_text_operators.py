@@ -611,10 +611,10 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     texts += [(5000, None), (5001, ""), (5002, "  "), (5003, "few words"), (5004, "Few\twords"), (5005, "few  words more")]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
     expected = components_of(texts)
-    for small, tile in ((4096, 256), (4096, 2), (2, 3)):  # also many cells, and the exact way for larger buckets
+    for small, tile, rounds in ((4096, 256, 1), (4096, 2, 0), (2, 3, 0), (4096, 2, 1)):  # also many cells and slots, and the exact way for larger buckets
         monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
         monkeypatch.setattr(neardup, "TILE", tile)
-        monkeypatch.setattr(neardup, "ROUNDS", 1 if tile == 256 else 0)
+        monkeypatch.setattr(neardup, "ROUNDS", rounds)
         got = {r["doc_id"]: (r["component_id"], r["n_shingles"], r["kept"]) for r in neardup.near_duplicates(df).collect()}
         assert got == {i: (c, n, c == i) for i, (c, n) in expected.items()}
 

@@ -72,6 +72,21 @@ def windows_of(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(total + np.uint64(width))
 
 
+# ---------------------------------------------------------------- order
+
+
+def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows in ranges of ascending order, written down with _range and _row (a row's number in its range, from 0).
+
+    Equal rows are told apart by where they were read, so that no crowd of them fills one range.
+    """
+    by = [F.col(c).asc_nulls_first() for c in (*order, "_read")]
+    sorted_rows = rows.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_read")
+    place = F.col("_place")  # the range in the upper bits, the row's number in the lower 33
+    placed = sorted_rows.withColumn("_place", F.monotonically_increasing_id())
+    return stored(placed.withColumns({"_range": F.shiftright(place, 33), "_row": place.bitwiseAND((1 << 33) - 1)}).drop("_place"))
+
+
 # ---------------------------------------------------------------- native arrays
 
 

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import freed, stored, unused
+from .common import freed, in_ranges, stored, unused
 from .urls import LOWER, UPPER
 
 WIDTH = 8
@@ -35,18 +35,6 @@ def encoded(value: Column) -> Column:
     return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
-def _ranges(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows in ranges of ascending order, written down with _range and _row (a row's number in its range, from 0).
-
-    Equal rows are told apart by where they were read, so that no crowd of them fills one range.
-    """
-    by = [F.col(c).asc_nulls_first() for c in (*order, "_read")]
-    sorted_rows = rows.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_read")
-    place = F.col("_place")  # the range in the upper bits, the row's number in the lower 33
-    placed = sorted_rows.withColumn("_place", F.monotonically_increasing_id())
-    return stored(placed.withColumns({"_range": F.shiftright(place, 33), "_row": place.bitwiseAND((1 << 33) - 1)}).drop("_place"))
-
-
 def _facts(ranges: DataFrame, group: str) -> DataFrame:
     """For each range and group in it: _first (row of it), _before (rows of the group in the ranges before), n (in all)."""
     counts = ranges.groupBy("_range", group).agg(F.count("*").alias("_rows"), F.min("_row").alias("_first"))
@@ -117,12 +105,12 @@ def manifest(rows: DataFrame, leaf: Column, group: str = "lang", id_col: str = "
     rows = rows.withColumn(name, leaf if other is None else other)
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{group}`").cast("string").alias("lang"), F.col(f"`{id_col}`").alias("id"), leaf.alias("hash"), F.col(name).alias("other"))
     packed = stored(packed)  # ranges are drawn from a sample: the hashes would be made twice
-    ranges = _ranges(packed, ["lang", "id", "hash"])
+    ranges = in_ranges(packed, ["lang", "id", "hash"])
     freed(packed)
     facts = stored(_facts(ranges, "lang"))
 
     # the groups, one row each; g is a group's number
-    groups = _ranges(facts.select("lang").distinct().withColumn("all", F.lit(0)), ["all", "lang"])
+    groups = in_ranges(facts.select("lang").distinct().withColumn("all", F.lit(0)), ["all", "lang"])
     n_groups = F.lit(groups.count()).cast("bigint")
     numbers = _numbered(groups, _facts(groups, "all"), "all").select(F.col("at").alias("g"), F.col("lang").alias("_lang"))
     known = facts.join(numbers, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontaminate, langid, merkle, neardup, packing, pii, quality, secrets, toxicity, urls, warc
+from . import decontaminate, langid, merkle, multiindex, neardup, packing, pii, quality, secrets, spelling, toxicity, urls, warc
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_pii_pseudonyms": pii.op10_pii_pseudonyms,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_nearest_neighbours": multiindex.op12_nearest_neighbours,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLE_SQL = {"op1_url_filter": urls.OP1_SQL, "op3_quality_rules": quality.OP3_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op11_merkle_manifest": merkle.OP11_SQL}

@@ -80,48 +80,54 @@ def correlation(x: np.ndarray, y: np.ndarray) -> float | None:
     return float((x * y).sum() / den) if den > 0 else None
 
 
-def kmeans(points: np.ndarray, k: int, rng: np.random.Generator, plusplus: bool = False, steps: int = 100) -> np.ndarray:
-    """Centroids (features x k) of the columns of points, by Lloyd's steps; empty clusters keep their centre."""
+def kmeans(points: np.ndarray, k: int, rng: np.random.Generator, plusplus: bool = False, steps: int = 100, weights: np.ndarray | None = None) -> np.ndarray:
+    """Centroids (features x k) of the columns of points, by Lloyd's steps; empty clusters keep their centre. weights: of points."""
     n = points.shape[1]
+    w = np.ones(n) if weights is None else weights
     if plusplus:
-        chosen = [int(rng.integers(n))]
+        chosen = [int(rng.integers(n)) if weights is None else int(rng.choice(n, p=w / w.sum()))]
         while len(chosen) < k:
-            d2 = ((points[:, :, None] - points[:, None, chosen]) ** 2).sum(axis=0).min(axis=1)
+            d2 = w * ((points[:, :, None] - points[:, None, chosen]) ** 2).sum(axis=0).min(axis=1)
             chosen.append(int(rng.choice(n, p=d2 / d2.sum())) if d2.sum() > 0 else int(rng.integers(n)))
     else:
         chosen = rng.choice(n, k, replace=False)
     centres = points[:, chosen].astype(float)
     for _ in range(steps):
         label = ((points**2).sum(axis=0)[:, None] - 2 * points.T @ centres + (centres**2).sum(axis=0)).argmin(axis=1)
-        new = np.stack([points[:, label == j].mean(axis=1) if (label == j).any() else centres[:, j] for j in range(k)], axis=1)
+        new = np.stack([np.average(points[:, label == j], axis=1, weights=w[label == j]) if w[label == j].sum() > 0 else centres[:, j] for j in range(k)], axis=1)
         if np.allclose(new, centres):
             break
         centres = new
     return centres
 
 
-def nndsvd(gram_left: np.ndarray, cross: np.ndarray | None, k: int, mean: float, rng: np.random.Generator) -> np.ndarray:
-    """Non-negative basis from the leading left singular vectors, taken from the P x P Gram matrix YY'.
+def nndsvd_from_parts(values: np.ndarray, vectors: np.ndarray, positive: np.ndarray, negative: np.ndarray, k: int, mean: float, rng: np.random.Generator) -> np.ndarray:
+    """Non-negative basis from the leading eigenpairs of YY' and the norms of the positive and negative parts of Y' u.
 
     For each vector the part (positive or negative) of more mass is kept; zeros become small random numbers around mean.
-    cross: Y' (N x P) if at hand, to weigh the right vectors' parts too.
     """
-    values, vectors = np.linalg.eigh(gram_left)
-    out = np.zeros((len(gram_left), k))
-    for q in range(k):
-        at = len(values) - 1 - q
-        if at < 0 or values[at] <= 0:
+    out = np.zeros((len(vectors), k))
+    for q in range(min(k, len(values))):
+        if values[q] <= 0:
             continue
-        u = vectors[:, at]
+        u, scale = vectors[:, q], math.sqrt(values[q])
         if q == 0:
-            out[:, 0] = math.sqrt(math.sqrt(values[at])) * np.abs(u)
+            out[:, 0] = math.sqrt(scale) * np.abs(u)
             continue
-        v = cross @ u / math.sqrt(values[at]) if cross is not None else u
-        up, un, vp, vn = np.maximum(u, 0), np.maximum(-u, 0), np.maximum(v, 0), np.maximum(-v, 0)
-        mp, mn = np.linalg.norm(up) * np.linalg.norm(vp), np.linalg.norm(un) * np.linalg.norm(vn)
+        up, un = np.maximum(u, 0), np.maximum(-u, 0)
+        mp, mn = np.linalg.norm(up) * positive[q] / scale, np.linalg.norm(un) * negative[q] / scale
         part, mass = (up, mp) if mp >= mn else (un, mn)
         if mass > 0:
-            out[:, q] = math.sqrt(math.sqrt(values[at]) * mass) * part / max(np.linalg.norm(part), 1e-300)
+            out[:, q] = math.sqrt(scale * mass) * part / max(np.linalg.norm(part), 1e-300)
     zero = out <= 0
     out[zero] = mean * rng.uniform(0, 0.01, int(zero.sum())) + 1e-12
     return out
+
+
+def nndsvd(gram_left: np.ndarray, cross: np.ndarray, k: int, mean: float, rng: np.random.Generator) -> np.ndarray:
+    """nndsvd_from_parts() of the P x P Gram matrix YY' and of cross, Y' (N x P)."""
+    values, vectors = np.linalg.eigh(gram_left)
+    values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+    v = cross @ vectors
+    norm = lambda m: np.sqrt((np.maximum(m, 0) ** 2).sum(axis=0))
+    return nndsvd_from_parts(values, vectors, norm(v), norm(-v), k, mean, rng)

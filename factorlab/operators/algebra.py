@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +26,23 @@ def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
+def whole(vector: str) -> Column:
+    """Whether the vector is there and without null or NaN; what isn't whole takes no part in products and distances."""
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v.cast("double"))), F.lit(False))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a column of vectors; other lengths than the first one's are an error, not a shift of all that follows."""
+    lengths = pc.list_value_length(column)
+    if column.null_count or pc.min(lengths).as_py() != pc.max(lengths).as_py():
+        raise ValueError("vectors differ in length")
     return np.asarray(column.flatten(), float).reshape(len(column), -1)
 
 
 def gram(samples: DataFrame, left: str, right: str) -> DataFrame:
     """(i, j, value): sum over samples of left_i * right_j, for array columns of equal length in every row.
 
-    Every task folds its Arrow batches into one block, so what is shuffled is one block a task, whatever the rows.
+    Samples of which either vector is null, or holds a null or NaN, are left out. Every task folds its Arrow batches into one block, so what is shuffled is one block a task, whatever the rows.
     """
 
     def fold(batches):
@@ -43,7 +55,7 @@ def gram(samples: DataFrame, left: str, right: str) -> DataFrame:
             i, j = np.indices(total.shape)
             yield pa.RecordBatch.from_arrays([pa.array(i.ravel().astype(np.int64)), pa.array(j.ravel().astype(np.int64)), pa.array(total.ravel())], ["i", "j", "value"])
 
-    parts = samples.select(F.col(left).alias("left"), F.col(right).alias("right")).mapInArrow(fold, "i bigint, j bigint, value double")
+    parts = samples.where(whole(left) & whole(right)).select(F.col(left).alias("left"), F.col(right).alias("right")).mapInArrow(fold, "i bigint, j bigint, value double")
     return parts.groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
@@ -56,7 +68,8 @@ def gram_numpy(samples: DataFrame, left: str, right: str) -> np.ndarray:
 
 
 def statistics(samples: DataFrame, n_rows: int, n_covariates: int) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """(YA', AA', squared norm of Y, least value) of samples (y, a) in one pass; a task gives one block."""
+    """(YA', AA', squared norm of Y, least value) of samples (y, a) in one pass; a task gives one block. Samples of which either
+    vector isn't whole are left out."""
     size = n_rows * n_covariates + n_covariates**2 + 1
 
     def fold(batches):
@@ -69,7 +82,7 @@ def statistics(samples: DataFrame, n_rows: int, n_covariates: int) -> tuple[np.n
         if low < np.inf:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total), pa.array(np.full(size, low))], ["k", "v", "low"])
 
-    rows = samples.select("y", "a").mapInArrow(fold, "k bigint, v double, low double").groupBy("k").agg(F.sum("v").alias("v"), F.min("low").alias("low")).toPandas().sort_values("k")
+    rows = samples.where(whole("y") & whole("a")).select("y", "a").mapInArrow(fold, "k bigint, v double, low double").groupBy("k").agg(F.sum("v").alias("v"), F.min("low").alias("low")).toPandas().sort_values("k")
     if not len(rows):
         return np.zeros((n_rows, n_covariates)), np.zeros((n_covariates, n_covariates)), 0.0, 0.0
     v, cut = rows.v.to_numpy(), n_rows * n_covariates
@@ -87,25 +100,35 @@ BLOCK_ROWS = 256
 
 
 def _blocks(rows: DataFrame, number: str, side: str) -> tuple[DataFrame, int]:
-    """Rows (id, x, ..) in blocks of about BLOCK_ROWS: ids, x one after another, and the other columns, as arrays."""
+    """Rows (id, x, ..) in blocks of about BLOCK_ROWS, each column as an array."""
     n = max(1, -(-rows.count() // BLOCK_ROWS))
     held = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(number)).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
     column = lambda c: F.transform("rows", lambda r: r[c])
-    return held.select(number, *[(F.flatten(column(c)) if c in ("x", "q") else column(c)).alias(f"{c}_{side}") for c in rows.columns]), n
+    return held.select(number, *[column(c).alias(f"{c}_{side}") for c in rows.columns]), n
+
 
+def codes(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of both sides as whole numbers in their order, equal where the ids are."""
+    both = pc.rank(pa.concat_arrays([left, right]), sort_keys="ascending", tiebreaker="dense").to_numpy()
+    return both[: len(left)].astype(np.int64), both[len(left) :].astype(np.int64)
 
-def in_blocks(u: DataFrame, v: DataFrame, fold, schema: str) -> DataFrame:
+
+def in_blocks(u: DataFrame, v: DataFrame, fold, schema: str, gaps: bool = False) -> DataFrame:
     """fold(left, right) over all pairs of a block of u and one of v; gives a list of arrays, the columns of schema.
 
-    u and v are rows (id, x ARRAY<DOUBLE>, ..); left and right are dicts of arrays, x (and q) as matrices of a row each. A task
-    holds a pair of blocks at a time; blocks meet in an equi-join on their numbers.
+    u and v are rows (id, x ARRAY<DOUBLE>, ..); left and right are dicts of arrays, x (and q) as matrices of a row each. Rows
+    whose id or vector is null, or holds a null or NaN, take no part; with gaps, nulls in vectors come as NaN. Vectors of
+    different length are an error. A task holds a pair of blocks at a time; blocks meet in an equi-join on their numbers.
     """
+    vectors = lambda rows: [c for c in ("x", "q") if c in rows.columns]
+    kept = lambda rows: rows.where(reduce(lambda a, c: a & ((F.size(c) > 0) if gaps else whole(c)), vectors(rows), F.col("id").isNotNull()))
+    u, v = kept(u), kept(v)
     (a, n_a), (b, n_b) = _blocks(u, "block_a", "a"), _blocks(v, "block_b", "b")
     tasks = min(n_a * n_b, max(200, 4 * u.sparkSession.sparkContext.defaultParallelism))
     a = a.withColumn("block_b", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1)))).repartition(tasks, "block_a", "block_b")
     b = b.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.lit(n_a - 1)))).repartition(tasks, "block_a", "block_b")
     both = a.join(b, ["block_a", "block_b"]).drop("block_a", "block_b")
-    u.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
+    u.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")  # a pair of blocks at least
     sides = [(c, *c.rsplit("_", 1)) for c in both.columns]
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -114,12 +137,8 @@ def in_blocks(u: DataFrame, v: DataFrame, fold, schema: str) -> DataFrame:
             for k in range(batch.num_rows):
                 got: dict[str, dict] = {"a": {}, "b": {}}
                 for position, (_, c, side) in enumerate(sides):
-                    got[side][c] = batch.column(position).slice(k, 1).flatten()
-                for part in got.values():
-                    n = len(part["id"])
-                    for c in ("x", "q"):
-                        if c in part:
-                            part[c] = part[c].to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+                    part = batch.column(position).slice(k, 1).flatten()
+                    got[side][c] = _matrix(part) if c in ("x", "q") else part
                 made = fold(got["a"], got["b"])
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made], names)
 
@@ -141,10 +160,10 @@ def id_type(rows: DataFrame) -> str:
     return rows.schema["id"].dataType.simpleString()
 
 
-def pairwise(u: DataFrame, v: DataFrame, value=squared_distances) -> DataFrame:
+def pairwise(u: DataFrame, v: DataFrame, value=squared_distances, gaps: bool = False) -> DataFrame:
     """(u, v, value) for every row of u (id, x) and of v (id, x): squared distances, or value of the two matrices.
 
-    The product of the two is the result asked for; v is the side to keep small (landmarks).
+    Rows without a whole vector give no pairs; with gaps, nulls come as NaN. The product of the two is the result asked for; v is the side to keep small (landmarks).
     """
 
     def fold(left, right):
@@ -152,15 +171,18 @@ def pairwise(u: DataFrame, v: DataFrame, value=squared_distances) -> DataFrame:
         first, second = pa.array(np.repeat(np.arange(n), m)), pa.array(np.tile(np.arange(m), n))
         return [left["id"].take(first), right["id"].take(second), value(left["x"], right["x"]).ravel()]
 
-    return in_blocks(u.select("id", "x"), v.select("id", "x"), fold, f"u {id_type(u)}, v {id_type(v)}, value double")
+    return in_blocks(u.select("id", "x"), v.select("id", "x"), fold, f"u {id_type(u)}, v {id_type(v)}, value double", gaps)
 
 
 def nearest_squared(u: DataFrame, v: DataFrame) -> DataFrame:
-    """(u, value): the least squared distance of each row of u to a row of v of another id; no pair leaves a task."""
+    """(u, value): the least squared distance of each row of u to a row of v of another id; no pair leaves a task.
+
+    Rows without a whole vector are compared with none and give no row.
+    """
 
     def fold(left, right):
         d = squared_distances(left["x"], right["x"])
-        a, b = (np.array(s["id"].to_pylist(), object) for s in (left, right))
+        a, b = codes(left["id"], right["id"])
         d[a[:, None] == b] = np.inf
         least = d.min(axis=1)
         here = np.flatnonzero(least < np.inf)

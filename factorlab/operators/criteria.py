@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dense import cophenetic, correlation, distances
-from .algebra import id_type, in_blocks, squared_distances
+from .algebra import codes, id_type, in_blocks, squared_distances
+from .order import ranked
 
 
 def _corr(n, sx, sy, sxx, syy, sxy) -> Column:
@@ -107,13 +108,14 @@ def sparsity(cells: DataFrame, below: float = 1e-4) -> DataFrame:
 def silhouette(points: DataFrame, labels: DataFrame) -> DataFrame:
     """silhouette: mean over (id, x) points of (b - a) / max(a, b) in data space; singletons 0, null below two clusters.
 
+    Points without a label or a whole vector are left out, of their cluster's size too.
     Points are compared with all points, as the criterion asks, in blocks; what leaves a task is a sum a point and cluster.
     """
     p = points.select("id", "x").join(labels.where("label IS NOT NULL").select("id", "label"), "id")
 
     def fold(left, right):
         d = np.sqrt(np.maximum(squared_distances(left["x"], right["x"]), 0.0))
-        i, j = (np.array(s["id"].to_pylist(), object) for s in (left, right))
+        i, j = codes(left["id"], right["id"])
         other = i[:, None] != j
         kinds = pc.unique(right["label"])
         of = pc.index_in(right["label"], kinds).to_numpy(zero_copy_only=False)
@@ -136,7 +138,7 @@ def distance_correlation(left: DataFrame, right: DataFrame) -> DataFrame:
     both = left.select("id", "x").join(right.select("id", F.col("x").alias("q")), "id")
 
     def fold(a, b):
-        i, j = (np.array(s["id"].to_pylist(), object) for s in (a, b))
+        i, j = codes(a["id"], b["id"])
         once = i[:, None] < j
         x, y = (np.sqrt(np.maximum(squared_distances(a[c], b[c]), 0.0))[once] for c in ("x", "q"))
         return [[float(z)] for z in (len(x), x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum())]
@@ -198,16 +200,21 @@ def adjusted_rand(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 def flow_layout(labels: DataFrame, reference: int) -> DataFrame:
     """(fit, id, label, position): clusters of each fit stacked by their members' mean place in the reference, with gaps.
 
-    labels: (id, fit, label). The reference's samples are ordered by label, then id.
+    labels: (id, fit, label). The reference's samples are ordered by label, then id. Samples are numbered over ranges, so that
+    neither a fit nor a cluster is one task's; windows are over the clusters alone.
     """
-    key = labels.where(F.col("fit") == reference).select("id", F.row_number().over(Window.orderBy("label", "id")).alias("key"))
-    n = key.agg(F.count("*").cast("double").alias("n"))
-    joined = labels.join(key, "id").crossJoin(F.broadcast(n))
-    placed = joined.withColumn("centre", F.avg("key").over(Window.partitionBy("fit", "label")))
-    w = Window.partitionBy("fit").orderBy("centre", "label")
-    order = placed.withColumn("block", F.dense_rank().over(w)).withColumn("k", F.row_number().over(Window.partitionBy("fit").orderBy("centre", "label", "key")))
-    most = Window.partitionBy("fit")
-    return order.select("fit", "id", "label", (F.col("k") + (F.col("block") - 1) * F.col("n") / F.max("block").over(most)).alias("position"))
+    key = ranked(labels.where(F.col("fit") == reference).select("id", "label"), ["label", "id"]).select("id", (F.col("at") + 1).alias("key"), F.col("n").cast("double").alias("total"))
+    joined = labels.select("id", "fit", "label").join(key, "id")
+    members = ranked(joined, ["key"], ["fit", "label"])
+    clusters = members.groupBy("fit", "label").agg(F.avg("key").alias("centre"), F.count("*").alias("members"))
+    order = Window.partitionBy("fit").orderBy("centre", "label")
+    before = F.coalesce(F.sum("members").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    clusters = clusters.select("fit", "label", before.alias("before"), F.row_number().over(order).alias("block"), F.count("*").over(Window.partitionBy("fit")).alias("blocks"))
+    k = F.col("before") + F.col("at") + 1
+    # a place of 2^16 members leads to its cluster's row, so that a large cluster is many keys
+    slots = members.select("fit", "label", F.shiftright("at", 16).alias("slot")).distinct().join(clusters, ["fit", "label"])
+    placed = members.withColumn("slot", F.shiftright("at", 16)).join(slots, ["fit", "label", "slot"])
+    return placed.select("fit", "id", "label", (k + (F.col("block") - 1) * F.col("total") / F.col("blocks")).alias("position"))
 
 
 def adjacent_ari(labels: DataFrame) -> DataFrame:
@@ -217,14 +224,56 @@ def adjacent_ari(labels: DataFrame) -> DataFrame:
     return adjusted_rand(a.join(b, ["id", "fit"]), ["fit"])
 
 
+def _signatures(labels: DataFrame) -> tuple[DataFrame, int]:
+    """(id, x): each sample's labels as numbers, one a run in the runs' order (null: none); and the number of runs."""
+    runs = [r[0] for r in labels.select("run").distinct().orderBy("run").collect()]  # the restarts of a rank
+    codes_of = labels.select("run", "label").distinct().withColumn("code", F.dense_rank().over(Window.partitionBy("run").orderBy("label")).cast("double"))  # labels of a run: its rank
+    keyed = labels.join(F.broadcast(codes_of), ["run", "label"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("run", "code"))).alias("m"))
+    return keyed.select("id", F.array(*[F.try_element_at("m", F.lit(r)) for r in runs]).alias("x")), len(runs)
+
+
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of the places at which rows of x and of y are equal."""
+    return sum(((x[:, k, None] == y[:, k]) for k in range(x.shape[1])), np.zeros((len(x), len(y)))) / x.shape[1]
+
+
 def consensus(labels: DataFrame) -> DataFrame:
-    """(i, j, value): share of the runs in which i and j (all ordered pairs) have one label; labels: (run, id, label)."""
-    runs = labels.agg(F.countDistinct("run").cast("double").alias("runs"))
-    ids = labels.select("id").distinct()
-    a, b = labels.select("run", "label", F.col("id").alias("i")), labels.select("run", "label", F.col("id").alias("j"))
-    together = a.join(b, ["run", "label"]).groupBy("i", "j").agg(F.count("*").alias("n"))
-    pairs = ids.select(F.col("id").alias("i")).crossJoin(ids.select(F.col("id").alias("j")))
-    return pairs.join(together, ["i", "j"], "left").crossJoin(F.broadcast(runs)).select("i", "j", (F.coalesce("n", F.lit(0)) / F.col("runs")).alias("value"))
+    """(i, j, value): share of the runs in which i and j (all ordered pairs) have one label; labels: (run, id, label).
+
+    All pairs are the result asked for; they are made in blocks of samples.
+    """
+    points, _ = _signatures(labels)
+
+    def fold(left, right):
+        n, m = len(left["id"]), len(right["id"])
+        return [left["id"].take(pa.array(np.repeat(np.arange(n), m))), right["id"].take(pa.array(np.tile(np.arange(m), n))), _agreement(left["x"], right["x"]).ravel()]
+
+    return in_blocks(points, points, fold, f"i {id_type(points)}, j {id_type(points)}, value double", gaps=True)
+
+
+def consensus_classes(labels: DataFrame) -> DataFrame:
+    """(id, x, size): samples that have equal labels in all runs are one class, named by its smallest sample."""
+    points, _ = _signatures(labels)
+    return points.groupBy("x").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("size"))
+
+
+def consensus_measures(labels: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
+    """consensus_summary() of the labels' consensus matrix, from pairs of classes and without the matrix.
+
+    Within a class every pair agrees in all runs; between classes all pairs of their members agree as the classes do. What
+    leaves a task is two sums a pair of blocks of classes.
+    """
+    classes = consensus_classes(labels).select("id", "x", "size")
+
+    def fold(a, b):
+        value, pairs = _agreement(a["x"], b["x"]), np.outer(a["size"].to_numpy(), b["size"].to_numpy())
+        first, second = codes(a["id"], b["id"])
+        mixed = (value > low) & (value < high) & (first[:, None] > second)
+        return [[float((pairs * 4 * (value - 0.5) ** 2).sum())], [float(pairs.sum())], [float(pairs[mixed].sum())]]
+
+    sums = in_blocks(classes, classes, fold, "spread double, pairs double, mixed double", gaps=True).agg(*[F.sum(c).alias(c) for c in ("spread", "pairs", "mixed")])
+    n = F.sqrt("pairs")
+    return sums.select((F.col("spread") / F.col("pairs")).alias("dispersion"), (F.col("mixed") / F.nullif(n * (n - 1) / 2, F.lit(0.0))).alias("pac"))
 
 
 def consensus_summary(matrix: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:

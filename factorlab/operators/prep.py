@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .algebra import dot, nearest_squared, pairwise, squared_distances
+from .algebra import dot, nearest_squared, pairwise, squared_distances, whole
+from .order import ranked
 
 
 def _ranges(ref: DataFrame, by: str) -> DataFrame:
@@ -75,17 +76,22 @@ def kernel(u: DataFrame, v: DataFrame, kind: str = "gaussian", beta: float | tup
 def kernel_partial(u: DataFrame, v: DataFrame, beta: float = 0.5) -> DataFrame:
     """Gaussian kernel with missing (null) values in v: distances over the observed features, scaled by P / observed.
 
-    A v without any observed feature has kernel 0 with all.
+    A v without any observed feature has kernel 0 with all; rows whose vector itself is null, and rows of u with nulls, give none.
     """
 
     def value(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         seen = ~np.isnan(y)
         held = np.where(seen, y, 0.0)
-        part = np.maximum((x**2) @ seen.T - 2 * (x @ held.T) + (held**2).sum(axis=1), 0.0)
+        norms = (x**2) @ seen.T + (held**2).sum(axis=1)
+        part = norms - 2 * (x @ held.T)
+        i, j = np.nonzero(part <= 1e-6 * norms)  # where the difference cancels
+        for k in range(0, len(i), 65_536):
+            some = slice(k, k + 65_536)
+            part[i[some], j[some]] = (((x[i[some]] - held[j[some]]) * seen[j[some]]) ** 2).sum(axis=1)
         n = seen.sum(axis=1)
         return np.where(n == 0, 0.0, np.exp(-beta * x.shape[1] / np.maximum(n, 1) * part))
 
-    return pairwise(u, v, value)
+    return pairwise(u.where(whole("x")), v, value, gaps=True)
 
 
 def kernel_expected(u: np.ndarray, v: np.ndarray, weights: np.ndarray, means: np.ndarray, variances: np.ndarray, beta: float = 0.5) -> np.ndarray:
@@ -159,23 +165,22 @@ def folds(items: DataFrame, k: int, *columns: str, seed: int = 123, shuffle: boo
     columns: integer columns that identify an item. The sizes need one global order, so items are ranked in two steps:
     ranks within hash ranges, offset by the counts of the ranges before.
     """
-    key = hash_order(*columns, seed=seed) if shuffle else F.col(columns[0])
-    keyed = items.withColumn("_key", key.cast("bigint"))
-    if not shuffle:
-        low = keyed.agg(F.min("_key").alias("_low"), F.max("_key").alias("_high"))
-        keyed = keyed.crossJoin(F.broadcast(low)).withColumn("_range", F.floor((F.col("_key") - F.col("_low")) * 256 / (F.col("_high") - F.col("_low") + 1)))
+    small, extra = F.floor(F.col("_total") / k), F.col("_total") % k
+    if not shuffle:  # ranges of the items themselves, so that none is crowded
+        rows = ranked(items, list(columns)).withColumnsRenamed({"at": "_rank", "n": "_total"})
     else:
+        keyed = items.withColumn("_key", hash_order(*columns, seed=seed).cast("bigint"))
         keyed = keyed.withColumn("_range", F.floor(F.col("_key") * 256 / 1000003))
-    sizes = keyed.groupBy("_range").agg(F.count("*").alias("_n"))  # at most 256 rows
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    all_of = Window.partitionBy()
-    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(all_of).alias("_total"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy("_key", *columns))
-    rank = F.col("_before") + within - 1
-    small, extra = F.floor(F.col("_total") / k), F.col("_total") % k
+        sizes = keyed.groupBy("_range").agg(F.count("*").alias("_n"))  # at most 256 rows
+        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        all_of = Window.partitionBy()
+        sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(all_of).alias("_total"))
+        within = F.row_number().over(Window.partitionBy("_range").orderBy("_key", *columns))
+        rows = keyed.join(F.broadcast(sizes), "_range").withColumn("_rank", F.col("_before") + within - 1)
+    rank = F.col("_rank")
     edge = extra * (small + 1)
     fold = F.when(rank < edge, F.floor(rank / (small + 1))).otherwise(extra + F.floor((rank - edge) / F.greatest(small, F.lit(1)))) + 1
-    return keyed.join(F.broadcast(sizes), "_range").withColumn("fold", fold.cast("int")).select(*items.columns, "fold")
+    return rows.withColumn("fold", fold.cast("int")).select(*items.columns, "fold")
 
 
 def upper_triangle_folds(cells: DataFrame, k: int, seed: int = 123) -> DataFrame:

@@ -67,53 +67,47 @@ def triangle_folds(n: int, k: int, seed: int = 123) -> np.ndarray:
     return half + np.triu(half, 1).T
 
 
-def _averaged(scores: DataFrame, kl: bool = False) -> DataFrame:
+def _averaged(scores: DataFrame, kl: bool = False, by: tuple[str, ...] = ("rank",)) -> DataFrame:
     """(rank, loss, sigma): fold losses averaged; a failing rank stays with null."""
     loss = F.avg("loss")
-    return scores.groupBy("rank").agg(loss.alias("loss"), (F.lit(None).cast("double") if kl else F.sqrt(loss)).alias("sigma")).orderBy("rank")
+    return scores.groupBy(*by).agg(loss.alias("loss"), (F.lit(None).cast("double") if kl else F.sqrt(loss)).alias("sigma")).orderBy(*by)
 
 
-def ecv(spark: SparkSession, y: np.ndarray, a: np.ndarray | None = None, ranks=(1, 2, 3), k: int = 5, seed: int = 123, family: str = "nmf", **options) -> DataFrame:
-    """Element-wise cross-validation of nmf, signed, rrr or net fits: (rank, loss, sigma)."""
+def ecv(spark: SparkSession, y: np.ndarray, a: np.ndarray | None = None, ranks=(1, 2, 3), k: int = 5, seed: int = 123, family: str = "nmf", ranks2=None, **options) -> DataFrame:
+    """Element-wise cross-validation of nmf, signed, rrr, rrr_signed or net fits: (rank, loss, sigma).
+
+    A fold's cells have weight 0 in the fit and their mean loss counts. net: cells of the upper triangle (the diagonal
+    included) are dealt out, their mirrored ones are left out with them. ranks2, for reduced-rank fits: ranks of X2, which are
+    tried with every rank, as a column rank2; without them both ranks are equal.
+    """
     y = np.asarray(y, float)
     fold = triangle_folds(len(y), k, seed) if family == "net" else element_folds(y.shape, k, seed, ~np.isnan(y))
-    method = options.get("method", "EU")
+    method, reduced = options.get("method", "EU"), family in ("rrr", "rrr_signed")
+    if ranks2 is not None and not reduced:
+        raise ValueError("ranks2 is for reduced-rank fits")
 
-    def work(shared, rank, fold):
+    def work(shared, rank, rank2, fold):
         y, a, folds = shared
         w = ((folds != fold) & (folds > 0)).astype(float)
         held = folds == fold
-        if family == "nmf":
-            fit = nmf(np.nan_to_num(y), a, int(rank), weights=w, seed=seed, **options)
-            hat = fit.fitted(a)
-        elif family == "signed":
-            fit = nmf_signed(np.nan_to_num(y), a, int(rank), weights=w, seed=seed, **options)
-            hat = fit.fitted(a)
+        rank, known = int(rank), np.nan_to_num(y)
+        if family == "net":
+            fit = nmf_net(known, rank, weights=w, seed=seed, **options)
+            hat, held = fit.x @ fit.c @ fit.x.T, np.triu(held)
+        elif reduced:
+            fit = nmf_rrr(known, known if a is None else a, rank, int(rank2), weights=w, signed=family == "rrr_signed", seed=seed, **options)
+            hat = fit.x @ fit.extra["b1"]
         else:
-            hat = _imputed(np.nan_to_num(y), a, w, int(rank), family, seed, options)
+            fit = (nmf_signed if family == "signed" else nmf)(known, a, rank, weights=w, seed=seed, **options)
+            hat = fit.fitted(a)
         gap = y[held] - hat[held] if method == "EU" else None
         loss = float((gap**2).mean()) if method == "EU" else float((hat[held] - y[held] * np.log(hat[held] + 1e-10)).mean())
-        yield {"rank": int(rank), "fold": int(fold), "loss": loss}
+        yield {"rank": rank, "rank2": int(rank2), "fold": int(fold), "loss": loss}
 
-    tasks = [{"rank": int(q), "fold": f} for q in ranks for f in range(1, k + 1)]
-    return _averaged(run_grid(spark, tasks, work, "rank int, fold int, loss double", (y, a, fold)), method == "KL")
-
-
-def _imputed(y, a, w, rank, family, seed, options, rounds: int = 4):
-    """The fit of a family without weights, held-out cells being filled from the fit before (first: row means)."""
-    mean = (w * y).sum(axis=1, keepdims=True) / np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
-    hat = np.broadcast_to(mean, y.shape)
-    for _ in range(rounds):
-        filled = np.where(w > 0, y, hat)
-        if family == "net":
-            fit = nmf_net((filled + filled.T) / 2, rank, seed=seed, **options)
-            hat = fit.x @ fit.c @ fit.x.T
-        else:
-            fit = nmf_rrr(filled, a if a is not None else filled, rank, seed=seed, signed=family == "rrr_signed", **options)
-            hat = fit.x @ fit.extra["b1"]
-        if family != "rrr_signed":
-            hat = np.maximum(hat, 0)
-    return hat
+    pairs = [(q, q) for q in ranks] if ranks2 is None else [(q, r) for q in ranks for r in ranks2]
+    tasks = [{"rank": int(q), "rank2": int(r), "fold": f} for q, r in pairs for f in range(1, k + 1)]
+    scores = run_grid(spark, tasks, work, "rank int, rank2 int, fold int, loss double", (y, a, fold))
+    return _averaged(scores, method == "KL", ("rank",) if ranks2 is None else ("rank", "rank2"))
 
 
 def cv(
@@ -121,7 +115,15 @@ def cv(
 ) -> DataFrame:
     """Column-wise cross-validation: (rank, loss, sigma). Without covariates the test columns' B is fitted with X held;
     kernel: A is square, train x train in training and train x test in testing. family: nmf; signed (test columns have weight
-    0, and the folds' means are averaged); rrr (y from a, predicted by X C2 C1 A from the training columns' fit)."""
+    0, and the folds' means are averaged); rrr (y from a, predicted by X C2 C1 A from the training columns' fit).
+
+    Cells DataFrames with covariates may have any number of samples: sums.cv_sums() then gives the same from sums per fold."""
+    if isinstance(y, DataFrame):
+        from .sums import cv_sums
+
+        if a is None or kernel or options.get("method", "EU") != "EU":
+            raise ValueError("cells are for squared error with covariates; make arrays of others")
+        return cv_sums(spark, y, a, ranks, k, seed, shuffle, family, **options)
     y = np.asarray(y, float)
     fold = column_folds(y.shape[1], k, seed, shuffle)
     if a is not None and a.shape[0] == a.shape[1] and np.array_equal(a, np.eye(len(a))):

@@ -116,6 +116,43 @@ def reduced_rank(xp, x1, c, x2, s12, s22, l1=0.0, ortho1=0.0, ortho2=0.0):
     return x1, c * d.T, x2 / d
 
 
+def _pulls(xp, y, hat, w, kl: bool):
+    """What stands for Y above and for its fit below in a multiplicative step: both P x N, with weights (linear) and loss."""
+    if kl:
+        ratio = y / (hat + EPS)
+        return (ratio, hat * 0 + 1) if w is None else (w * ratio, w)
+    return (y, hat) if w is None else (w * y, w * hat)
+
+
+def reduced_rank_cells(xp, x1, c, x2, y1, y2, w=None, kl=False, l1=0.0, ortho1=0.0, ortho2=0.0):
+    """reduced_rank() with weights, missing cells (weight 0) or Kullback-Leibler loss, for which products don't suffice.
+
+    Each factor is renewed from the fit that the ones before it have left.
+    """
+    f = c @ (x2 @ y2)
+    up, down = _pulls(xp, y1, x1 @ f, w, kl)
+    down = down @ f.T
+    if ortho1:
+        down = down + ortho1 * ortho(xp, x1)
+    x1 = x1 * ((up @ f.T) / (down + EPS))
+    d = xp.sum(x1, 0)
+    x1, c = x1 / d, c * d.T
+    g = x2 @ y2
+    up, down = _pulls(xp, y1, x1 @ (c @ g), w, kl)
+    down = (x1.T @ down) @ g.T
+    if l1:
+        down = down + (l1 if kl else l1 / 2)
+    c = c * (((x1.T @ up) @ g.T) / (down + EPS))
+    h = x1 @ c
+    up, down = _pulls(xp, y1, h @ g, w, kl)
+    down = (h.T @ down) @ y2.T
+    if ortho2:
+        down = down + ortho2 * ortho(xp, x2.T).T
+    x2 = x2 * (((h.T @ up) @ y2.T) / (down + EPS))
+    d = xp.sum(x2, 1)
+    return x1, c * d.T, x2 / d
+
+
 def signed(xp, x, cp, cn, g0, s_pos, s_neg, l2_c=0.0, l2_ortho=0.0, how="colSums"):
     """Y ~ X (C+ - C-) A with signed A and Y; g0 = YA', S = AA' split by sign."""
     g, p = x.T @ g0, x.T @ x
@@ -172,14 +209,51 @@ def signed_reduced_rank(xp, x1, cp, cn, x2, s12, s22, l2_c=0.0, ortho1=0.0, orth
     return x1, cp * d.T, cn * d.T, x2 / d
 
 
-def network_tri(xp, x, c, y, l1=0.0, l2_ortho=0.0, how="colSums"):
-    """Y ~ X C X' for symmetric Y; norms move into both sides of C."""
-    p, yx = x.T @ x, y @ x
-    c = c * ((x.T @ yx) / (p @ c @ p + (l1 / 2 + TINY)))
+def signed_reduced_rank_cells(xp, x1, cp, cn, x2, y1, y2, w, l2_c=0.0, ortho1=0.0, ortho2=0.0):
+    """signed_reduced_rank() with weights, linear in w."""
+    f, wy = x2 @ y2, w * y1
+    g = (x1.T @ wy) @ f.T
+    gp, gn = xp.pos(g), xp.pos(-g)
+
+    def held(c):
+        return (x1.T @ (w * (x1 @ (c @ f)))) @ f.T
+
+    other = held(cn)
+    cp = cp * (gp + other + l2_c * cn) / (gn + held(cp) + l2_c * cp + TINY)
+    own = held(cp)
+    cn = cn * (gn + own + l2_c * cp) / (gp + other + l2_c * cn + TINY)
+    mp, mn = cp @ f, cn @ f
+    yp, yn, wp, wn = wy @ mp.T, wy @ mn.T, w * (x1 @ mp), w * (x1 @ mn)
+    down = xp.pos(-yp) + xp.pos(yn) + wp @ mp.T + wn @ mn.T + TINY
+    if ortho1:
+        down = down + ortho1 * ortho(xp, x1)
+    x1 = x1 * (xp.pos(yp) + xp.pos(-yn) + wp @ mn.T + wn @ mp.T) / down
+    d = xp.sum(x1, 0) + TINY
+    x1, cp, cn = x1 / d, cp * d.T, cn * d.T
+    hp, hn = x1 @ cp, x1 @ cn
+    yp, yn, wp, wn = (hp.T @ wy) @ y2.T, (hn.T @ wy) @ y2.T, w * (hp @ f), w * (hn @ f)
+    down = xp.pos(-yp) + xp.pos(yn) + (hp.T @ wp) @ y2.T + (hn.T @ wn) @ y2.T + TINY
+    if ortho2:
+        down = down + ortho2 * ortho(xp, x2.T).T
+    x2 = x2 * (xp.pos(yp) + xp.pos(-yn) + (hp.T @ wn) @ y2.T + (hn.T @ wp) @ y2.T) / down
+    d = xp.sum(x2, 1) + TINY
+    return x1, cp * d.T, cn * d.T, x2 / d
+
+
+def _seen(x, c, w, p):
+    """(W * X C X') X; without weights X C X'X, with p = X'X."""
+    return x @ (c @ p) if w is None else (w * ((x @ c) @ x.T)) @ x
+
+
+def network_tri(xp, x, c, y, l1=0.0, l2_ortho=0.0, how="colSums", w=None):
+    """Y ~ X C X' for symmetric Y (and weights); norms move into both sides of C."""
+    p, yx = x.T @ x, (y if w is None else w * y) @ x
+    below = p @ c @ p if w is None else x.T @ _seen(x, c, w, p)
+    c = c * ((x.T @ yx) / (below + (l1 / 2 + TINY)))
     t = c + c.T
     if how == "fixed":
         return x, c
-    down = x @ (c @ p @ t) + TINY
+    down = (x @ (c @ p @ t) if w is None else _seen(x, c, w, p) @ t) + TINY
     if l2_ortho:
         down = down + l2_ortho * ortho(xp, x)
     x = x * ((yx @ t) / down)
@@ -189,26 +263,30 @@ def network_tri(xp, x, c, y, l1=0.0, l2_ortho=0.0, how="colSums"):
     return x / d, c * (d.T @ d)
 
 
-def network_bi(xp, x, y, l2_ortho=0.0, how="none"):
+def network_bi(xp, x, y, l2_ortho=0.0, how="none", w=None):
     """Y ~ X X', damped by the cube root."""
-    down = x @ (x.T @ x) + TINY
+    if how == "fixed":
+        return x
+    down = (x @ (x.T @ x) if w is None else (w * (x @ x.T)) @ x) + TINY
     if l2_ortho:
         down = down + l2_ortho * ortho(xp, x)
-    return normalized(xp, x * xp.power((y @ x) / down, 1.0 / 3.0), how)
+    yx = (y if w is None else w * y) @ x
+    return normalized(xp, x * xp.power(yx / down, 1.0 / 3.0), how)
 
 
-def network_signed(xp, x, cp, cn, y, l2_ortho=0.0, how="colSums"):
+def network_signed(xp, x, cp, cn, y, l2_ortho=0.0, how="colSums", w=None):
     """Y ~ X (C+ - C-) X'."""
-    p, yx = x.T @ x, y @ x
+    p, yx = x.T @ x, (y if w is None else w * y) @ x
+    held = lambda c: p @ c @ p if w is None else x.T @ _seen(x, c, w, p)
     g = x.T @ yx
-    hn = p @ cn @ p
-    cp = cp * (g + hn) / (p @ cp @ p + TINY)
-    hp = p @ cp @ p
+    hn = held(cn)
+    cp = cp * (g + hn) / (held(cp) + TINY)
+    hp = held(cp)
     cn = cn * hp / (g + hn + TINY)
     if how == "fixed":
         return x, cp, cn
     tp, tn = cp + cp.T, cn + cn.T
-    xp_p, xn_p = x @ (cp @ p), x @ (cn @ p)
+    xp_p, xn_p = _seen(x, cp, w, p), _seen(x, cn, w, p)
     up = yx @ tp + xp_p @ tn + xn_p @ tp
     down = yx @ tn + xp_p @ tp + xn_p @ tn + TINY
     if l2_ortho:
@@ -229,6 +307,11 @@ def feedback(xp, x, c1, c2, s11, s12, s22, l2_ortho=0.0, l1_1=0.0, l1_2=0.0):
         down = down + l2_ortho * ortho(xp, x)
     x = x * ((s11 @ c1.T + s12 @ c2.T) / down)
     x = x / xp.sum(x, 0)
+    return feedback_paths(xp, x, c1, c2, s11, s12, s22, l1_1, l1_2)
+
+
+def feedback_paths(xp, x, c1, c2, s11, s12, s22, l1_1=0.0, l1_2=0.0):
+    """The coefficients of feedback() for the basis as it is."""
     p = x.T @ x
     c1 = c1 * ((x.T @ s11) / (p @ (c1 @ s11 + c2 @ s12.T) + (l1_1 + EPS)))
     c2 = c2 * ((x.T @ s12) / (p @ (c1 @ s12 + c2 @ s22) + (l1_2 + EPS)))

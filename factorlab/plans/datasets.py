@@ -43,6 +43,16 @@ def trade(spark: SparkSession, d: str) -> DataFrame:
     return C.from_edges(edges.select(F.col("c_nationkey").cast("bigint").alias("a"), F.col("s_nationkey").cast("bigint").alias("b"), "w"), "a", "b", "w")
 
 
+def spending(spark: SparkSession, d: str) -> DataFrame:
+    """Priority x customer cells: order totals, in hundred thousands, of the customers with orders."""
+    return C.from_long(table(spark, d, "orders", "o_orderpriority", "o_custkey", "o_totalprice"), "o_orderpriority", F.col("o_custkey").cast("bigint"), F.col("o_totalprice") / 1e5)
+
+
+def markets(spark: SparkSession, d: str) -> DataFrame:
+    """Segment x customer cells, 0 or 1."""
+    return C.one_hot(table(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("key"), "c_mktsegment"), "key", "c_mktsegment")
+
+
 def series(spark: SparkSession, d: str) -> DataFrame:
     """(t, var, value): events a day by type, in hundreds."""
     s = C.from_series(table(spark, d, "events", "ts", "event_type"), "ts", "day", "event_type")
@@ -57,6 +67,8 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 SEGMENTS = "(SELECT c_mktsegment AS seg, row_number() OVER (ORDER BY c_mktsegment) - 1 AS i FROM (SELECT DISTINCT c_mktsegment FROM customer))"
 REVENUE_CELLS = "SELECT c_mktsegment AS row, c_nationkey::BIGINT AS col, sum(o_totalprice / 1e6) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"
 REVENUE = f"SELECT s.i::BIGINT AS i, n.n_nationkey::BIGINT AS j, coalesce(r.value, 0.0) AS v FROM {SEGMENTS} s CROSS JOIN nation n LEFT JOIN ({REVENUE_CELLS}) r ON r.row = s.seg AND r.col = n.n_nationkey"
+SPENDING = "SELECT dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS i, j, v FROM (SELECT o_orderpriority, o_custkey::BIGINT AS j, sum(o_totalprice / 1e5) AS v FROM orders GROUP BY ALL)"
+MARKETS = f"SELECT s.i, c_custkey::BIGINT AS j, 1.0::DOUBLE AS v FROM customer JOIN {SEGMENTS} s ON s.seg = c_mktsegment WHERE c_custkey IN (SELECT o_custkey FROM orders)"
 REGIONS = "SELECT r_regionkey::BIGINT AS i, n_nationkey::BIGINT AS j, CASE WHEN n_regionkey = r_regionkey THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM region, nation"
 QUANTITY_CELLS = "SELECT p_type AS row, p_brand AS col, sum(l_quantity / 1e3) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"
 _TYPES = "(SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT p_type AS t FROM part JOIN lineitem ON l_partkey = p_partkey))"

@@ -627,7 +627,7 @@ def _(spark, d):
 
 @query("consensus_dispersion_pac", f"{_CONSENSUS} SELECT round(avg(4 * pow(value - 0.5, 2)), 6) AS dispersion, round(avg(CASE WHEN i > j THEN CASE WHEN value > 0.1 AND value < 0.9 THEN 1.0 ELSE 0.0 END END), 6)::DOUBLE AS pac FROM c")
 def _(spark, d):
-    return rounded(criteria.consensus_summary(criteria.consensus(_runs(spark, d))))
+    return rounded(criteria.consensus_measures(_runs(spark, d)))
 
 
 _HASH = "((123 + {i}::BIGINT * 7919 + {j}::BIGINT * 104729) * 48271) % 1000003"
@@ -659,11 +659,18 @@ def _(spark, d):
 
 
 
-@query("elbow", """WITH k AS (SELECT * FROM (VALUES (1, 0.40::DOUBLE), (2, 0.71::DOUBLE), (3, 0.90::DOUBLE), (4, 0.93::DOUBLE), (5, 0.95::DOUBLE)) AS t(rank, r2)),
-s AS (SELECT rank, (row_number() OVER (ORDER BY rank) - 1) / 4.0 AS x, (r2 - min(r2) OVER ()) / (max(r2) OVER () - min(r2) OVER ()) AS y FROM k)
+_SHARES = "SELECT row_number() OVER (ORDER BY v DESC, j)::INT AS rank, sum(v) OVER (ORDER BY v DESC, j) / sum(v) OVER () AS r2 FROM (SELECT c_nationkey AS j, sum(o_totalprice) AS v FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)"
+
+
+@query("elbow", f"""WITH k AS ({_SHARES}), s AS (SELECT rank, (rank - 1.0) / (count(*) OVER () - 1) AS x, (r2 - min(r2) OVER ()) / (max(r2) OVER () - min(r2) OVER ()) AS y FROM k)
 SELECT rank, round(abs(x - y) / sqrt(2), 6) AS distance FROM s ORDER BY abs(x - y) DESC, rank LIMIT 1""")
 def _(spark, d):
-    return rounded(criteria.elbow(spark.createDataFrame([(1, 0.40), (2, 0.71), (3, 0.90), (4, 0.93), (5, 0.95)], "rank int, r2 double")))
+    """Of the share of all revenue that the largest nations have, by their number."""
+    spent = D.table(spark, d, "orders", "o_custkey", "o_totalprice").join(D.table(spark, d, "customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    spent = spent.groupBy("c_nationkey").agg(F.sum("o_totalprice").alias("v"))
+    largest = Window.orderBy(F.desc("v"), "c_nationkey")  # a row a nation
+    curve = spent.select(F.row_number().over(largest).alias("rank"), (F.sum("v").over(largest) / F.sum("v").over(Window.partitionBy())).alias("r2"))
+    return rounded(criteria.elbow(curve))
 
 
 _DRAWS = "SELECT l_linenumber::VARCHAR AS basis, l_returnflag AS covariate, l_orderkey * 10 + l_linenumber AS replicate, l_discount * l_quantity AS value FROM lineitem"
@@ -952,3 +959,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     label = criteria.hard_labels(b).select("col", "label")
     nation = D.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("col"), F.col("n_name").alias("nation"))
     return rounded(prob.join(label, "col").join(F.broadcast(nation), "col").select("nation", F.col("row").alias("basis"), F.col("value").alias("share"), "label"))  # 25 nations
+
+
+from . import queries_sums, queries_weighted  # noqa: E402, F401 - they register theirs

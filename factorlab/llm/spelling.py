@@ -148,7 +148,7 @@ class Chunk:
 
     near and best: for each word the number of its near words and the (-n, index) of the most frequent one, as far as found
     here. beyond() gives (key, length, index); length -1 asks for the word of this key, else light words of a fork of that
-    length meet in key. It gives at most three for each letter of the words.
+    length meet in key. It gives at most four for each letter and end of the words.
     """
 
     def __init__(self, words: list[str], counts: list[int], top: dict[str, str]):

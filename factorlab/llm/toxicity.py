@@ -3,15 +3,16 @@
 A linear numpy classifier is trained from confirmed toxic examples (P) and unlabelled text (U). With class prior pi and
 the logistic loss l, the risk is  pi * E_P[l(z)] + max(0, E_U[l(-z)] - pi * E_P[l(-z)]):  the second term estimates the
 risk on the clean part of U, which can't be negative; where its estimate falls below zero the step goes against it, which
-keeps the classifier from memorising P. Features are hashed words, their beginnings and byte n-grams, as rates per word, so a
-document's score doesn't depend on its length and a word's whole weight can be remembered. Words end at ASCII that is no
-letter or digit and at Unicode's spaces; longer ones, as in unspaced scripts, are read in pieces that share no n-gram and
-leave none out, each counting as a word, so every byte of a text reaches its score. Two numbers (slope and
-offset) are then fitted on labelled rows that were not in P or U, clean ones too: this supervised calibration is outside
-the positive-unlabelled risk, and only lets a score read as a probability.
-
-The sample is written to the shared folder, one text an id. A first pass sums each feature's moments on the executors, a
-second brings the SELECTED features alone, so the driver holds at most rows * SELECTED rates however long the texts are.
+keeps the classifier from memorising P. Features are hashed words, their beginnings and byte n-grams; what counts is whether
+a text has them, not how often, so one insult in a long text weighs as much as in a short one. Only features are used that P's
+texts have more often than U's, by odds and beyond chance. Words end at ASCII that is no letter or digit and at Unicode's
+spaces; longer ones, as in unspaced scripts, are read in pieces that share no n-gram and leave none out, each counting as a
+word, so every byte of a text reaches its score. Two numbers (slope and offset) are then fitted on labelled rows that were not
+in P or U, clean ones too: this supervised calibration is outside the positive-unlabelled risk and can be left out; it only
+lets a score read as a probability.
+
+The sample is written to the shared folder, one text an id. A first pass counts each feature's texts on the executors, a
+second brings the SELECTED features alone, so the driver holds at most rows * SELECTED places however long the texts are.
 """
 
 from __future__ import annotations
@@ -27,11 +28,14 @@ from pyspark.sql import types as T
 
 from .common import freed, stored, text_bytes, to_python
 
-#: Most rows of each kind that are learned from; the bound on what the driver holds.
+#: Most rows of each kind that are learned from, as train_toxicity() takes them; the bound on what the driver holds.
 POSITIVE, UNLABELLED, CALIBRATION = 2000, 5000, 2500
-DIMENSIONS, PREFIXES, GRAM, STEPS = 1 << 18, (4, 5, 6, 8), 5, 200
-#: Features that the classifier may use: those whose mean rates in P and U differ most, in standard errors.
-SELECTED = 3000
+DIMENSIONS, PREFIXES, GRAM = 1 << 18, (4, 5, 6, 7, 8), 5
+#: Features that the classifier may use: so many at most of those whose share of P's texts exceeds that of U's by so much in
+#: log odds and in standard errors.
+SELECTED, LEAST_ODDS, LEAST_ERRORS = 8000, 0.5, 1.7
+#: Most steps, and the change of the risk over SETTLED steps, relative to it, at which training ends.
+STEPS, SETTLED, CHANGE = 1600, 100, 1e-3
 TOXIC_AT = 0.7
 
 #: A-Z to a-z; other ASCII that is no letter or digit to a space.
@@ -89,105 +93,102 @@ def held_out(doc_id: str) -> Column:
     return (F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3) == 1
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
-    """Ids with their role (p, u or c), bounded by POSITIVE + UNLABELLED + CALIBRATION; the smallest hashes are taken."""
+def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, positive: int = POSITIVE, unlabelled: int = UNLABELLED, calibration: int = CALIBRATION) -> DataFrame:
+    """Ids with their role (p, u or c), bounded by the three numbers; the smallest hashes are taken."""
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    calibration = F.floor(crc / 3) % 5 == 0
+    kept_out = F.floor(crc / 3) % 5 == 0
     some = lambda df, n, role: df.orderBy(F.xxhash64(id_col), id_col).limit(n).select(id_col, F.lit(role).alias("role"), *([F.col("toxic")] if role == "c" else [F.lit(None).cast("int").alias("toxic")]))
     marked = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic")).where(crc % 3 != 1)
-    p = some(marked.where((F.col("toxic") == 1) & ~calibration), POSITIVE, "p")
-    c = some(marked.where(calibration), CALIBRATION, "c")
-    u = some(docs.select(id_col).where(F.col(id_col).isNotNull() & (crc % 3 != 1) & ~calibration).distinct(), UNLABELLED, "u")
+    p = some(marked.where((F.col("toxic") == 1) & ~kept_out), positive, "p")
+    c = some(marked.where(kept_out), calibration, "c")
+    u = some(docs.select(id_col).where(F.col(id_col).isNotNull() & (crc % 3 != 1) & ~kept_out).distinct(), unlabelled, "u")
     return p.unionByName(c).unionByName(u)
 
 
-def _rates(raw: bytes, known: _Remembered) -> tuple[np.ndarray, np.ndarray]:
-    """(features, their rates per 100 words) of a text; memory follows the number of its distinct features."""
-    words = words_of(raw)
-    ids, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for k in range(0, len(words), 20_000):
-        some, n = np.unique(np.fromiter((f for w in words[k : k + 20_000] for f in known[w]), np.int32), return_counts=True)
-        if k:  # few texts are this long
-            ids, place = np.unique(np.concatenate([ids, some]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, n]), len(ids)).astype(np.int64)
-        else:
-            ids, counts = some, n
-    return ids.astype(np.int32), (100.0 * counts / max(1, len(words))).astype(np.float32)
+def present(raw: bytes, known: _Remembered) -> np.ndarray:
+    """The features that a text has, in order; known gives those of a word. Memory follows the text's distinct words."""
+    found: set[int] = set()
+    for word in set(words_of(raw)):
+        found.update(known[word])
+    return np.fromiter(sorted(found), np.int32, len(found))
 
 
 def _sample_table(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
     """(role, toxic, text) of the wanted documents, written down; of an id's several texts the least is taken."""
-    # wanted has at most POSITIVE + UNLABELLED + CALIBRATION rows
+    # wanted is bounded by the numbers given to _sampled()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(wanted.withColumnRenamed(id_col, "id")), "id")
     return stored(rows.groupBy("id", "role", "toxic").agg(F.min("text").alias("text")).select("role", "toxic", "text"))
 
 
 def contrasted(sample: DataFrame, n_positive: int, n_unlabelled: int, selected: int = SELECTED) -> np.ndarray:
-    """The features whose mean rates in P and U differ most (in standard errors); others only add noise."""
+    """The features that more of P's texts have than of U's: at most `selected`, those furthest beyond chance."""
 
-    def moments(batches):
-        known, sums = _Remembered(features), np.zeros((4, DIMENSIONS))
-        least = np.inf
+    def counts(batches):
+        known, n = _Remembered(features), np.zeros((2, DIMENSIONS), np.int64)
         for batch in batches:
             for role, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                ids, rates = _rates(raw, known)
-                first = 0 if role == "p" else 2
-                sums[first, ids] += rates
-                sums[first + 1, ids] += rates.astype(float) ** 2
-                least = min(least, float(rates.min(initial=np.inf)))
-        used = np.flatnonzero(sums.any(axis=0))
+                n[0 if role == "p" else 1, present(raw, known)] += 1
+        used = np.flatnonzero(n.any(axis=0))
         if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(x[used]) for x in sums), pa.array(np.full(len(used), least))], ["f", "p1", "p2", "u1", "u2", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(x[used]) for x in n)], ["f", "p", "u"])
 
-    rows = to_python(sample.where("role <> 'c'").select("role", "text")).mapInArrow(moments, "f bigint, p1 double, p2 double, u1 double, u2 double, least double")
-    table = rows.groupBy("f").agg(*[F.sum(c).alias(c) for c in ("p1", "p2", "u1", "u2")], F.min("least").alias("least")).toPandas()  # at most DIMENSIONS rows
+    rows = to_python(sample.where("role <> 'c'").select("role", "text")).mapInArrow(counts, "f bigint, p bigint, u bigint")
+    table = rows.groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).orderBy("f").toPandas()  # at most DIMENSIONS rows
     if not len(table):
         return np.zeros(0, np.int32)
-    mp, mu = table.p1 / n_positive, table.u1 / n_unlabelled
-    vp, vu = (table.p2 / n_positive - mp**2) / n_positive, (table.u2 / n_unlabelled - mu**2) / n_unlabelled
-    z = ((mp - mu).abs() / np.sqrt(vp + vu + table.least.min() ** 2 / max(1, n_unlabelled))).to_numpy()
-    order = np.lexsort((table.f.to_numpy(), -z))[:selected]
-    return np.sort(table.f.to_numpy()[order[z[order] > 0]]).astype(np.int32)
+    f, p, u = (table[c].to_numpy(float) for c in ("f", "p", "u"))
+    odds = np.log((p + 0.5) / (n_positive + 1)) - np.log((u + 0.5) / (n_unlabelled + 1))
+    p, u = p / n_positive, u / n_unlabelled
+    errors = (p - u) / np.sqrt(p * (1 - p) / n_positive + u * (1 - u) / n_unlabelled + 1e-12)
+    fit = np.flatnonzero((odds > LEAST_ODDS) & (errors > LEAST_ERRORS))
+    return np.sort(f[fit[np.lexsort((f[fit], -errors[fit]))][:selected]]).astype(np.int32)
 
 
 def _vectors(sample: DataFrame, use: np.ndarray):
-    """(roles, toxic, features in use a row, their places in use, rates) of the sample's rows."""
+    """(roles, toxic, number of features in use a row, their places in use) of the sample's rows."""
 
     def run(batches):
         known = _Remembered(features)
         for batch in batches:
-            ids, rates = [], []
+            ids = []
             for raw in text_bytes(batch.column(2)):
-                i, r = _rates(raw, known)
-                here = np.isin(i, use)
-                ids.append(np.searchsorted(use, i[here]).astype(np.int32))
-                rates.append(r[here])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(rates, pa.list_(pa.float32()))], ["role", "toxic", "ids", "rates"])
+                i = present(raw, known)
+                ids.append(np.searchsorted(use, i[np.isin(i, use)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["role", "toxic", "ids"])
 
-    table = to_python(sample).mapInArrow(run, "role string, toxic int, ids array<int>, rates array<float>").toArrow()
-    ids, rates = (table.column(c).combine_chunks() for c in ("ids", "rates"))
-    return np.array(table.column("role").to_pylist(), "U1"), np.array([x or 0 for x in table.column("toxic").to_pylist()]), np.diff(np.asarray(ids.offsets)), np.asarray(ids.flatten()), np.asarray(rates.flatten())
+    table = to_python(sample).mapInArrow(run, "role string, toxic int, ids array<int>").toArrow()
+    ids = table.column("ids").combine_chunks()
+    return np.array(table.column("role").to_pylist(), "U1"), np.array([x or 0 for x in table.column("toxic").to_pylist()]), np.diff(np.asarray(ids.offsets)), np.asarray(ids.flatten())
 
 
-def nnpu(lengths: np.ndarray, ids: np.ndarray, rates: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, l2: float = 1e-3, rate: float = 0.05, dimensions: int = DIMENSIONS):
-    """Weights and offset of the linear classifier; positive: mask of the rows of P, the others are U."""
-    row = np.repeat(np.arange(len(lengths)), lengths)
+def risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """(prior * E_P[l(z)], E_U[l(-z)] - prior * E_P[l(-z)], the gradient of the step by z); positive: mask of P, others are U."""
     p, u = positive, ~positive
+    toxic, s = np.logaddexp(0, z), 1 / (1 + np.exp(-np.clip(z, -40, 40)))  # l(-z): what it costs to call a clean row toxic
+    clean = toxic[u].mean() - prior * toxic[p].mean()
+    g = np.zeros(len(z))
+    if clean >= 0:
+        g[p], g[u] = -prior / p.sum(), s[u] / u.sum()  # l'(z) - (-l)'(-z) is -1 for every row of P
+    else:  # step against the term below zero
+        g[p], g[u] = prior * s[p] / p.sum(), -s[u] / u.sum()
+    return prior * float(np.logaddexp(0, -z[p]).mean()), float(clean), g
+
+
+def nnpu(lengths: np.ndarray, ids: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, l2: float = 1e-5, rate: float = 0.05, dimensions: int = DIMENSIONS):
+    """Weights and offset of the linear classifier of rows with the features ids (lengths: how many a row), by Adam's steps
+    until the risk settles; positive: mask of the rows of P, the others are U."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
     w, b = np.zeros(dimensions), -float(np.log(1 / max(prior, 1e-6) - 1))
-    m, v, mb, vb = np.zeros(dimensions), np.zeros(dimensions), 0.0, 0.0
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    m, v, mb, vb, before = np.zeros(dimensions), np.zeros(dimensions), 0.0, 0.0, np.inf
     for t in range(1, steps + 1):
-        z = np.bincount(row, rates * w[ids], len(lengths)) + b
-        loss = np.logaddexp(0, z)  # l(-z), what it costs to call the row toxic if it is clean
-        clean = loss[u].mean() - prior * loss[p].mean()
-        g, s = np.zeros(len(lengths)), sigmoid(z)
-        if clean >= 0:
-            g[p] += prior * (s[p] - 1) / p.sum() - prior * s[p] / p.sum()
-            g[u] += s[u] / u.sum()
-        else:  # step against the term below zero
-            g[p] += prior * s[p] / p.sum()
-            g[u] -= s[u] / u.sum()
-        gw, gb = np.bincount(ids, rates * g[row], dimensions) + l2 * w, g.sum()
+        z = np.bincount(row, w[ids], len(lengths)) + b
+        own, clean, g = risk(z, positive, prior)
+        if t % SETTLED == 0:
+            now = own + max(0.0, clean)
+            if abs(before - now) <= CHANGE * now:
+                break
+            before = now
+        gw, gb = np.bincount(ids, g[row], dimensions) + l2 * w, g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
@@ -210,45 +211,50 @@ def calibrated(z: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(slope), float(a[1] - slope * z.mean())
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", prior: float | None = None):
+def train_toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", prior: float | None = None, *, positive: int = POSITIVE, unlabelled: int = UNLABELLED, calibration: int = CALIBRATION, calibrate: bool = True
+):
     """Weights and offset of the score's logit. Without any positive example: weights 0 and a low offset.
 
     Labels are read only of rows whose crc32(id as text) mod 3 is not 1. prior: the share of toxic text; None takes the
-    share among the calibration rows.
+    share among the calibration rows. positive, unlabelled, calibration: most rows of each kind that are learned from.
+    calibrate: False keeps the positive-unlabelled logit as it is. Rows that repeat an id give its least text; a null id or
+    label isn't learned from; null texts count as empty. Columns beside those named aren't read.
     """
-    sample = _sample_table(docs, _sampled(docs, labels, id_col), id_col, text)
+    sample = _sample_table(docs, _sampled(docs, labels, id_col, positive, unlabelled, calibration), id_col, text)
     n = {r["role"]: r["count"] for r in sample.groupBy("role").count().collect()}
     if "p" not in n or "u" not in n:
         freed(sample)
         return np.zeros(DIMENSIONS), -5.0
     use = contrasted(sample, n["p"], n["u"])
-    roles, toxic, lengths, ids, rates = _vectors(sample, use)
+    roles, toxic, lengths, ids = _vectors(sample, use)
     freed(sample)
     c = roles == "c"
     prior = prior or min(0.5, max(0.005, float(toxic[c].mean()) if c.any() else 0.05))
     train = np.repeat(~c, lengths)
-    small, b = nnpu(lengths[~c], ids[train], rates[train], roles[~c] == "p", prior, dimensions=max(1, len(use)))
-    z = np.bincount(np.repeat(np.arange(c.sum()), lengths[c]), rates[~train] * small[ids[~train]], c.sum()) + b if c.any() else np.zeros(0)
-    slope, offset = calibrated(z, toxic[c]) if c.any() else (1.0, 0.0)
+    small, b = nnpu(lengths[~c], ids[train], roles[~c] == "p", prior, dimensions=max(1, len(use)))
+    slope, offset = 1.0, 0.0
+    if calibrate and c.any():
+        z = np.bincount(np.repeat(np.arange(c.sum()), lengths[c]), small[ids[~train]], c.sum()) + b
+        slope, offset = calibrated(z, toxic[c])
     w = np.zeros(DIMENSIONS)
     w[use] = small[: len(use)]
     return w * slope, b * slope + offset
 
 
 def score_toxicity(docs: DataFrame, weights: np.ndarray, offset: float, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, score (0 to 1), predicted (1 from TOXIC_AT on). Null and empty texts get the score of no word at all."""
+    """Per row: id, score (0 to 1), predicted (1 from TOXIC_AT on). Null and empty texts get the score of no word at all; rows
+    that repeat, or have a null id, are scored each; columns beside those named aren't read; no rows give none."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(weights.astype(np.float32))  # DIMENSIONS numbers, whatever the corpus
 
     def run(batches):
         w = shared.value.astype(float)
-        known = _Remembered(lambda word: float(w[features(word)].sum()))
+        used = set(np.flatnonzero(w).tolist())
+        known = _Remembered(lambda word: tuple(f for f in features(word) if f in used))
         for batch in batches:
-            z = []
-            for raw in text_bytes(batch.column(1)):
-                words = words_of(raw)
-                z.append(100.0 * sum(map(known.__getitem__, words)) / max(1, len(words)) + offset)
-            score = 1 / (1 + np.exp(-np.clip(np.array(z, float), -40, 40)))
+            z = np.array([w[present(raw, known)].sum() for raw in text_bytes(batch.column(1))], float) + offset
+            score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= TOXIC_AT).astype(np.int32))], [id_col, "score", "predicted"])
 
     schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 PREFIX_DIGITS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,10 +33,11 @@ def with_host_path(pages: DataFrame, url: str = "url") -> DataFrame:
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """All rows and columns of pages, with host, path, rule (null: none fits) and verdict.
 
-    A column of pages with one of these names is replaced. Null urls, urls without `://` and urls that no rule fits
-    get the default verdict. Each distinct (host, path) is expanded once and each distinct expression meets the rules
-    once, both after partial aggregation, so a hot url or a hot suffix is reduced before the shuffle; rows without a host
-    take no part in a join. Rules with a null part, or whose path neither is empty nor begins with `/`, fit no
+    A column of pages with one of these names, in any case, is replaced (the url's too, if it has such a name). Null urls, urls
+    without `://` and urls that no rule fits get the default verdict; rows that repeat are judged each. Each distinct (host,
+    path) is expanded once and each distinct expression meets the rules once, both after partial aggregation. In the last
+    join every page meets its place's verdict: the rows of a place with many pages are split by adaptive execution, as no
+    side needs a key's rows together; rows without a host take no part in a join. Rules with a null part, or whose path neither is empty nor begins with `/`, fit no
     url. An empty rule table gives the default everywhere.
     """
     rules = rules.where("rule_host IS NOT NULL AND verdict IS NOT NULL AND (rule_path = '' OR rule_path LIKE '/%')").select(
@@ -48,8 +51,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         F.coalesce(F.max(F.when(at_slash, F.length("rule_path") - F.length(F.replace("rule_path", F.lit("/"), F.lit(""))))), F.lit(0)).alias("slashes"),
         F.collect_set(F.when(~at_slash, F.length("rule_path"))).alias("lengths"),
     ).first()
-    drop = [c for c in ("host", "path", "rule", "verdict") if c in pages.columns and c != url]
-    pages = with_host_path(pages.drop(*drop), url)
+    (own,) = unused(pages, "url")
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    pages = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{url}`").alias(own))
+    pages = with_host_path(pages, own).drop(own)
 
     labels, parts = F.split("host", r"\."), F.split("path", "/", -1)
     n = F.size(labels)
@@ -75,7 +80,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     )
     judged = pages.where(has_host).join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
     rest = pages.where(~has_host).withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    return judged.unionByName(rest)
+    return judged.unionByName(rest).select(*[F.col(f"`{c}`") for c in kept], "host", "path", "rule", "verdict")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

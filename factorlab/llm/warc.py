@@ -87,13 +87,26 @@ def scanned(page: str) -> tuple[str, str, list[dict]]:
                     break
             elif name in LINKS:
                 if found := _ATTRIBUTE.search(page, m.start(), at):
-                    links.append({"path": f"{name.upper()}@/{LINKS[name]}", "url": html.unescape(found[1] or found[2] or found[3] or "")})
+                    links.append({"path": f"{name.upper()}@/{LINKS[name]}", "url": unescaped(found[1] or found[2] or found[3] or "")})
             elif name == "title" and title is None:
                 end = _TITLE.search(page, at)
                 title = page[at : end.start()] if end else ""
     out.append(page[at:])
-    text = _LINES.sub("\n", _BLANK.sub(" ", html.unescape("".join(out)))).strip()
-    return text, html.unescape(title or "").strip(), links
+    text = _LINES.sub("\n", _BLANK.sub(" ", unescaped("".join(out)))).strip()
+    return text, unescaped(title or "").strip(), links
+
+
+_LONG_REFERENCE = re.compile(r"&#(?:([0-9]{10,})|[xX]([0-9A-Fa-f]{10,}));?")
+
+
+def unescaped(text: str) -> str:
+    """Character references resolved; a number of any length that is no character becomes U+FFFD."""
+
+    def short(m: re.Match) -> str:
+        digits = (m[1] or m[2]).lstrip("0") or "0"
+        return f"&#{'x' * (m[1] is None)}{digits};" if len(digits) <= 7 else "\ufffd"
+
+    return html.unescape(_LONG_REFERENCE.sub(short, text))
 
 
 def plain_text(page: str) -> str:
@@ -199,11 +212,18 @@ def inflated(data: bytes, formats: tuple[int, ...]) -> bytes:
 
 
 def _before_damage(data: bytes, bits: int) -> bytes:
+    """What damaged data inflate to before the damage: in pieces, and the piece with the damage byte by byte."""
     member, out = zlib.decompressobj(bits), []
-    for k in range(len(data)):
+    for k in range(0, len(data), PIECE):
+        before = member.copy()
         try:
-            out.append(member.decompress(data[k : k + 1]))
+            out.append(member.decompress(data[k : k + PIECE]))
         except zlib.error:
+            for at in range(k, min(k + PIECE, len(data))):
+                try:
+                    out.append(before.decompress(data[at : at + 1]))
+                except zlib.error:
+                    break
             break
     return b"".join(out)
 
@@ -236,10 +256,10 @@ def derivatives(record: dict) -> list[dict]:
     charset = re.search(r"charset=[\"']?([\w-]+)", first(http, "Content-Type"), re.I)
     try:
         page = body.decode(charset[1] if charset else "utf-8", "strict" if unknown else "replace")
-    except LookupError:
-        page = body.decode("utf-8", "replace")
     except UnicodeDecodeError:  # still in a coding that can't be undone here, which the metadata names
-        page = ""
+        page = "" if unknown else body.decode("utf-8", "replace")
+    except (LookupError, UnicodeError):  # no charset, or one that can't decode at all
+        page = "" if unknown else body.decode("utf-8", "replace")
     text, title, links = scanned(page)
     refers, uri, date = first(source, "WARC-Record-ID"), first(source, "WARC-Target-URI"), first(source, "WARC-Date")
     envelope = {
@@ -270,6 +290,15 @@ def serialised(record: dict, compress: bool = False) -> bytes:
     return gzip.compress(data, mtime=0) if compress else data
 
 
+def _read(stream, size: int) -> bytes:
+    """Up to size bytes, whatever size a record claims to have."""
+    out = []
+    while size > 0 and (piece := stream.read(min(size, LINE))):
+        out.append(piece)
+        size -= len(piece)
+    return b"".join(out)
+
+
 def parsed(data: bytes):
     """The records of WARC bytes, plain or in gzip members, which are inflated as they are read; bytes that aren't a record
     are skipped up to the next one, and damaged gzip data end the file."""
@@ -285,11 +314,11 @@ def parsed(data: bytes):
                 lines.append(line.decode("utf-8", "replace"))
             headers = header_pairs(lines)
             size = first(headers, "Content-Length", "0")
-            yield {"headers": headers, "block": stream.read(int(size) if size.isdigit() else 0)}
+            yield {"headers": headers, "block": _read(stream, int(size) if re.fullmatch("[0-9]{1,18}", size) else 0)}
 
 
-#: Bytes after which a line without end is taken as one.
-LINE = 1 << 20
+#: Bytes after which a line without end is taken as one, and of the pieces in which damaged data are inflated.
+LINE, PIECE = 1 << 20, 4096
 RECORD = "record_type string, record_id string, refers_to string, target_uri string, headers array<struct<name:string,value:string>>, block_digest string, content_length bigint, block binary"
 
 

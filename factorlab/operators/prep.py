@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -94,30 +95,88 @@ def kernel_partial(u: DataFrame, v: DataFrame, beta: float = 0.5) -> DataFrame:
     return pairwise(u.where(whole("x")), v, value, gaps=True)
 
 
-def kernel_expected(u: np.ndarray, v: np.ndarray, weights: np.ndarray, means: np.ndarray, variances: np.ndarray, beta: float = 0.5) -> np.ndarray:
-    """Expected Gaussian kernel under missing values in v (NaN), for a diagonal Gaussian mixture of u's columns.
-
-    u (P x M), v (P x N), weights (G), means and variances (P x G). The squared distance is matched by a gamma law of
-    the same mean and variance, whose Laplace transform at beta is the expectation.
+@dataclass(frozen=True)
+class Mixture:
+    """A Gaussian mixture with diagonal covariances: weights (G), means and variances (G x P), and the mean log-likelihoods."""
+
+    weights: np.ndarray
+    means: np.ndarray
+    variances: np.ndarray
+    trace: tuple[float, ...] = ()
+
+    def log_parts(self, x: np.ndarray) -> np.ndarray:
+        """Log density times weight of each row of x (null: NaN, left out of the density) under each part."""
+        seen = ~np.isnan(x)
+        held = np.where(seen, x, 0.0)
+        precision = 1 / self.variances
+        squares = (held**2) @ precision.T - 2 * held @ (self.means * precision).T + seen @ (self.means**2 * precision).T
+        return np.log(self.weights) - 0.5 * (squares + seen @ np.log(2 * math.pi * self.variances).T)
+
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        log = self.log_parts(x)
+        share = np.exp(log - log.max(axis=1, keepdims=True))
+        return share / share.sum(axis=1, keepdims=True)
+
+
+def mixture(u: DataFrame, parts: int = 3, iterations: int = 100, tolerance: float = 1e-6, seed: int = 123) -> Mixture:
+    """The mixture of the rows (id, x) of u by EM from k-means, a pass an iteration: responsibilities and moments are folded in
+    the tasks. Rows without a whole vector are left out."""
+    from .starts import _folded, kmeans_samples
+
+    rows = u.where(whole("x") & F.col("id").isNotNull()).select(F.col("id").alias("col"), F.col("x").alias("y"))
+    means = kmeans_samples(rows, parts, seed).T
+    p = means.shape[1]
+    moments = _folded(rows, ["y"], lambda y: np.concatenate([[len(y)], y.sum(axis=0), (y**2).sum(axis=0)]), 2 * p + 1)
+    spread = np.maximum(moments[p + 1 :] / moments[0] - (moments[1 : p + 1] / moments[0]) ** 2, 1e-12)
+    now = Mixture(np.full(parts, 1 / parts), means, np.tile(spread, (parts, 1)))
+    trace: list[float] = []
+    for _ in range(iterations):
+
+        def fold(y, now=now):
+            log = now.log_parts(y)
+            top = log.max(axis=1, keepdims=True)
+            share = np.exp(log - top)
+            total = share.sum(axis=1, keepdims=True)
+            share = share / total
+            return np.concatenate([share.sum(axis=0), (share.T @ y).ravel(), (share.T @ y**2).ravel(), [float((top + np.log(total)).sum())]])
+
+        found = _folded(rows, ["y"], fold, parts * (2 * p + 1) + 1)
+        size = np.maximum(found[:parts], 1e-12)
+        means = found[parts : parts * (p + 1)].reshape(parts, p) / size[:, None]
+        squares = found[parts * (p + 1) : -1].reshape(parts, p) / size[:, None]
+        now = Mixture(size / size.sum(), means, np.maximum(squares - means**2, 1e-6 * spread))
+        trace.append(float(found[-1] / moments[0]))
+        if len(trace) > 1 and abs(trace[-1] - trace[-2]) <= tolerance * max(1.0, abs(trace[-2])):
+            break
+    return Mixture(now.weights, now.means, now.variances, tuple(trace))
+
+
+def expected_kernel(x: np.ndarray, y: np.ndarray, mixed: Mixture, beta: float) -> np.ndarray:
+    """Expected Gaussian kernel of rows of x (whole) and of y (NaN: missing).
+
+    What y misses has the mixture's conditional mean and variance; the squared distance is matched by a gamma law of the same
+    mean and variance, whose Laplace transform at beta is the expectation. A row that misses all has kernel 0.
+    """
+    seen = ~np.isnan(y)
+    share = mixed.shares(y)
+    mean = share @ mixed.means
+    variance = np.where(seen, 0.0, np.maximum(share @ (mixed.means**2 + mixed.variances) - mean**2, 0.0))
+    filled = np.where(seen, y, mean)
+    expected = np.maximum(squared_distances(x, filled), 0.0) + variance.sum(axis=1)
+    weighted = np.maximum((x**2) @ variance.T - 2 * x @ (filled * variance).T + (filled**2 * variance).sum(axis=1), 0.0)
+    spread = 4 * weighted + 2 * (variance**2).sum(axis=1)
+    safe = np.maximum(expected, 1e-300)
+    gamma = np.exp(-(expected**2) / np.maximum(spread, 1e-300) * np.log1p(beta * spread / safe))
+    return np.where(seen.any(axis=1), np.where(spread < 1e-30, np.exp(-beta * expected), gamma), 0.0)
+
+
+def kernel_expected(u: DataFrame, v: DataFrame, beta: float = 0.5, mixed: Mixture | None = None, parts: int = 3, seed: int = 123) -> DataFrame:
+    """(u, v, value): the Gaussian kernel's expectation where rows of v have nulls, under a mixture of u (None: fitted here).
+
+    Covariances are diagonal. Rows of u without a whole vector, and rows whose vector is null, give no pairs.
     """
-    out = np.zeros((u.shape[1], v.shape[1]))
-    for j in range(v.shape[1]):
-        seen = ~np.isnan(v[:, j])
-        base = ((u[seen] - v[seen, j][:, None]) ** 2).sum(axis=0)
-        if seen.all():
-            out[:, j] = np.exp(-beta * base)
-            continue
-        log_p = np.log(weights) - 0.5 * (((v[seen, j][:, None] - means[seen]) ** 2 / variances[seen]) + np.log(variances[seen])).sum(axis=0)
-        share = np.exp(log_p - log_p.max())
-        share /= share.sum()
-        for g, p in enumerate(share):
-            gap = (u[~seen] - means[~seen, g][:, None]) ** 2
-            var = variances[~seen, g][:, None]
-            mean = base + (gap + var).sum(axis=0)
-            spread = (2 * var**2 + 4 * var * gap).sum(axis=0)
-            k = mean**2 / np.maximum(spread, 1e-300)
-            out[:, j] += p * (1 + beta * spread / np.maximum(mean, 1e-300)) ** -k
-    return out
+    mixed = mixture(u, parts, seed=seed) if mixed is None else mixed
+    return pairwise(u.where(whole("x")), v, lambda x, y: expected_kernel(x, y, mixed, beta), gaps=True)
 
 
 def nearest(u: DataFrame, landmarks: DataFrame | None = None) -> DataFrame:

@@ -137,8 +137,9 @@ def cv(
             hat = fit.fitted(a)[:, test]
             return [{"rank": int(rank), "fold": int(fold), "loss": float(((y[:, test] - hat) ** 2).mean()), "n": 1}]
         if family == "rrr":
-            fit = nmf_rrr(y[:, train], a[:, train], int(rank), seed=seed, **options)
-            hat = response(fit, a[:, test])
+            known, new = (a[np.ix_(train, train)], a[np.ix_(train, test)]) if kernel else (a[:, train], a[:, test])
+            fit = nmf_rrr(y[:, train], known, int(rank), seed=seed, **options)
+            hat = response(fit, new)
         elif a is None:
             fit = nmf(y[:, train], None, int(rank), seed=seed, **options)
             hat = fit.x @ nnls(fit.x, y[:, test], refit_steps)
@@ -279,18 +280,29 @@ def ard_rank(spark: SparkSession, y: np.ndarray, rank: int | None = None, runs:
     return table, nmf_ard(y, rank, seed=int(seed + best), **options)
 
 
-def beta_cv(spark: SparkSession, y: np.ndarray, d2: np.ndarray, rank: int, betas: list[float], k: int = 5, seed: int = 123, **options) -> DataFrame:
-    """(beta, loss, chosen): column-wise cross-validation of a Gaussian kernel's bandwidth; squared distances are shared."""
+def beta_cv(spark: SparkSession, y: np.ndarray, d2: np.ndarray, rank: int, betas: list[float], k: int = 5, seed: int = 123, family: str = "nmf", rank2: int | None = None, weights: np.ndarray | None = None, **options) -> DataFrame:
+    """(beta, loss, chosen): column-wise cross-validation of a Gaussian kernel's bandwidth; squared distances are shared.
+
+    A training fit has the kernel's train x train part as covariates, a prediction its train x test part. family: nmf, or rrr
+    with ranks rank and rank2 (None: equal) of a two-sided model. weights: of y's cells, linear in fit and loss.
+    """
+    if family not in ("nmf", "rrr"):
+        raise ValueError("family is nmf or rrr")
+    y = np.asarray(y, float)
     fold = column_folds(y.shape[1], k, seed)
 
     def work(shared, beta, fold):
-        y, d2, folds = shared
+        y, d2, folds, w = shared
         a = np.exp(-beta * d2)
         train, test = folds != fold, folds == fold
-        fit = nmf(y[:, train], a[np.ix_(train, train)], rank, seed=seed, **options)
-        yield {"beta": float(beta), "loss": float(((y[:, test] - fit.fitted(a[np.ix_(train, test)])) ** 2).sum()), "n": int(test.sum() * len(y))}
-
-    scores = run_grid(spark, [{"beta": float(b), "fold": f} for b in betas for f in range(1, k + 1)], work, "beta double, loss double, n bigint", (np.asarray(y, float), d2, fold))
+        known = a[np.ix_(train, train)]
+        part = None if w is None else w[:, train]
+        fit = nmf(y[:, train], known, rank, weights=part, seed=seed, **options) if family == "nmf" else nmf_rrr(y[:, train], known, rank, rank2, weights=part, seed=seed, **options)
+        held = np.ones((len(y), int(test.sum()))) if w is None else w[:, test]
+        loss = held * (y[:, test] - response(fit, a[np.ix_(train, test)])) ** 2
+        yield {"beta": float(beta), "loss": float(loss.sum()), "n": int((held > 0).sum())}
+
+    scores = run_grid(spark, [{"beta": float(b), "fold": f} for b in betas for f in range(1, k + 1)], work, "beta double, loss double, n bigint", (y, d2, fold, weights))
     return _chosen(scores.groupBy("beta").agg((F.sum("loss") / F.sum("n")).alias("loss")), "beta")
 
 

@@ -758,6 +758,9 @@ def _(spark, d):
     found = ts.latent(fit.x, fit.c, 2)
     rows = [("root", k, float(r.real), float(r.imag)) for k, r in enumerate(found.roots)] + [("radius", 0, found.radius, 0.0), ("radius_of_sum", 0, found.radius_of_sum, 0.0)]
     rows += [("mean_y", k, float(v), 0.0) for k, v in enumerate([] if found.mean_y is None else found.mean_y)]
+    known = ts.identification(fit.x, fit.c)
+    for name, values in (("separability", found.separability), ("anchor", known.anchors), ("pure", known.pure), ("column_sum", found.column_sums)):
+        rows += [(name, k, float(v), 0.0) for k, v in enumerate([] if values is None else values)]
     return rounded(spark.createDataFrame(rows, "name string, k int, re double, im double"))
 
 
@@ -961,4 +964,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return rounded(prob.join(label, "col").join(F.broadcast(nation), "col").select("nation", F.col("row").alias("basis"), F.col("value").alias("share"), "label"))  # 25 nations
 
 
-from . import queries_sums, queries_weighted  # noqa: E402, F401 - they register theirs
+from . import queries_blocks, queries_dynamics, queries_sums, queries_weighted  # noqa: E402, F401 - they register theirs

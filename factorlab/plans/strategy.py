@@ -1,8 +1,8 @@
-"""Which physical form a fit takes.
+"""Which physical form a fit of cells takes.
 
 G  sufficient statistics: one distributed pass, then iterations on the driver over P x R and R x R matrices.
 D  dense: the whole (small) matrix on the driver.
-P  one distributed pass per iteration over sample blocks; the basis is broadcast, coefficients stay in the blocks.
+P  one distributed pass per iteration over sample blocks; the basis goes with the tasks, samples' coefficients stay in the blocks.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ import pytest
 from factorlab.functions.dense import Dense, cophenetic, upper_tail
 from factorlab.operators import criteria, describe, infer, mixed, prep, resample, steps
 from factorlab.operators import series as ts
-from factorlab.operators.fit import centroid_order, equilibrium, initial_basis, nmf, nmf_ard, nmf_blocks, nmf_ffb, nmf_net, nmf_rrr, nmf_signed, nnls
+from factorlab.operators.fit import centroid_order, equilibrium, initial_basis, nmf, nmf_ard, nmf_ffb, nmf_net, nmf_rrr, nmf_signed, nnls
 from factorlab.plans.strategy import choose
 from factorlab.sources import cells as C
 from factorlab.streaming.grams import RunningGram, windowed_cells
@@ -89,16 +89,6 @@ def test_weighted_signed_fit_keeps_the_bases_apart():
     assert overlap(200.0) < 0.9 * without
 
 
-def test_blocks_follow_the_dense_fit(spark):
-    y = planted(5, 60, 2)
-    start = initial_basis(y, 2, "deterministic")
-    x, b, trace = nmf_blocks(C.samples(C.to_cells(spark, y)), 2, init=start, iterations=5)
-    dense = nmf(y, None, 2, init=start, fixed_iterations=5)
-    assert np.allclose(x[:, centroid_order(x)], dense.x) and len(trace) == 5
-    got = {r["col"]: r["b"] for r in b.collect()}
-    assert np.allclose(np.array([got[j] for j in range(1, 61)]).T[centroid_order(x)], dense.c)
-
-
 def test_missing_cells_are_masked_and_unit_weights_change_nothing():
     y = planted(6, 20, 2)
     start = initial_basis(y, 2, "deterministic")
@@ -281,13 +271,13 @@ def test_strategy_and_random_features(spark):
 
 
 def test_expected_kernel_reduces_to_the_plain_one():
-    u = np.random.default_rng(9).normal(size=(3, 5))
-    full = prep.kernel_expected(u, u, np.array([1.0]), np.zeros((3, 1)), np.ones((3, 1)))
-    d2 = ((u[:, :, None] - u[:, None, :]) ** 2).sum(axis=0)
-    assert np.allclose(full, np.exp(-0.5 * d2))
+    u = np.random.default_rng(9).normal(size=(5, 3))
+    one = prep.Mixture(np.array([1.0]), np.zeros((1, 3)), np.ones((1, 3)))
+    d2 = ((u[:, None] - u[None]) ** 2).sum(axis=2)
+    assert np.allclose(prep.expected_kernel(u, u, one, 0.5), np.exp(-0.5 * d2))
     holes = u.copy()
     holes[0, 0] = np.nan
-    k = prep.kernel_expected(u, holes, np.array([1.0]), np.zeros((3, 1)), np.ones((3, 1)))
+    k = prep.expected_kernel(u, holes, one, 0.5)
     assert ((k >= 0) & (k <= 1)).all()
 
 

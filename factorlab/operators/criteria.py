@@ -44,10 +44,48 @@ def sigma_mae(y: DataFrame, fitted: DataFrame) -> DataFrame:
     return valid_pairs(y, fitted).agg(F.stddev_samp(r).alias("sigma"), F.avg(F.abs(r)).alias("mae"))
 
 
+def family_errors(y: DataFrame, fitted: DataFrame, family: str = "nmf", method: str = "EU") -> DataFrame:
+    """sigma and mae as the family of the fit defines them, over cells of positive weight (without weights: all).
+
+    nmf: sample standard deviation of the residuals and mean absolute one, both without weights. signed, rrr and rrr_signed: root
+    of the weighted squared error over the number of cells (null for KL), and the mean absolute residual without weights. net:
+    both weighted, over the sum of the weights.
+    """
+    if family not in ("nmf", "signed", "rrr", "rrr_signed", "net"):
+        raise ValueError("family is nmf, signed, rrr, rrr_signed or net")
+    if family == "nmf":
+        return sigma_mae(y, fitted)
+    w = F.col("weight") if "weight" in y.columns else F.lit(1.0)
+    kept = y.where("weight > 0") if "weight" in y.columns else y
+    pairs = kept.select("row", "col", F.col("value").alias("y"), w.cast("double").alias("w")).join(fitted.select("row", "col", F.col("value").alias("fit")), ["row", "col"])
+    r = F.col("y") - F.col("fit")
+    squares, n = F.sum(F.col("w") * r * r), F.nullif(F.sum("w"), F.lit(0.0)) if family == "net" else F.nullif(F.count("*").cast("double"), F.lit(0.0))
+    sigma = F.sqrt(squares / n) if method == "EU" else F.lit(None).cast("double")
+    mae = F.sum(F.col("w") * F.abs(r)) / n if family == "net" else F.avg(F.abs(r))
+    return pairs.agg(sigma.alias("sigma"), mae.alias("mae"))
+
+
+def memberships(x: DataFrame, b: DataFrame, eps: float = 1e-10) -> DataFrame:
+    """(side, item, basis, share, label) of rows (side X) and samples (side B): the bases' shares of each item, and the basis of
+    the largest share (the first of ties; null for an item without any)."""
+    parts = []
+    for side, cells, item, basis in (("X", x, "row", "col"), ("B", b, "col", "row")):
+        shares = membership(cells, item, eps)
+        top = F.max(F.struct("value", (-F.col(basis)).alias("turned"))).over(Window.partitionBy(item))
+        label = F.when(top["value"] > 0, -top["turned"]).cast("bigint")
+        parts.append(shares.select(F.lit(side).alias("side"), F.col(item).cast("string").alias("item"), F.col(basis).cast("bigint").alias("basis"), F.col("value").alias("share"), label.alias("label")))
+    return parts[0].unionByName(parts[1])
+
+
+#: Samples up to which hierarchical clustering is done: its distances are a matrix on the driver.
+CLUSTERED = 2000
+
+
 def criterion(y: DataFrame, fitted: DataFrame, b: DataFrame | None = None, points: DataFrame | None = None, detail: str = "full") -> DataFrame:
     """One row of a fit's criteria. minimal: r2_cor, r2_zero, r2_mean, sigma and mae; fast: also the effective rank of b and
     its index; full: also the silhouette and the distance correlation of b's hard labels over points (id, x), the samples'
-    data. Full asks for data without zero weights; with some it gives null for both."""
+    data, and the cophenetic correlation of b (cpcc), null beyond CLUSTERED samples. Full asks for data without zero weights;
+    with some it gives null for the three. Memberships are memberships()."""
     if detail not in ("minimal", "fast", "full"):
         raise ValueError("detail is minimal, fast or full")
     parts = [r_squared(y, fitted), sigma_mae(y, fitted)]
@@ -59,6 +97,9 @@ def criterion(y: DataFrame, fitted: DataFrame, b: DataFrame | None = None, point
         none = y.sparkSession.range(1)
         parts.append(none.select(F.lit(None).cast("double").alias("silhouette")) if weighted else silhouette(points, hard_labels(b).select(F.col("col").alias("id"), "label")))
         parts.append(none.select(F.lit(None).cast("double").alias("dist_cor")) if weighted else distance_correlation(points, latent))
+        few = latent.limit(CLUSTERED + 1).collect() if not weighted else []
+        value = cpcc(np.array([r["x"] for r in few], float).T) if 0 < len(few) <= CLUSTERED else None
+        parts.append(none.select(F.lit(value).cast("double").alias("cpcc")))
     out = parts[0]
     for part in parts[1:]:
         out = out.crossJoin(part)  # one row each

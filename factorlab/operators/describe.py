@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .criteria import membership
 from .fit import Fit
 
 
@@ -57,12 +58,12 @@ def _links(m: np.ndarray, sources: list[str], targets: list[str], threshold: flo
 def fit_dot(fit: Fit, threshold: float = 0.01, kind: str = "YXA") -> str:
     """Graph of a fit: covariates -> bases -> rows (YXA), bases -> rows (YX) or covariates -> rows (YA); models of pairs,
     paths and networks have their own layout."""
-    bases = [f"Basis{q + 1}" for q in range(fit.rank)]
+    bases = list(fit.bases)
     rows, covariates = [str(r) for r in fit.rows], [str(r) for r in fit.covariates]
     if fit.family == "net":
         return dot({"Nodes": rows, "Communities": bases}, _links(fit.x, bases, rows, threshold) + [(bases[i], bases[j], float(fit.c[i, j])) for i in range(fit.rank) for j in range(i + 1, fit.rank) if abs(fit.c[i, j]) >= threshold])
     if fit.family in ("rrr", "rrr_signed"):
-        factors = [f"Factor{i + 1}" for i in range(len(fit.extra["x2"]))]
+        factors = list(fit.factors)
         inputs = [f"in_{r}" for r in covariates]
         return dot({"Y2": inputs, "Encoder": factors, "Decoder": bases, "Y1": rows}, _links(fit.extra["x2"], inputs, factors, threshold) + _links(fit.c, factors, bases, threshold) + _links(fit.x, bases, rows, threshold))
     if fit.family == "ffb":
@@ -76,7 +77,7 @@ def fit_dot(fit: Fit, threshold: float = 0.01, kind: str = "YXA") -> str:
 
 def ar_dot(fit: Fit, threshold: float = 0.01) -> str:
     """Lagged variables (grouped by lag) -> bases -> variables."""
-    bases, rows = [f"Basis{q + 1}" for q in range(fit.rank)], [str(r) for r in fit.rows]
+    bases, rows = list(fit.bases), [str(r) for r in fit.rows]
     groups: dict[str, list[str]] = {}
     for name in map(str, fit.covariates):
         m = re.search(r"_([0-9]+)$", name)
@@ -104,11 +105,31 @@ def summary(spark: SparkSession, fit: Fit) -> DataFrame:
     return spark.createDataFrame([row], "family string, features int, rank int, columns int, objective double, iterations int, converged boolean, x_sparsity double, c_sparsity double, negative_mass double")
 
 
-def relabel(fit: Fit, rows: dict | None = None, covariates: dict | None = None) -> Fit:
-    """The fit with features and covariates renamed."""
+def relabel(fit: Fit, rows: dict | None = None, covariates: dict | None = None, bases: list[str] | None = None, factors: list[str] | None = None) -> Fit:
+    """The fit with features and covariates renamed, and its bases and (of reduced-rank fits) factors named in their order; graphs
+    and coefficient tables take the names from it."""
     from dataclasses import replace
 
-    return replace(fit, rows=[(rows or {}).get(r, r) for r in fit.rows], covariates=[(covariates or {}).get(r, r) for r in fit.covariates])
+    for names, n, what in ((bases, fit.rank, "bases"), (factors, fit.c.shape[1], "factors")):
+        if names is not None and len(names) != n:
+            raise ValueError(f"{n} {what} need as many names")
+    named = {k: list(v) for k, v in (("bases", bases), ("factors", factors)) if v is not None}
+    return replace(fit, rows=[(rows or {}).get(r, r) for r in fit.rows], covariates=[(covariates or {}).get(r, r) for r in fit.covariates], extra=fit.extra | named)
+
+
+def relabel_coefficients(table: DataFrame, bases: dict[str, str] | None = None, covariates: dict[str, str] | None = None) -> DataFrame:
+    """A coefficient table (basis, covariate, ..) with names exchanged; others stay."""
+    for column, names in (("basis", bases), ("covariate", covariates)):
+        if names:
+            known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+            table = table.withColumn(column, F.coalesce(F.try_element_at(known, F.col(column)), F.col(column)))
+    return table
+
+
+def members(x: DataFrame, threshold: float = 0.0, eps: float = 1e-16) -> DataFrame:
+    """(row, col, value) of a network's nodes and communities: shares of the rows of X of at least threshold. Nodes without one
+    are hidden: they have no edge. Shares compare across kinds of networks, X's own scale doesn't."""
+    return membership(x, "row", eps).where(F.col("value") >= threshold)
 
 
 def ordered_coefficients(table: DataFrame, by: str, order: list[str]) -> DataFrame:

@@ -166,7 +166,7 @@ def infer(
     z = np.divide(estimate, se, out=np.full(len(se), np.nan), where=se > 0)
     two = side == "two" or (side == "auto" and signed)
     p = [None if math.isnan(q) else min(1.0, 2 * upper_tail(abs(q))) if two else upper_tail(q) for q in z]
-    names = [(f"Basis{q + 1}", str(k)) for k in (fit.covariates or [f"Cov{i + 1}" for i in range(n_covariates)]) for q in range(fit.rank)]
+    names = [(b, str(k)) for k in (fit.covariates or [f"Cov{i + 1}" for i in range(n_covariates)]) for b in fit.bases]
     clean = lambda u: None if u is None or (isinstance(u, float) and math.isnan(u)) else float(u)
     edge = estimate <= boundary * max(float(np.abs(estimate).max()), 1e-300)
     rows = [(b, k, float(e), clean(float(s1)), clean(float(b1)), clean(float(z1)), clean(p1), clean(float(l1)), clean(float(h1)), bool(o1) and not signed) for (b, k), e, s1, b1, z1, p1, l1, h1, o1 in zip(names, estimate, se, bse, z, p, low, high, edge, strict=True)]
@@ -177,7 +177,7 @@ def infer_network(spark: SparkSession, fit: Fit, y: np.ndarray, **options) -> Da
     """Inference for a network's C, with A = X'; only pairs of different bases, the first before the second."""
     from dataclasses import replace
 
-    names = [f"Basis{q + 1}" for q in range(fit.rank)]
+    names = list(fit.bases)
     table = infer(spark, replace(fit, covariates=names), (y + y.T) / 2, fit.x.T, **options)
     rows = [r for r in table.collect() if names.index(r["basis"]) < names.index(r["covariate"])]  # Q x Q rows at most
     return spark.createDataFrame(rows, table.schema)
@@ -188,7 +188,7 @@ def infer_rrr(spark: SparkSession, fit: Fit, y1: np.ndarray, y2: np.ndarray, **o
     from dataclasses import replace
 
     z = fit.extra["x2"] @ y2
-    inner = replace(fit, covariates=[f"Factor{i + 1}" for i in range(len(z))])
+    inner = replace(fit, covariates=list(fit.factors))
     return infer(spark, inner, y1, z, **({"side": "two"} if fit.family == "rrr_signed" else {}) | options)
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.cells import to_cells
@@ -37,6 +38,23 @@ def predict(fit: Fit, a: DataFrame, kind: str = "response") -> DataFrame:
     return criteria.hard_labels(out) if kind == "class" else out
 
 
+def classes(fit: Fit, a: DataFrame, actual: DataFrame | None = None) -> DataFrame:
+    """(col, label[, actual]): the row of the largest prediction of each sample (reduced-rank fits: of X1 C X2 Y2 itself, others:
+    of the shares), and with the cells actual the row of its largest value (the first of ties; null where it has none)."""
+    kind = "response" if fit.family in ("rrr", "rrr_signed") else "prob"
+    out = criteria.hard_labels(predict(fit, a, kind)).select("col", "label")
+    return out if actual is None else out.join(criteria.hard_labels(actual).select("col", F.col("label").alias("actual")), "col", "left")
+
+
+def path_coefficients(spark: SparkSession, fit: Fit) -> DataFrame:
+    """(type, basis, covariate, estimate) of a path model: every entry of C1 (from the endogenous rows) and C2 (exogenous)."""
+    if fit.family != "ffb":
+        raise ValueError("path coefficients are those of path models")
+    parts = (("C1", fit.c, fit.rows), ("C2", fit.extra["c2"], fit.covariates))
+    rows = [(kind, fit.bases[i], str(names[j]), float(v)) for kind, m, names in parts for (i, j), v in np.ndenumerate(m)]
+    return spark.createDataFrame(rows, "type string, basis string, covariate string, estimate double")
+
+
 def confusion(predicted: DataFrame, actual: DataFrame) -> DataFrame:
     """(actual, predicted, n) of (col, label) tables."""
     joined = actual.select("col", F.col("label").alias("actual")).join(predicted.select("col", F.col("label").alias("predicted")), "col")

@@ -153,7 +153,7 @@ def reduced_rank_cells(xp, x1, c, x2, y1, y2, w=None, kl=False, l1=0.0, ortho1=0
     return x1, c * d.T, x2 / d
 
 
-def signed(xp, x, cp, cn, g0, s_pos, s_neg, l2_c=0.0, l2_ortho=0.0, how="colSums"):
+def signed(xp, x, cp, cn, g0, s_pos, s_neg, l2_c=0.0, l2_ortho=0.0, how="colSums", l2_smooth=0.0):
     """Y ~ X (C+ - C-) A with signed A and Y; g0 = YA', S = AA' split by sign."""
     g, p = x.T @ g0, x.T @ x
     gp, gn = xp.pos(g), xp.pos(-g)
@@ -170,10 +170,14 @@ def signed(xp, x, cp, cn, g0, s_pos, s_neg, l2_c=0.0, l2_ortho=0.0, how="colSums
         return x, cp, cn
     h = cp - cn
     yh, hh = g0 @ h.T, (h @ (s_pos - s_neg)) @ h.T
-    down = xp.pos(-yh) + x @ xp.pos(hh)
+    up, down = xp.pos(yh) + x @ xp.pos(-hh), xp.pos(-yh) + x @ xp.pos(hh)
     if l2_ortho:
         down = down + l2_ortho * ortho(xp, x)
-    x = x * (xp.pos(yh) + x @ xp.pos(-hh)) / (down + TINY)
+    if l2_smooth:
+        near = path_neighbours(x.shape[0])
+        up = up + l2_smooth * (xp.const(near) @ x)
+        down = down + l2_smooth * (xp.const(near.sum(axis=1, keepdims=True)) * x)
+    x = x * up / (down + TINY)
     if how == "none":
         return x, cp, cn
     d = {"colSums": lambda: xp.sum(x, 0), "colSqSums": lambda: xp.power(xp.sum(x * x, 0), 0.5), "totalSum": lambda: xp.sum(x, 0) * 0 + xp.sum(x)}[how]()

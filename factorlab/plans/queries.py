@@ -964,4 +964,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return rounded(prob.join(label, "col").join(F.broadcast(nation), "col").select("nation", F.col("row").alias("basis"), F.col("value").alias("share"), "label"))  # 25 nations
 
 
-from . import queries_blocks, queries_dynamics, queries_sums, queries_weighted  # noqa: E402, F401 - they register theirs
+from . import queries_blocks, queries_description, queries_dynamics, queries_sums, queries_weighted  # noqa: E402, F401 - they register theirs

@@ -365,8 +365,9 @@ def test_criterion_modes_and_reduced_rank_prediction(spark):
     b = fit.extra["b1"]
     points = spark.createDataFrame([(j, [float(v) for v in y[:, j]]) for j in range(12)], "id int, x array<double>")
     table = [criteria.criterion(cells(y), cells(fit.x @ b), cells(b), points, d).first().asDict() for d in ("minimal", "fast", "full")]
-    assert [len(t) for t in table] == [5, 7, 9] and all(abs(t[k] - table[2][k]) < 1e-12 for t in table for k in t)
+    assert [len(t) for t in table] == [5, 7, 10] and all(abs(t[k] - table[2][k]) < 1e-12 for t in table for k in t)
     assert abs(table[0]["r2_mean"] - (1 - ((y - fit.x @ b) ** 2).sum() / ((y - y.mean(axis=1, keepdims=True)) ** 2).sum())) < 1e-9
+    assert table[2]["cpcc"] == pytest.approx(criteria.cpcc(b))
     gap = lambda m: np.array([np.linalg.norm(m[:, i] - m[:, j]) for i in range(12) for j in range(i)])
     assert abs(table[2]["dist_cor"] - np.corrcoef(gap(y), gap(b))[0, 1]) < 1e-9
     with pytest.raises(ValueError):

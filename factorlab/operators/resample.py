@@ -255,9 +255,9 @@ def consensus_curve(spark: SparkSession, y: np.ndarray, a: np.ndarray | None = N
     labels = consensus_runs(spark, y, a, ranks, runs, seed, **options).persist()
     rows = []
     for q in ranks:
-        matrix = criteria.consensus(labels.where(F.col("rank") == q))
-        summary = criteria.consensus_summary(matrix, low, high).first()
-        table = matrix.toPandas().pivot(index="i", columns="j", values="value").to_numpy()
+        of_rank = labels.where(F.col("rank") == q)
+        summary = criteria.consensus_measures(of_rank, low, high).first()
+        table = criteria.consensus(of_rank).toPandas().pivot(index="i", columns="j", values="value").to_numpy()
         d, at = 1 - table, np.triu_indices(len(table), 1)
         rows.append((int(q), summary[0], summary[1], correlation(d[at], cophenetic(d, "average")[at]) if d[at].any() else None))
     labels.unpersist()

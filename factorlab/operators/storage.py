@@ -13,6 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Tables that are still there, and their sessions; removed when the driver's Python ends.
+_KEPT: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _remove_all() -> None:
+    for folder, spark in _KEPT.items():
+        _remove(spark, folder)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; in local mode one of our own where that is unset.
 
@@ -48,7 +58,7 @@ def stored(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.parquet(folder)
     out.folder_of_ours = folder
-    atexit.register(_remove, spark, folder)
+    _KEPT[folder] = spark
     return out
 
 
@@ -58,3 +68,4 @@ def freed(*tables: DataFrame | None) -> None:
         folder = table.__dict__.get("folder_of_ours") if table is not None else None
         if folder:
             _remove(table.sparkSession, folder)
+            _KEPT.pop(folder, None)

@@ -278,7 +278,7 @@ LAYERS = ((IBANS, _ibans), (CARDS, _cards(True)), (CARDS, _cards(False)), (OTHER
 def pseudonymize(docs: DataFrame, key: str, text: str = "text", counts: bool = True) -> DataFrame:
     """docs with every valid value in text replaced by its pseudonym, and n_pii and n_<kind> of them (long).
 
-    Null texts stay null and count 0; invalid look-alikes (a card that fails its checksum, 30 February) stay as they are.
+    Null texts stay null and count 0; texts of any length are searched whole, rows that repeat each; no rows give none; invalid look-alikes (a card that fails its checksum, 30 February) stay as they are.
     Columns with the names of the counts are replaced, no others. key: the secret that the pseudonyms depend on; whoever
     knows it can undo them, so it has no default.
     """

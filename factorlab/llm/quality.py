@@ -156,7 +156,11 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", r
 
 
 def filter_quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The rows of docs, all columns, that no rule rejects; each row stops at the first rule that rejects it."""
+    """The rows of docs, all columns, that no rule rejects; each row stops at the first rule that rejects it.
+
+    Null texts count as empty; texts of any length are judged whole, rows that repeat each; nothing is added, so no name can
+    clash; no rows give none.
+    """
     order = [rules.index(r) for r in plan_cascade(docs, text, rules)]
     at = docs.columns.index(text)
 

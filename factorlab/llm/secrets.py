@@ -167,7 +167,8 @@ def discovery_limits(docs: DataFrame, text: str = "text", q: float = 0.01) -> li
 def find_secrets(docs: DataFrame, text: str = "text", q: float = 0.01, limits: list[int] | None = None, names: tuple[str, str] | None = None) -> DataFrame:
     """docs with base_spans and spans (or names): array<struct<start,order,end,kind>> by start, then kind; code points, end exclusive.
 
-    Null and empty texts have no spans. limits: those of discovery_limits(), else they are found from docs first. The
+    Null and empty texts have no spans; texts of any length are searched whole, rows that repeat each; no rows give none, and
+    leave the limits where nothing is found by chance. limits: those of discovery_limits(), else they are found from docs first. The
     battery's spans (kind random) are added beside base spans and don't overlap them. The caller's columns base_spans and spans are
     replaced, and no others; names: other names for them.
     """
@@ -189,7 +190,8 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", q: float = 0.01) -> DataFrame:
-    """docs with every secret span in text replaced by [SECRET]; nulls stay null; no row is dropped, no column changed."""
+    """docs with every secret span in text replaced by [SECRET]; nulls stay null, texts of any length are searched whole, rows
+    that repeat each; no row is dropped, no other column changed, whatever its name; no rows give none."""
     limits, names = discovery_limits(docs, text, q), unused(docs, "base_spans", "spans")
     found = find_secrets(docs, text, q, limits, names)
     return found.withColumn(text, redacted(F.col(text), F.col(names[1]))).select(docs.columns)

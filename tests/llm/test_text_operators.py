@@ -847,7 +847,8 @@ def test_pseudonyms_are_a_permutation(spark):
 
 
 def test_native_operators_run_no_python(spark, odd):
-    for df in (secrets.find_secrets(odd, limits=[601] * 6), pii.pseudonymize(odd, KEY)):
+    pages = odd.withColumnRenamed("text", "url")
+    for df in (secrets.find_secrets(odd, limits=[601] * 6), pii.pseudonymize(odd, KEY), urls.filter_urls(pages, urls.rule_table(spark))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan) and df.count() == len(ODD_ROWS)
 
@@ -902,5 +903,46 @@ def test_pipeline_keeps_documents_without_labels(spark):
         assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == {1, 4}
 
 
+def test_every_operator_on_no_rows_repeated_rows_and_clashing_names(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, Spans int, `KEPT` int, sequence_id int, host string"
+    row = (1, "plain words of a text with token=abcdefgh1 and 4111 1111 1111 1111 in it", "en", "s", 70, 1, 2, 3, "h")
+    rows = [row] * 3 + [(2, None, None, None, None, None, None, None, None), (None, "", "en", "s", 0, 1, 2, 3, "h"), (3, "word " * 50_000, "en", "s", 250_000, 1, 2, 3, "h")]
+    none, some = spark.createDataFrame([], schema), spark.createDataFrame(rows, schema)
+    every = {"quality": quality.filter_quality, "redacted": secrets.redact_secrets, "pseudonyms": lambda d: pii.pseudonymize(d, KEY, counts=False)}
+    for make in every.values():
+        assert make(none).count() == 0 and make(none).columns == none.columns
+        out = make(some)
+        assert out.columns == some.columns and len({tuple(r) for r in out.where("doc_id = 1").collect()}) <= 1
+    assert secrets.redact_secrets(some).count() == pii.pseudonymize(some, KEY).count() == len(rows)
+    assert quality.filter_quality(some).where("text IS NULL").count() in (0, 1)
+    assert [r["text"] for r in secrets.redact_secrets(some).where("doc_id = 1").collect()] == ["plain words of a text with [SECRET] and 4111 1111 1111 1111 in it"] * 3
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+        out = stage(spark, some, SF)
+        assert name == "packing" or out.columns == some.columns, name
+        assert out.count() >= 1, name
+    kept = corpus_pipeline.near_duplicates(spark, some, SF)
+    assert kept.where("doc_id = 1").count() == 3 and kept.count() == len(rows)  # rows of one id are one document
+
+
+def test_differencing_against_a_plain_version():
+    def plain(sizes, k):
+        parts = [(tuple([s] + [0] * (k - 1))) for s in sizes]
+        while len(parts) > 1:
+            parts.sort(key=lambda p: p[0] - p[-1], reverse=True)
+            a, b, *rest = parts
+            parts = [tuple(sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True)), *rest]
+        return sorted(parts[0])
+
+    rng = random.Random(21)
+    for _ in range(60):
+        sizes, k = [rng.randint(1, 10**9) for _ in range(rng.randint(1, 40))], rng.randint(2, 9)
+        got = packing.differenced(sizes, k)
+        assert sorted(i for w in got for i in w) == list(range(len(sizes)))
+        assert sorted([0] * (k - len(got)) + [sum(sizes[i] for i in w) for w in got]) == plain(sizes, k)
+
+
 def test_items_digest():
     assert decontaminate.items_digest([]) == hashlib.sha256(b"").hexdigest()

@@ -14,7 +14,8 @@ from factorlab.llm.common import freed, stored, unused
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter, in whatever language and also where none can be learned; null texts and others go."""
+    """Documents with a letter, in whatever language and also where none can be learned; null texts and others go. Rows that repeat
+    are judged each, a null id or lang changes nothing; own columns get names that docs doesn't have."""
     columns = docs.columns
     letter, *names = unused(docs, "letter", "lang_pred", "score")
     found = langid.identify(docs, langid.learn_languages(docs), letter=letter, names=tuple(names))
@@ -22,23 +23,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
+    """One document, that of the smallest id, of each group of near-duplicates. Rows of one id are one document and stay or go
+    together; a null id, null and empty texts are never duplicates and stay."""
     return neardup.deduplicate(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages; those that are mostly benchmark go."""
+    """Documents without benchmark passages; those that are mostly benchmark go. Null and empty texts have none and stay; rows that
+    repeat, or have a null id, are each cleaned; n_chars follows the text, other columns keep their values, whatever their names."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n_chars="n_chars")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets redacted."""
+    """All documents, with their secrets redacted. Nulls stay null; rows that repeat are each redacted; n_chars follows the text (a
+    null one stays null), other columns keep their values, whatever their names."""
     out = secrets.redact_secrets(docs)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens. A null text counts as empty: it is the end token alone; rows that
+    repeat, or have a null id, are packed each; only doc_id and text are read."""
     return packing.pack(docs)
 
 

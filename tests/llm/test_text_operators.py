@@ -922,9 +922,8 @@ def test_every_operator_on_no_rows_repeated_rows_and_clashing_names(spark):
         assert stage(spark, none, SF).count() == 0, name
         out = stage(spark, some, SF)
         assert name == "packing" or out.columns == some.columns, name
-        assert out.count() >= 1, name
-    kept = corpus_pipeline.near_duplicates(spark, some, SF)
-    assert kept.where("doc_id = 1").count() == 3 and kept.count() == len(rows)  # rows of one id are one document
+        ids = [r["doc_id"] for r in out.select("doc_id").collect()]
+        assert ids and (name != "near_duplicates" or (ids.count(1), len(ids)) == (3, len(rows))), name  # rows of one id are one document
 
 
 def test_differencing_against_a_plain_version():

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.dense import Dense
 from ..sources.cells import rows_and_gaps, samples
 from . import prep, steps
-from .algebra import _matrix
-from .fit import Fit, _loop, _offdiag2, centroid_order, initial_basis
+from .algebra import _matrix, gram_numpy
+from .fit import Fit, _loop, _offdiag2, centroid_order, equilibrium, initial_basis
 from .order import ranked
 from .storage import freed, stored
 
@@ -297,3 +297,22 @@ def feedback_sums(s11, s12, s22, x, c1, c2, *, l2_ortho: float = 0.0, c1_l1: flo
 
     (x, c1, c2), trace, _, ok = _loop(step, value, (x, c1, c2), maxit, epsilon)
     return x, c1, c2, trace, ok
+
+
+def fit_ffb_sums(y1: DataFrame, y2: DataFrame, rank: int, *, init="nndsvd", c1_init=None, c2_init=None, l2_ortho: float = 100.0, c1_l1: float = 1.0, c2_l1: float = 0.1, epsilon: float = 1e-6, maxit: int = 20000, seed: int = 123) -> Fit:
+    """nmf_ffb() of cells of any number of samples, from Y1 Y1', Y1 Y2' and Y2 Y2' of one pass; what compares samples with their
+    fitted values (mae, sc_cov, sc_map) is left out. init: a basis, or how one is made of Y1 Y2'."""
+    both, rows, exogenous = paired_samples(y1, y2)
+    s, p = gram_numpy(both.select(F.concat("y", "a").alias("z")), "z", "z"), len(rows)
+    if not s.size:
+        raise ValueError("Y1 and Y2 have no samples in common")
+    s11, s12, s22 = s[:p, :p], s[:p, p:], s[p:, p:]
+    x = initial_basis(s12, rank, init, seed)
+    x = x / x.sum(axis=0, keepdims=True)
+    c1 = np.random.default_rng(seed).uniform(0, 0.1, (rank, p)) if c1_init is None else np.array(c1_init, float)
+    warm = lambda: fit_sums(Sums(s12, s22, float(np.trace(s11)), 0.0), rank, init=x, restriction="fixed", fixed_iterations=100).c
+    c2 = warm() if c2_init is None else np.array(c2_init, float)
+    x, c1, c2, trace, ok = feedback_sums(s11, s12, s22, x, c1, c2, l2_ortho=l2_ortho, c1_l1=c1_l1, c2_l1=c2_l1, epsilon=epsilon, maxit=maxit)
+    order = centroid_order(x)
+    x, c1, c2 = x[:, order], c1[order], c2[order]
+    return Fit("ffb", x, c1, trace[-1], tuple(trace), len(trace), ok, "EU", rows, exogenous, extra={"c2": c2} | equilibrium(x, c1, c2))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sqlmath import Program
 from ..operators import infer, resample, starts, steps, sums
-from ..operators.fit import nmf, nmf_ffb
-from ..sources import cells as C
+from ..operators.fit import nmf
 from . import datasets as D
 from .queries import _cells_of, _small, _start, query, rounded
 
@@ -131,10 +130,9 @@ def _shared(spark, d):
 @query("ffb_bootstrap_sums")
 def _(spark, d):
     y, a = _shared(spark, d)
-    dense = lambda m: C.to_numpy(m)[0]  # noqa: E731 - of the fit alone
-    fit = nmf_ffb(dense(y) / 10, dense(a), 2, init=_start(5, 2), maxit=200, l2_ortho=1.0)
-    fit = type(fit)(**(fit.__dict__ | {"rows": C.row_labels(y), "covariates": C.row_labels(a)}))
-    return rounded(infer.infer_ffb_cells(fit, y.withColumn("value", F.col("value") / 10), a, draws=40, maxit=200))
+    y = y.withColumn("value", F.col("value") / 10)
+    fit = sums.fit_ffb_sums(y, a, 2, init=_start(5, 2), maxit=200, l2_ortho=1.0)
+    return rounded(infer.infer_ffb_cells(fit, y, a, draws=40, maxit=200))
 
 
 # ---------------------------------------------------------------- starts

@@ -10,7 +10,7 @@ from ..operators import mixed, prep, resample, steps
 from ..operators import series as ts
 from ..operators.fit import nmf
 from . import datasets as D
-from .queries import ITERATIONS, _columns, _halves, _series_matrix, _start, ar_fit, query, rounded
+from .queries import ITERATIONS, _columns, _halves, _series_matrix, _start, ar_fit, query, rounded, rounded_pairs
 from .queries import _ar_program as _two_lags
 from .queries_weighted import _gapped
 
@@ -143,7 +143,7 @@ def _(spark, d):
 @query("kernel_expected")
 def _(spark, d):
     x = _gapped(spark, d)
-    return rounded(prep.kernel_expected(x, x, 0.05, prep.mixture(x, 2, iterations=20)))
+    return rounded_pairs(prep.kernel_expected(x, x, 0.05, prep.mixture(x, 2, iterations=20)))
 
 
 @query("beta_cv_rrr")

@@ -1,11 +1,15 @@
 """Pairs of blocks: several blocks and files a side against plain loops, and what the plans move."""
 
+import math
+
 import numpy as np
 import pytest
+from oracle import SF
 from pyspark.sql import functions as F
 
 from factorlab.functions.dense import distances
 from factorlab.operators import algebra, criteria, prep
+from factorlab.plans import queries as Q
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +95,18 @@ def test_pairs_of_text_ids_and_of_no_rows(spark, data):
     got = prep.kernel(named, v, "linear").groupBy("u").count().toPandas()
     assert len(got) == 700 and (got["count"] == 600).all()
     assert prep.kernel(u.where("id < 0"), v).count() == prep.kernel(u, v.where("id < 0")).count() == prep.nearest(u.where("id < 1")).count() == 0
+
+
+@pytest.mark.parametrize("name", [*(f"kernel_{kind}" for kind in prep.KERNELS), "kernel_gaussian_partial"])
+def test_kernel_queries_round_pairs_without_decimals(spark, name):
+    plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "round(" not in plan and "rint(" in plan.lower()
+
+
+def test_pairs_are_rounded_half_away_from_zero(spark):
+    rng = np.random.default_rng(5)
+    odd = [0.0078125, -0.0078125, 0.0234375, 0.5, 1e-7, 5e-7, -0.0, 1e305, -1e305, 12345678.1234567, 2.0**60, math.inf, -math.inf, math.nan, None]
+    rows = [(i, v) for i, v in enumerate(odd + [float(v) for v in rng.normal(size=2000)] + [float(v) for v in rng.exponential(1e-4, 2000)])]
+    both = spark.createDataFrame(rows, "id int, value double")
+    got, want = (f(both).toPandas()["value"].to_numpy(float) for f in (Q.rounded_pairs, Q.rounded))
+    assert np.array_equal(got, want, equal_nan=True) and not np.signbit(got[6])

@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,19 +104,25 @@ BLOCK_ROWS, FILE_BYTES, BATCH_ROWS = 512, 16 << 20, 1 << 17
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows (id, x, ..) in blocks of at most BLOCK_ROWS, each column as an array, written down in files of about FILE_BYTES."""
+    """Rows (id, x, ..) in blocks of at most BLOCK_ROWS, each column as an array, written down in files of about FILE_BYTES.
+
+    block: the block's number, even and odd by turns within a file and from file to file.
+    """
     found = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("p")).first()
     some = math.ceil(2 * math.sqrt(rows.sparkSession.sparkContext.defaultParallelism))  # files of two sides: four tasks a core
     files = min(-(-found["n"] // BLOCK_ROWS), max(some, -(-found["n"] * 8 * (found["p"] or 0) // FILE_BYTES)))
 
-    names = rows.columns
+    names = [*rows.columns, "block"]
 
     def cut(batches):
+        number = TaskContext.get().partitionId() * ((1 << 40) + 1)
         for batch in batches:
             edges = pa.array([*range(0, batch.num_rows, BLOCK_ROWS), batch.num_rows], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(edges, c) for c in batch.columns], names)
+            numbers = pa.array(np.arange(number, number + len(edges) - 1))
+            number += len(numbers)
+            yield pa.RecordBatch.from_arrays([*(pa.ListArray.from_arrays(edges, c) for c in batch.columns), numbers], names)
 
-    return stored(rows.repartition(max(1, files)).mapInArrow(cut, ", ".join(f"`{c}` array<{t}>" for c, t in rows.dtypes)))
+    return stored(rows.repartition(max(1, files)).mapInArrow(cut, ", ".join([*(f"`{c}` array<{t}>" for c, t in rows.dtypes), "block bigint"])))
 
 
 def codes(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,22 +131,28 @@ def codes(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return both[: len(left)].astype(np.int64), both[len(left) :].astype(np.int64)
 
 
-def in_blocks(u: DataFrame, v: DataFrame, fold, schema: str, gaps: bool = False) -> DataFrame:
+def in_blocks(u: DataFrame, v: DataFrame, fold, schema: str, gaps: bool = False, once: bool = False) -> DataFrame:
     """fold(left, right) over all pairs of a block of u and one of v; gives a list of arrays, the columns of schema.
 
     u and v are rows (id, x ARRAY<DOUBLE>, ..); left and right are dicts of arrays, x (and q) as matrices of a row each. Rows
     whose id or vector is null, or holds a null or NaN, take no part; with gaps, nulls in vectors come as NaN. Vectors of
     different length are an error. Blocks are written down once, and files of blocks meet in a Cartesian product: no block is
     shuffled or copied. A task reads v's files one at a time beside a file of u, and holds one of v's and a pair of blocks.
+    once, for a v that is u: of two blocks only one order is folded, and left and right have the block's number as block.
     """
     vectors = lambda rows: [c for c in ("x", "q") if c in rows.columns]
     kept = lambda rows: rows.where(reduce(lambda a, c: a & ((F.size(c) > 0) if gaps else whole(c)), vectors(rows), F.col("id").isNotNull()))
     u, v = kept(u), kept(v)
     a = _blocks(u)
-    b = a if u.sameSemantics(v) else _blocks(v)
+    b = a if once or u.sameSemantics(v) else _blocks(v)
     named = lambda blocks, side: blocks.select(*[F.col(c).alias(f"{c}_{side}") for c in blocks.columns])
     tasks = 4 * u.sparkSession.sparkContext.defaultParallelism  # of neighbouring file pairs, so that sums of a row of u meet in a task
-    both = named(a, "a").crossJoin(named(b, "b").hint("shuffle_replicate_nl")).coalesce(tasks)
+    left, right = named(a, "a"), named(b, "b").hint("shuffle_replicate_nl")
+    if once:  # by turns, so that each task has about half of its pairs
+        m, n = F.col("block_a"), F.col("block_b")
+        both = left.join(right, (m == n) | (((m + n) % 2 == 1) == (m < n))).coalesce(tasks)
+    else:
+        both = left.drop("block_a").crossJoin(right.drop("block_b")).coalesce(tasks)
     u.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")  # a pair of blocks at least
     sides = [(c, *c.rsplit("_", 1)) for c in both.columns]
     names = [c.split()[0] for c in schema.split(", ")]
@@ -149,7 +162,8 @@ def in_blocks(u: DataFrame, v: DataFrame, fold, schema: str, gaps: bool = False)
             for k in range(batch.num_rows):
                 got: dict[str, dict] = {"a": {}, "b": {}}
                 for position, (_, c, side) in enumerate(sides):
-                    part = batch.column(position).slice(k, 1).flatten()
+                    part = batch.column(position).slice(k, 1)
+                    part = part if c == "block" else part.flatten()
                     got[side][c] = _matrix(part) if c in ("x", "q") else part
                 made = fold(got["a"], got["b"])
                 out = pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made], names)
@@ -173,18 +187,28 @@ def id_type(rows: DataFrame) -> str:
     return rows.schema["id"].dataType.simpleString()
 
 
-def pairwise(u: DataFrame, v: DataFrame, value=squared_distances, gaps: bool = False) -> DataFrame:
+def pairwise(u: DataFrame, v: DataFrame, value=squared_distances, gaps: bool = False, symmetric: bool = False) -> DataFrame:
     """(u, v, value) for every row of u (id, x) and of v (id, x): squared distances, or value of the two matrices.
 
     Rows without a whole vector give no pairs; with gaps, nulls come as NaN. The product of the two is the result asked for; v is the side to keep small (landmarks).
+    symmetric: value doesn't change when the sides do. Where v is u, each pair of blocks is then computed once and given both
+    ways, row by row, so that equal values lie together in the result's files and take their place once.
     """
+    u, v = u.select("id", "x"), v.select("id", "x")
+    once = symmetric and u.sameSemantics(v)
 
     def fold(left, right):
         n, m = len(left["id"]), len(right["id"])
-        first, second = pa.array(np.repeat(np.arange(n), m)), pa.array(np.tile(np.arange(m), n))
-        return [left["id"].take(first), right["id"].take(second), value(left["x"], right["x"]).ravel()]
-
-    return in_blocks(u.select("id", "x"), v.select("id", "x"), fold, f"u {id_type(u)}, v {id_type(v)}, value double", gaps)
+        made = value(left["x"], right["x"])
+        if not once or left["block"][0] == right["block"][0]:
+            first, second = pa.array(np.repeat(np.arange(n), m)), pa.array(np.tile(np.arange(m), n))
+            return [left["id"].take(first), right["id"].take(second), made.ravel()]
+        at = np.empty((n, 2, m), np.int64)  # a row of left with all of right, then these with it
+        at[:, 0], at[:, 1] = np.arange(n)[:, None], np.arange(n, n + m)
+        ids = pa.concat_arrays([left["id"], right["id"]])
+        return [ids.take(pa.array(at.ravel())), ids.take(pa.array(at[:, ::-1].ravel())), np.repeat(made[:, None], 2, axis=1).ravel()]
+
+    return in_blocks(u, v, fold, f"u {id_type(u)}, v {id_type(v)}, value double", gaps, once)
 
 
 def nearest_squared(u: DataFrame, v: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def kernel(u: DataFrame, v: DataFrame, kind: str = "gaussian", beta: float | tup
             return np.exp(-float(beta) * d2)
         return np.exp(-float(beta) * np.sqrt(d2)) if kind == "exponential" else np.exp(-b1 * np.sin(b2 * np.sqrt(d2)) ** 2)
 
-    return pairwise(u, v, value)
+    return pairwise(u, v, value, symmetric=True)
 
 
 def _missing_all(u: DataFrame, v: DataFrame) -> DataFrame:

@@ -45,6 +45,36 @@ def test_kernels_of_several_blocks_move_no_copies(spark, data, kind):
     assert np.allclose(square(made, 1300, 600, 5000), np.maximum(want, 0))
 
 
+def test_symmetric_pairs_are_computed_once_and_given_both_ways(spark, data):
+    x, u, _ = data
+    spent = spark.sparkContext.accumulator(0)
+
+    def value(a, b):
+        spent.add(a.shape[0] * b.shape[0])
+        return algebra.squared_distances(a, b)
+
+    made = algebra.pairwise(u, u, value, symmetric=True)
+    assert exchanges(made) == (1, 0)
+    got = square(made, 1300, 1300)
+    assert np.allclose(got, ((x[:, None] - x) ** 2).sum(axis=2)) and np.array_equal(got, got.T)
+    blocks = [r[0] for r in algebra._blocks(u).select(F.size("id")).collect()]
+    assert len(blocks) > 2 and spent.value == (sum(blocks) ** 2 + sum(n * n for n in blocks)) // 2
+    twice = u.where("id < 700").union(u.where("id < 5"))  # repeated ids are rows of their own
+    assert algebra.pairwise(twice, twice, symmetric=True).groupBy("u").count().agg(F.sum("count"), F.max("count")).first()[:] == (705**2, 1410)
+    assert algebra.pairwise(u.where("id < 0"), u.where("id < 0"), symmetric=True).count() == 0
+
+
+def test_kernels_of_a_table_with_itself_take_less_room(spark, data, tmp_path):
+    x, u, _ = data
+    other = u.withColumn("id", F.col("id") + 0)  # two sides: each pair for itself
+    room = []
+    for v in (u, other):
+        prep.kernel(u, v, "linear").write.parquet(str(tmp_path / str(len(room))))
+        room.append(sum(f.stat().st_size for f in (tmp_path / str(len(room))).glob("*.parquet")))
+    assert room[0] < 0.75 * room[1]
+    assert np.allclose(square(spark.read.parquet(str(tmp_path / "0")), 1300, 1300), np.maximum(x @ x.T, 0))
+
+
 def test_kernels_for_gaps_of_several_blocks_move_no_copies(spark, data):
     x, u, v = data
     holes = v.select("id", F.transform("x", lambda e, k: F.when((F.col("id") + k) % 4 != 0, e)).alias("x"))

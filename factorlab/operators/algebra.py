@@ -192,7 +192,7 @@ def pairwise(u: DataFrame, v: DataFrame, value=squared_distances, gaps: bool = F
 
     Rows without a whole vector give no pairs; with gaps, nulls come as NaN. The product of the two is the result asked for; v is the side to keep small (landmarks).
     symmetric: value doesn't change when the sides do. Where v is u, each pair of blocks is then computed once and given both
-    ways, row by row, so that equal values lie together in the result's files and take their place once.
+    ways, row by row, so that equal values lie near each other; the result's files take less room by that.
     """
     u, v = u.select("id", "x"), v.select("id", "x")
     once = symmetric and u.sameSemantics(v)

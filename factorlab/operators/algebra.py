@@ -102,6 +102,10 @@ def gram_cells(left: DataFrame, right: DataFrame) -> DataFrame:
 #: Rows of the blocks in which pairs are computed, bytes of vectors in a file of blocks, and rows of a batch that leaves a task.
 BLOCK_ROWS, FILE_BYTES, BATCH_ROWS = 512, 16 << 20, 1 << 17
 
+#: How Parquet writes files of pairs: a dictionary holds all values of six digits in [0, 1], and a page, after the first of which it
+#: is kept or given up, has the rows to show what it saves. Else most files of pairs are plain doubles, several times as large.
+PAIR_FILES = {"parquet.dictionary.page.size": 8 << 20, "parquet.page.row.count.limit": 1 << 20}
+
 
 def _blocks(rows: DataFrame) -> DataFrame:
     """Rows (id, x, ..) in blocks of at most BLOCK_ROWS, each column as an array, written down in files of about FILE_BYTES.
@@ -193,22 +197,30 @@ def pairwise(u: DataFrame, v: DataFrame, value=squared_distances, gaps: bool = F
     Rows without a whole vector give no pairs; with gaps, nulls come as NaN. The product of the two is the result asked for; v is the side to keep small (landmarks).
     symmetric: value doesn't change when the sides do. Where v is u, each pair of blocks is then computed once and given both
     ways, row by row, so that equal values lie near each other; the result's files take less room by that.
+    What leaves a worker is a row of u with all of a block as two arrays, which Spark takes apart in generated code: a row for
+    each pair would cost more on its way out of Arrow than the kernel itself. The session's Parquet files are then written as
+    PAIR_FILES says, but for what is set already.
     """
+    conf = u.sparkSession.conf
+    for key, limit in PAIR_FILES.items():
+        conf.set(key, conf.get(key, str(limit)))
     u, v = u.select("id", "x"), v.select("id", "x")
     once = symmetric and u.sameSemantics(v)
 
     def fold(left, right):
         n, m = len(left["id"]), len(right["id"])
         made = value(left["x"], right["x"])
-        if not once or left["block"][0] == right["block"][0]:
-            first, second = pa.array(np.repeat(np.arange(n), m)), pa.array(np.tile(np.arange(m), n))
-            return [left["id"].take(first), right["id"].take(second), made.ravel()]
-        at = np.empty((n, 2, m), np.int64)  # a row of left with all of right, then these with it
-        at[:, 0], at[:, 1] = np.arange(n)[:, None], np.arange(n, n + m)
-        ids = pa.concat_arrays([left["id"], right["id"]])
-        return [ids.take(pa.array(at.ravel())), ids.take(pa.array(at[:, ::-1].ravel())), np.repeat(made[:, None], 2, axis=1).ravel()]
-
-    return in_blocks(u, v, fold, f"u {id_type(u)}, v {id_type(v)}, value double", gaps, once)
+        edges = pa.array(np.arange(0, n * m + 1, m), pa.int32())
+        rows = [left["id"], *(pa.ListArray.from_arrays(edges, x) for x in (right["id"].take(pa.array(np.tile(np.arange(m), n))), pa.array(made.ravel())))]
+        return [*rows, np.full(n, left["block"][0] != right["block"][0])] if once else rows
+
+    rows = in_blocks(u, v, fold, f"u {id_type(u)}, v array<{id_type(v)}>, value array<double>" + (", twice boolean" if once else ""), gaps, once)
+    if not once:
+        return rows.select("u", "v", F.posexplode("value").alias("at", "value")).select("u", F.col("v")[F.col("at")].alias("v"), "value")
+    ways = F.when(F.col("twice"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    cells = rows.select("u", "v", "value", F.explode(ways).alias("back")).select("u", "v", "back", F.posexplode("value").alias("at", "value"))
+    one, other = F.col("u"), F.col("v")[F.col("at")]
+    return cells.select(F.when(F.col("back"), other).otherwise(one).alias("u"), F.when(F.col("back"), one).otherwise(other).alias("v"), "value")
 
 
 def nearest_squared(u: DataFrame, v: DataFrame) -> DataFrame:

@@ -75,6 +75,30 @@ def test_kernels_of_a_table_with_itself_take_less_room(spark, data, tmp_path):
     assert np.allclose(square(spark.read.parquet(str(tmp_path / "0")), 1300, 1300), np.maximum(x @ x.T, 0))
 
 
+def test_files_of_pairs_keep_their_dictionary(spark, data, tmp_path):
+    x, u, v = data
+    made = algebra.pairwise(u, v, lambda a, b: np.floor(np.abs(np.sin(1e4 * algebra.squared_distances(a, b))) * 1e5))
+    made.coalesce(1).write.parquet(str(tmp_path / "pairs"))
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 4 * 1300 * 600  # plain doubles: 8 bytes each
+    want = np.floor(np.abs(np.sin(1e4 * ((x[:, None] - x[:600] - 0.5) ** 2).sum(axis=2))) * 1e5)
+    assert np.abs(square(spark.read.parquet(str(tmp_path / "pairs")), 1300, 600, 5000) - want).max() <= 1
+    key, limit = next(iter(algebra.PAIR_FILES.items()))
+    spark.conf.set(key, str(2 * limit))  # what is set already stays
+    prep.kernel(u, v)
+    assert spark.conf.get(key) == str(2 * limit)
+    spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("symmetric", [False, True])
+def test_pairs_leave_a_worker_as_arrays(spark, data, symmetric):
+    x, u, _ = data
+    named = u.where("id < 700").select(F.concat(F.lit("n"), "id").alias("id"), "x")
+    made = algebra.pairwise(named, named, symmetric=symmetric)
+    assert "posexplode" in made._jdf.queryExecution().executedPlan().toString()
+    rows = made.select(F.expr("int(substr(u, 2))").alias("u"), F.expr("int(substr(v, 2))").alias("v"), "value")
+    assert np.allclose(square(rows, 700, 700), ((x[:700, None] - x[:700]) ** 2).sum(axis=2))
+
+
 def test_kernels_for_gaps_of_several_blocks_move_no_copies(spark, data):
     x, u, v = data
     holes = v.select("id", F.transform("x", lambda e, k: F.when((F.col("id") + k) % 4 != 0, e)).alias("x"))
